@@ -28,14 +28,14 @@ def na_to_null(c: Column | str) -> Column:
     return F.when(~c.isin(fixed.NA_TOKENS), c)
 
 
-def to_number(c: Column | str) -> Column:
-    """Text to double, null when it is no plain decimal number.
+_DECIMAL = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
 
-    The cast alone would also take Java literals such as '1d', '2f' and '0x1p3'."""
-    s = strip(c)
-    value = s.try_cast("double")
-    java_only = F.lower(F.right(s, F.lit(1))).isin("d", "f") & ~F.lower(s).isin("inf", "+inf", "-inf")
-    return F.when(~(java_only | F.lower(s).contains("x") | F.isnan(value)), value)
+
+def to_number(c: Column | str) -> Column:
+    """Text to double, null when it is no plain decimal number. The cast alone would also
+    take Java literals such as '1d', '2f' and '0x1p3'."""
+    c = _col(c)
+    return F.when(c.rlike(_DECIMAL), c.try_cast("double"))
 
 
 def as_number(df, name: str) -> Column:
@@ -52,12 +52,10 @@ def parse_currency(c: Column | str, billions: bool = True) -> Column:
     """'$1,234.56', '£50k', '1.2M' -> double with two decimals; null when unreadable."""
     s = strip(c)
     bare = F.translate(s, fixed.CURRENCY_SYMBOLS + fixed.WHITESPACE + ",", "")
-    suffix = F.lower(F.right(bare, F.lit(1)))
     factors = {k: v for k, v in fixed.CURRENCY_SUFFIXES.items() if billions or k != "b"}
-    factor = F.lit(1.0)
-    for key, value in factors.items():
-        factor = F.when(suffix == key, F.lit(value)).otherwise(factor)
-    body = F.when(suffix.isin(list(factors)), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    lookup = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
+    factor = F.coalesce(F.try_element_at(lookup, F.lower(F.right(bare, F.lit(1)))), F.lit(1.0))
+    body = F.regexp_replace(bare, f"(?i)[{''.join(factors)}]$", "")
     return F.when(~F.upper(s).isin(fixed.CURRENCY_BLANKS), half_even(to_number(body) * factor, 2))
 
 
@@ -86,26 +84,23 @@ def is_auto_renew(c: Column | str, also_na: bool = False) -> Column:
 def single_date(c: Column | str) -> Column:
     """One written day -> date. Reads year-month-day, month/day/year (day and month
     trade places when only that is possible), 'Jan 15, 2024' and '15 Jan 2024', each
-    with an optional time of day; anything incomplete is null."""
-    s = _col(c)
-    day_only = F.when(s.contains(":"), F.regexp_replace(s, r"[T\s]+\d{1,2}:\d{2}.*$", "")).otherwise(s)
-    k = F.regexp_replace(day_only, r"(?<=\d)(?:st|nd|rd|th)\b|[\s/.,\-]+", " ")
-    k = F.regexp_replace(k, r"\s+", " ")
-
-    def read(*formats: str) -> Column:
-        return F.coalesce(*[F.try_to_date(k, f) for f in formats])
-
-    short_year = read("M d yy", "d M yy")
-    return (
-        F.when(k.rlike(r"^\d{4} \d{1,2} \d{1,2}$"), read("yyyy M d", "yyyy d M"))
-        .when(k.rlike(r"^\d{1,2} \d{1,2} \d{4}$"), read("M d yyyy", "d M yyyy"))
-        .when(k.rlike(r"^\d{1,2} \d{1,2} \d{2}$"),
-              F.when(F.year(short_year) < 2000 + fixed.TWO_DIGIT_YEAR_PIVOT, short_year)
-              .otherwise(F.add_months(short_year, -1200)))
-        .when(k.rlike(r"^[A-Za-z]{3,} \d{1,2} \d{4}$"), read("MMM d yyyy", "MMMM d yyyy"))
-        .when(k.rlike(r"^\d{1,2} [A-Za-z]{3,} \d{4}$"), read("d MMM yyyy", "d MMMM yyyy"))
-        .when(k.rlike(r"^\d{8}$"), read("yyyyMMdd"))
-    )
+    with an optional time of day; anything incomplete is null.
+
+    One pattern brings every shape to 'year month day', so the text is matched once."""
+    gap, day, year = r"[\s/.\-]+", r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
+    shapes = [
+        rf"(\d{{4}}){gap}(\d{{1,2}}){gap}(\d{{1,2}})",    # groups 1-3: y m d
+        rf"(\d{{1,2}}){gap}(\d{{1,2}}){gap}{year}",        # 4-6: m d y
+        rf"([A-Za-z]{{3,}})[\s.]+{day}[\s,]+(\d{{4}})",    # 7-9: m d y
+        rf"{day}[\s\-]+([A-Za-z]{{3,}})[\s.,\-]+(\d{{4}})",  # 10-12: d m y
+        r"(\d{4})(\d{2})(\d{2})",                          # 13-15: y m d
+    ]
+    pattern = "^(?:" + "|".join(shapes) + r")(?:[T\s]+\d{1,2}:\d{2}.*)?$"
+    u = F.regexp_replace(_col(c), pattern, "$1$6$9$12$13 $2$4$7$11$14 $3$5$8$10$15")
+    low = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
+    u = F.regexp_replace(F.regexp_replace(u, rf"^({low}\d) ", "20$1 "), r"^(\d\d) ", "19$1 ")
+    return F.when(u.rlike(r"^\d{4} \d{1,2} \d{1,2}$"), F.coalesce(F.try_to_date(u, "yyyy M d"), F.try_to_date(u, "yyyy d M"))) \
+        .when(u.rlike(r"^\d{4} [A-Za-z]+ \d{1,2}$"), F.coalesce(F.try_to_date(u, "yyyy MMM d"), F.try_to_date(u, "yyyy MMMM d")))
 
 
 def parse_date(c: Column | str, separators: list[str] = fixed.RANGE_SEPARATORS) -> Column:
@@ -152,8 +147,16 @@ def parse_text(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def parse_as(c: Column | str, kind: str | None) -> Column:
-    """The parser of a canonical type; unknown types are stripped text."""
+def parse_as(c: Column | str, kind: str | None, source: str = "string") -> Column:
+    """The parser of a canonical type; unknown types are stripped text. A column that
+    already has a fitting type (`source`) is not printed and read again."""
+    if kind == "numeric" and source in ("double", "float", "tinyint", "smallint", "int", "bigint") or \
+            kind == "numeric" and source.startswith("decimal"):
+        return half_even(c, 2)
+    if kind == "date" and source in ("date", "timestamp", "timestamp_ntz"):
+        return _col(c).cast("date")
+    if kind == "boolean" and source == "boolean":
+        return _col(c)
     if kind == "numeric":
         return parse_currency(c)
     if kind == "date":
@@ -173,8 +176,8 @@ def expand_name(c: Column | str) -> Column:
 
 
 def shape_hits(c: Column | str) -> dict[str, Column]:
-    """Per shape, whether the stripped cell has it."""
-    s = strip(c)
+    """Per shape, whether a stripped cell has it."""
+    s = _col(c)
     return {
         "date": s.rlike(fixed.DATE_SHAPE),
         "currency": s.rlike(fixed.CURRENCY_SHAPE),

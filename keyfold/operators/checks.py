@@ -67,11 +67,10 @@ def validate(df: DataFrame, rules: dict = fixed.VALIDATION_RULES, line_items: Da
     rules = flatten_rules(rules)
     as_of = as_of if as_of is not None else F.current_date()
     spark, have = df.sparkSession, set(df.columns)
-    counted: list[tuple[str, str, str | None, Column, Column]] = []  # severity, type, field, count, message
+    counted: list[tuple[str, str, str | None, Column, Column]] = []  # severity, type, field, condition, message
 
     def count_check(rule: dict, default: str, kind: str, field: str | None, hit: Column, message) -> None:
-        n = F.count_if(hit)
-        counted.append((rule.get("severity", default), kind, field, n, message))
+        counted.append((rule.get("severity", default), kind, field, hit, message))
 
     parts: list[DataFrame] = []
     rule = _rule(rules, "required_fields_present")
@@ -143,7 +142,10 @@ def validate(df: DataFrame, rules: dict = fixed.VALIDATION_RULES, line_items: Da
                             lambda n, total, c=c: F.format_string(f"'{c}': %s values more than {years} year(s) in the future", n))
 
     if counted:
-        one = df.agg(F.count(F.lit(1)).alias("total"), *[x[3].alias(f"n{i}") for i, x in enumerate(counted)])
+        # conditions become columns first: an aggregate may not hold a subquery that reads
+        # a generated row position
+        flagged = df.select(*[x[3].alias(f"n{i}") for i, x in enumerate(counted)])
+        one = flagged.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(f"n{i}").alias(f"n{i}") for i in range(len(counted))])
         rows = [F.struct(F.lit(s).alias("severity"), F.lit(t).alias("type"), F.lit(f).cast("string").alias("field"),
                          F.col(f"n{i}").alias("n"), m(F.col(f"n{i}"), F.col("total")).alias("message"))
                 for i, (s, t, f, _, m) in enumerate(counted)]
@@ -213,9 +215,9 @@ def anomaly_summary(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     data = [c for c in data_columns(df) if not c.startswith("meta_")]
     missing = [F.col(c).isNull() | ((cells.strip(c) == "") if df.schema[c].dataType.typeName() == "string" else F.lit(False))
                for c in data]
-    one = df.agg(F.count(F.lit(1)).alias("total"),
-                 *[F.count_if(hit).alias(f"c{i}") for i, (_, _, _, hit) in enumerate(checks)],
-                 *[F.count_if(m).alias(f"m{i}") for i, m in enumerate(missing)])
+    names = [f"c{i}" for i in range(len(checks))] + [f"m{i}" for i in range(len(missing))]
+    flagged = df.select(*[c.alias(n) for n, c in zip(names, [x[3] for x in checks] + missing)])
+    one = flagged.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(n).alias(n) for n in names])
     rows = [F.struct(F.lit(kind).alias("type"), F.col(f"c{i}").alias("n"), F.lit(severity).alias("severity"),
                      F.format_string(f"%s rows: {label}", F.col(f"c{i}")).alias("description"),
                      (F.col(f"c{i}") > 0).alias("hit"))

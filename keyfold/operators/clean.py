@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from keyfold import fixed
 from keyfold.functions import cells
 from keyfold.operators.derive import ieee_divide
+from keyfold.operators.profile import long_text
 
 AUTO_RENEW_COL = "is_auto_renew"
 _GENERIC_SEPARATORS = fixed.RANGE_SEPARATORS[:4]
@@ -28,9 +29,8 @@ def sanitize_errors(df: DataFrame) -> DataFrame:
 
 def error_counts(df: DataFrame) -> DataFrame:
     """(column, n_errors) for every text column."""
-    columns = text_columns(df)
-    return df.agg(*[F.count_if(cells.is_error_cell(c)).alias(c) for c in columns]).unpivot(
-        [], columns, "column", "n_errors")
+    return long_text(df, text_columns(df)).groupBy("column").agg(
+        F.count_if(cells.is_error_cell("value")).alias("n_errors"))
 
 
 def split_date_range_columns(df: DataFrame) -> DataFrame:
@@ -80,8 +80,9 @@ def boolean_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list
     columns = [c for c in (columns or text_columns(df)) if c != AUTO_RENEW_COL]
     if not columns:
         return []
-    row = df.agg(*[F.coalesce(F.bool_and(cells.is_boolean_text(c)), F.lit(False)).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c]]
+    verdict = long_text(df, columns).groupBy("column").agg(F.bool_and(cells.is_boolean_text("value")).alias("ok"))
+    found = {r["column"] for r in verdict.where("ok").collect()}  # one row per column
+    return [c for c in columns if c in found]
 
 
 def standardize_booleans(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

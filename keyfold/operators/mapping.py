@@ -146,14 +146,12 @@ def extract_sheet(sheet: Sheet, columns: dict[str, str], schema: CanonicalSchema
     raw = sheet.df.withColumn("__idx", index)
     parsed = []
     for canonical, column in columns.items():
-        kind = schema.type_of(canonical)
-        if column not in raw.columns:
-            cell = F.lit(None).cast("string")
-        else:
-            cell = F.col(f"`{column}`")
-            if raw.schema[column].dataType.typeName() == "string":
+        cell, source = F.lit(None).cast("string"), "string"
+        if column in raw.columns:
+            cell, source = F.col(f"`{column}`"), raw.schema[column].dataType.simpleString()
+            if source == "string":
                 cell = cells.error_to_null(cell)
-        parsed.append(cells.parse_as(cell, kind).alias(canonical))
+        parsed.append(cells.parse_as(cell, schema.type_of(canonical), source).alias(canonical))
     lineage = F.sha2(F.concat_ws("|", F.lit(sheet.dataset_id), F.lit(sheet.name), F.col("__idx")), 256)
     return raw.select(lineage.alias("row_lineage_id"), F.lit(sheet.name).alias("_source_sheet_id"),
                       F.col("__idx").alias("_source_row_idx"), *parsed)

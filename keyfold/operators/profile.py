@@ -1,8 +1,8 @@
 """Column and sheet profiles, relations between sheets, completeness reports.
 
-Two shapes of work: one wide aggregate per sheet for everything that needs no grouping
-by value (no shuffle beyond one row per task), and one (column, value) count for
-distinct values, top values and value overlaps (combined map-side).
+Tables are unpivoted to (column, value) and grouped, so the generated code has one size
+for any number of columns, and every aggregate combines map-side: a task sends one row
+per column, or per column and distinct value where values are counted.
 """
 
 from __future__ import annotations
@@ -21,41 +21,51 @@ def _text(df: DataFrame, c: str) -> Column:
     return F.col(f"`{c}`").cast("string")
 
 
-def _is_blank(df: DataFrame, c: str) -> Column:
-    if df.schema[c].dataType.typeName() != "string":
-        return F.lit(False)
-    return cells.strip(f"`{c}`") == ""
+def long_text(df: DataFrame, columns: Sequence[str], *ids: Column) -> DataFrame:
+    """(ids, column, value): every cell as text, null cells included."""
+    names = [f"__id{i}" for i in range(len(ids))]
+    return df.select(*[x.alias(n) for x, n in zip(ids, names)], *[_text(df, c).alias(c) for c in columns]).unpivot(
+        names, [f"`{c}`" for c in columns], "column", "value")
 
 
-def _number(df: DataFrame, c: str) -> Column:
-    if isinstance(df.schema[c].dataType, T.StringType):
-        return cells.to_number(f"`{c}`")
-    return cells.as_number(df, c)
+def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, v): every cell that is a number, text cells parsed."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    text = [c for c in columns if isinstance(kinds[c], T.StringType)]
+    numbers = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
+    parts = []
+    if text:
+        parts.append(long_text(df, text).select("column", cells.to_number("value").alias("v")))
+    if numbers:
+        parts.append(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers]).unpivot(
+            [], [f"`{c}`" for c in numbers], "column", "v"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, v double")
+    return reduce(DataFrame.unionByName, parts).where("v is not null")
 
 
-def _stack(one: DataFrame, columns: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """One wide aggregate row -> one row per column. `fields` maps name -> prefix."""
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{p}_{i}").alias(n) for n, p in fields.items()])
-            for i, c in enumerate(columns)]
-    return one.select("n_rows", F.inline(F.array(*rows)))
+def _every_column(df: DataFrame, columns: Sequence[str], found: DataFrame) -> DataFrame:
+    """One row per column even when the table is empty."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, order: Column | None = None) -> DataFrame:
     """(column, value, n, first_ord) over non-null values as text."""
     columns = list(columns or data_columns(df))
     order = order if order is not None else (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id())
-    long = df.select(order.alias("__ord"), *[_text(df, c).alias(c) for c in columns]).unpivot(
-        ["__ord"], columns, "column", "value").where("value is not null")
+    long = long_text(df, columns, order).where("value is not null")
     return long.groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("__ord").alias("first_ord"))
+        F.count(F.lit(1)).alias("n"), F.min("__id0").alias("first_ord"))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n_rows, null_count, null_pct); blank text counts as missing."""
     columns = list(columns or data_columns(df))
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.count_if(F.col(f"`{c}`").isNull() | _is_blank(df, c)).alias(f"nulls_{i}") for i, c in enumerate(columns)])
-    rows = _stack(one, columns, {"null_count": "nulls"})
+    found = long_text(df, columns).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("value").isNull() | (cells.strip("value") == "")).alias("null_count"))
+    rows = _every_column(df, columns, found).na.fill(0, ["n_rows", "null_count"])
     pct = F.when(F.col("n_rows") > 0, cells.half_even(F.col("null_count") / F.col("n_rows") * 100, 2)).otherwise(0.0)
     return rows.select("column", "n_rows", "null_count", pct.alias("null_pct"))
 
@@ -110,11 +120,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     a fixed relative width (sign, power of two, 1/1024 of it), and only the buckets that
     contain them are ordered by value."""
     columns = list(columns)
-    counts = (
-        df.select(*[_number(df, c).alias(c) for c in columns])
-        .unpivot([], columns, "column", "v").where("v is not null")
-        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = long_numbers(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     size = F.abs("v")
     infinite = size == float("inf")
     power = F.when(infinite, F.lit(1024)).when(size > 0, F.floor(F.log2(size)))
@@ -144,14 +150,11 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """(column, n, min, max, mean, median, std) of the numeric cells, for columns that
     have any; two decimals, sample deviation, 0 for a single value."""
     columns = list(columns or data_columns(df))
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(columns):
-        x = _number(df, c)
-        aggs += [F.count(x).alias(f"n_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"),
-                 F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}")]
-    rows = _stack(df.agg(*aggs), columns, {"n": "n", "min": "min", "max": "max", "mean": "mean", "std": "std"})
+    rows = long_numbers(df, columns).groupBy("column").agg(
+        F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     std = F.when(F.col("n") > 1, cells.half_even("std", 2)).otherwise(0.0)
-    return rows.where("n > 0").join(exact_medians(df, columns), "column").select(
+    return rows.join(exact_medians(df, columns), "column").select(
         "column", "n", "min", "max", cells.half_even("mean", 2).alias("mean"),
         cells.half_even("median", 2).alias("median"), std.alias("std"))
 
@@ -159,12 +162,9 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def date_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, min_date, max_date) of columns where half of the non-null cells are dates."""
     columns = list(columns or data_columns(df))
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(columns):
-        d = cells.as_date(df, c)
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n_{i}"), F.count(d).alias(f"ok_{i}"),
-                 F.min(d).alias(f"lo_{i}"), F.max(d).alias(f"hi_{i}")]
-    rows = _stack(df.agg(*aggs), columns, {"n": "n", "ok": "ok", "min_date": "lo", "max_date": "hi"})
+    day = cells.parse_date("value")
+    rows = long_text(df, columns).where("value is not null").select("column", day.alias("day")).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count("day").alias("ok"), F.min("day").alias("min_date"), F.max("day").alias("max_date"))
     return rows.where("ok > 0 and ok >= 0.5 * n").select("column", "min_date", "max_date")
 
 
@@ -289,12 +289,16 @@ def value_overlap(left: DataFrame, left_col: str, right: DataFrame, right_col: s
 def completeness(df: DataFrame, columns: Sequence[str] | None = None, blank_is_missing: bool = False) -> DataFrame:
     """(column, non_null, total, pct), one decimal."""
     columns = list(columns or data_columns(df))
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.count_if(F.col(f"`{c}`").isNotNull() & ~(_is_blank(df, c) if blank_is_missing else F.lit(False))).alias(f"k_{i}")
-        for i, c in enumerate(columns)])
-    rows = _stack(one, columns, {"non_null": "k"})
-    pct = F.when(F.col("n_rows") > 0, cells.half_even(F.col("non_null") / F.col("n_rows") * 100, 1)).otherwise(0.0)
-    return rows.select("column", "non_null", F.col("n_rows").alias("total"), pct.alias("pct"))
+    if blank_is_missing:
+        filled = F.count(F.nullif(cells.strip("value"), F.lit("")))
+        found = long_text(df, columns).groupBy("column").agg(filled.alias("non_null"), F.count(F.lit(1)).alias("total"))
+    else:
+        total = F.count(F.lit(1)).alias("total")
+        found = df.agg(total, *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot(
+            ["total"], [f"`{c}`" for c in columns], "column", "non_null")
+    rows = _every_column(df, columns, found).na.fill(0, ["non_null", "total"])
+    pct = F.when(F.col("total") > 0, cells.half_even(F.col("non_null") / F.col("total") * 100, 1)).otherwise(0.0)
+    return rows.select("column", "non_null", "total", pct.alias("pct"))
 
 
 def overall_completeness(report: DataFrame) -> DataFrame:

@@ -37,13 +37,21 @@ def _simple_agg(c: str, method: str, order: Column, boolean: bool = False) -> Co
     return _first(c, order)  # 'first', and the fallback for unknown methods
 
 
-def _is_number(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
+def default_method(df: DataFrame, c: str) -> str:
+    """Numbers and booleans that cannot be missing are summed (true counts 1), anything
+    else keeps its first value."""
+    field = df.schema[c]
+    pure_boolean = isinstance(field.dataType, T.BooleanType) and not field.nullable
+    return "sum" if pure_boolean or isinstance(field.dataType, T.NumericType) else "first"
 
 
-def default_method(df: DataFrame, c: str) -> str:
-    """Numbers (and pure booleans) are summed, anything else keeps its first value."""
-    return "sum" if _is_number(df, c) else "first"
+def _reattach(grouped: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Add rows without a key below the grouped ones, in the grouped columns' types (a
+    summed boolean counts 0 or 1, a joined column is text)."""
+    types = {f.name: f.dataType for f in grouped.schema}
+    fix = {f.name: F.col(f.name).cast(types[f.name]) for f in orphans.schema
+           if f.name in types and f.dataType != types[f.name]}
+    return grouped.unionByName(orphans.withColumns(fix), allowMissingColumns=True)
 
 
 def _unique_joined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Column,
@@ -97,7 +105,7 @@ def rollup(df: DataFrame, keys: Sequence[str] = fixed.GROUP_BY, rules: dict[str,
     methods = {c: rules.get(c) or default_method(df, c) for c in df.columns if c not in skip}
     grouped = group_aggregate(keyed, keys, methods, order, count_col)
     rest = orphans.drop(ORD).withColumn(count_col, F.lit(1).cast("bigint"))
-    return grouped.unionByName(rest, allowMissingColumns=True)
+    return _reattach(grouped, rest)
 
 
 def classify_grain(df: DataFrame, id_col: str = "contract_id") -> DataFrame:
@@ -163,7 +171,7 @@ def merge_quote_lines(df: DataFrame, id_col: str = "Contract_ID", date_col: str
             continue
         methods[c] = "collect_unique" if c in fixed.PROVENANCE_COLS else default_method(df, c)
     grouped = group_aggregate(keyed, keys, methods, order, keep_blank=True)
-    return grouped.unionByName(orphans.drop(ORD), allowMissingColumns=True).select(
+    return _reattach(grouped, orphans.drop(ORD)).select(
         *[c for c in df.columns if c != ORD])
 
 

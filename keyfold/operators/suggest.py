@@ -16,6 +16,7 @@ from keyfold import fixed
 from keyfold.functions import cells, similarity
 from keyfold.model import Sheet
 from keyfold.operators.mapping import MappingConfig
+from keyfold.operators.profile import long_text
 from keyfold.schema import CanonicalSchema
 
 
@@ -67,24 +68,17 @@ def sensible(header: Column, alias: Column, canonical: Column, score: Column) ->
     return ~veto
 
 
-def value_types(sheet: Sheet) -> DataFrame:
+def value_types(sheets: Sequence[Sheet]) -> DataFrame:
     """(sheet, column, non_blank, value_type): the shape of more than 60 % of the
     non-blank cells; dates are tried first, then money, then ids. Whole columns."""
-    columns = sheet.data_columns
-    aggs = []
-    for i, c in enumerate(columns):
-        cell = cells.strip(f"`{c}`")
-        aggs.append(F.count(F.nullif(cell, F.lit(""))).alias(f"n_{i}"))
-        for shape, hit in cells.shape_hits(F.nullif(cell, F.lit(""))).items():
-            aggs.append(F.count_if(hit).alias(f"{shape}_{i}"))
-    one = sheet.df.agg(*aggs)
-    cases = [F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("non_blank"),
-                      *[F.col(f"{s}_{i}").alias(s) for s in ("date", "currency", "id")])
-             for i, c in enumerate(columns)]
-    rows = one.select(F.inline(F.array(*cases)))
-    rate = {s: F.try_divide(F.col(s), F.col("non_blank")) > fixed.SHAPE_RATE for s in ("date", "currency", "id")}
+    cell = F.nullif(cells.strip("value"), F.lit(""))
+    longs = [long_text(s.df, s.data_columns).select(F.lit(s.name).alias("sheet"), "column", cell.alias("cell")) for s in sheets]
+    hits = cells.shape_hits(F.col("cell"))
+    rows = reduce(DataFrame.unionByName, longs).groupBy("sheet", "column").agg(
+        F.count("cell").alias("non_blank"), *[F.count_if(hit).alias(shape) for shape, hit in hits.items()])
+    rate = {shape: F.try_divide(F.col(shape), F.col("non_blank")) > fixed.SHAPE_RATE for shape in hits}
     kind = F.when(rate["date"], "date").when(rate["currency"], "currency").when(rate["id"], "id")
-    return rows.select(F.lit(sheet.name).alias("sheet"), "column", "non_blank", kind.alias("value_type"))
+    return rows.select("sheet", "column", "non_blank", kind.alias("value_type"))
 
 
 def _has_any(c: Column, words: Sequence[str]) -> Column:
@@ -123,8 +117,7 @@ def suggest_mappings(sheets: Sequence[Sheet], schema: CanonicalSchema | None = N
         F.when(ok, F.col("near")).alias("near"), F.when(ok, F.floor("hit.score")).alias("near_score"),
         F.when(ok, F.col("alias")).alias("matched_alias"))
 
-    kinds = reduce(DataFrame.unionByName, [value_types(s) for s in sheets])
-    typed = named.join(kinds.withColumnRenamed("column", "header"), ["sheet", "header"], "left") \
+    typed = named.join(value_types(sheets).withColumnRenamed("column", "header"), ["sheet", "header"], "left") \
         .withColumn("by_name", F.coalesce("exact", "near")) \
         .withColumn("guess", F.when(F.col("by_name").isNull(), field_from_type(F.col("header"), F.col("value_type"))))
     # one row per header from here on: windows over catalog rows only

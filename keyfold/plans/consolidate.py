@@ -59,7 +59,8 @@ def run_layers(sheets: Sequence[Sheet], config: mapping.MappingConfig | None = N
     """Extract typed columns, resolve vendors, classify, roll up, join, derive, validate.
 
     Without a mapping configuration the suggestions are taken as they are. The extracted
-    sheets feed several queries, so they are persisted (memory, then disk)."""
+    sheets and the contracts feed several queries, so they are persisted (memory, then
+    disk)."""
     schema = schema or CanonicalSchema.default()
     config = config or suggest.accept_suggestions(suggest.suggest_mappings(sheets, schema))
     extracted = {}
@@ -70,7 +71,7 @@ def run_layers(sheets: Sequence[Sheet], config: mapping.MappingConfig | None = N
     levels = {n: rollup.classify_grain(df).first()["level"] for n, df in extracted.items()}
     rolled, items = rollup.rollup_sheets(extracted, rules=rules, order=F.col("_source_row_idx"), levels=levels)
     joined = merge.join_entities(rolled, primary, join_keys)
-    contracts = mapping.canonical_order(derive.derive_fields(joined, derived, as_of))
+    contracts = mapping.canonical_order(derive.derive_fields(joined, derived, as_of)).persist(StorageLevel.MEMORY_AND_DISK)
     issues = checks.validate(contracts, validation, items, as_of)
     versions = {"schema": schema.version, "mapping": config.version}
     return LayeredResult(contracts, items, issues, levels, versions)
@@ -103,4 +104,4 @@ def clean_chain(sheets: Sequence[Sheet], headers: dict[str, dict[str, str]], ven
     df = with_ordinal(clean_table(merge.concat_sheets(frames).drop(ORD)))
     df = resolve_names(df, vendor_col, F.col(ORD), canonical_col="Vendor_Canonical", cluster_col="Vendor_Cluster_ID")
     merged = rollup.merge_quote_lines(df, order=F.col(ORD))
-    return rollup.deduplicate(with_ordinal(merged), subset, F.col(ORD)).drop(ORD)
+    return rollup.deduplicate(merged, subset, F.xxhash64(*merged.columns))  # no row order left after a shuffle

@@ -16,6 +16,7 @@ from keyfold.operators.merge import key_ordered
 from keyfold.sources.catalog import catalog
 from keyfold import fixed
 
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 RUN_LOG_SCHEMA = (
     "run_id string, dataset_id string, logged_at timestamp, versions map<string,string>, level string, "
     "rows_before bigint, rows_after bigint, validation_status string"
@@ -44,7 +45,7 @@ def export_csv(df: DataFrame, path: str, keys: Sequence[str] = fixed.KEY_COLS, o
     """CSV with a header; key order is a range-partitioned sort."""
     keys = [k for k in keys if k in df.columns]
     out = key_ordered(df, keys) if ordered and keys else df
-    out.drop(ORD).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.drop(ORD).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: str, dataset_id: str,
@@ -55,8 +56,8 @@ def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: st
     seen = Observation("contracts")
     contracts.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/contracts")
     spark = contracts.sparkSession
-    spark.read.schema(contracts.schema).parquet(f"{root}/contracts").write.mode("overwrite").option(
-        "header", True).csv(f"{root}/contracts_csv")
+    spark.read.schema(contracts.schema).parquet(f"{root}/contracts").write.mode("overwrite").options(
+        **CSV_OPTIONS).csv(f"{root}/contracts_csv")
     n_items, item_columns = None, None
     if line_items is not None:
         items = drop_internal(line_items)

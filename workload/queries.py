@@ -269,7 +269,7 @@ def impute_acv(spark, sf):
 @query("typed_extraction", f"""
     SELECT o_orderkey AS _source_row_idx, 'deals' AS _source_sheet_id, CAST(o_orderkey AS STRING) AS contract_id, {_MONEY} AS acv,
            {_DATE} AS close_date, {_BOOL} AS auto_renew,
-           CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS notes, NULL AS quantity FROM orders""")
+           CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS notes, CAST(NULL AS DOUBLE) AS quantity FROM orders""")
 def typed_extraction(spark, sf):
     columns = {"contract_id": "Deal No", "acv": "Annual Cost", "close_date": "Signed Date", "auto_renew": "Auto Renew",
                "notes": "Notes", "quantity": "absent"}
@@ -280,19 +280,19 @@ def typed_extraction(spark, sf):
 # --- derived fields --------------------------------------------------------------------
 
 _DERIVED = f"""
-    d1 AS (SELECT *, date_diff('day', start_date, end_date) AS contract_duration_days FROM records),
+    d1 AS (SELECT * REPLACE ({half_even("total_value", 2)} AS total_value), date_diff('day', start_date, end_date) AS contract_duration_days FROM records),
     d2 AS (SELECT *, {half_even("contract_duration_days / 365.25::DOUBLE", 4)} AS duration_years FROM d1)"""
 
 
 @query("derived_fields", ctes("lines") + "," + _ROLLUP_SQL + "," + _DERIVED + f"""
     SELECT contract_id, account_id, start_date, end_date, CAST(contract_duration_days AS INTEGER) AS contract_duration_days, duration_years,
-           CASE WHEN duration_years <> 0 THEN {half_even("total_value / duration_years", 0)} END AS annualized_value,
-           {half_even("total_value / term_months", 0)} AS monthly_value,
+           CASE WHEN duration_years <> 0 THEN {half_even("total_value / duration_years", 4)} END AS annualized_value,
+           {half_even("total_value / term_months", 4)} AS monthly_value,
            coalesce(end_date < DATE '{AS_OF}', false) AND coalesce(auto_renew, false) IS DISTINCT FROM true AS churn_flag,
            coalesce(auto_renew, false) OR renewal_date IS NOT NULL AS renewal_flag FROM d2""")
 def derived_fields(spark, sf):
-    out = derive.derive_fields(_rolled(spark, sf), as_of=as_of())
-    return _rounded(out, annualized_value=0, monthly_value=0).select(
+    out = derive.derive_fields(_rounded(_rolled(spark, sf), total_value=2), as_of=as_of())
+    return out.select(
         "contract_id", "account_id", "start_date", "end_date", *fixed.DERIVED_FIELDS)
 
 
@@ -303,7 +303,7 @@ _COLUMNS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v, _ord FROM
 
 
 @query("profile_columns", ctes("order_text") + f", cells AS ({_COLUMNS})" + f"""
-    SELECT "column", 'string' AS inferred_type, count(*) AS n_rows, count_if(v IS NULL OR trim(v) = '') AS null_count,
+    SELECT "column", 'string' AS inferred_type, count(*) AS n_rows, CAST(count_if(v IS NULL OR trim(v) = '') AS BIGINT) AS null_count,
            {half_even("count_if(v IS NULL OR trim(v) = '') / count(*) * 100", 2)} AS null_pct,
            count(DISTINCT v) AS unique_count, {half_even("count(DISTINCT v) / count(*)", 4)} AS uniqueness_ratio
     FROM cells GROUP BY 1""")
@@ -453,7 +453,7 @@ def preview_completeness(spark, sf):
 
 
 @query("timeline", ctes("faulty") + """
-    SELECT contract_id, NULL AS vendor, start_date, end_date, total_value FROM (SELECT * FROM faulty ORDER BY _ord LIMIT 100)
+    SELECT contract_id, CAST(NULL AS VARCHAR) AS vendor, start_date, end_date, total_value FROM (SELECT * FROM faulty ORDER BY _ord LIMIT 100)
     WHERE start_date IS NOT NULL OR end_date IS NOT NULL""")
 def timeline(spark, sf):
     return profile.timeline(sheet(spark, sf, "faulty"), order=F.col(ORD))
@@ -547,7 +547,7 @@ def ml_prepare(spark, sf):
           FROM t WHERE v <> '' GROUP BY 1)
     SELECT 'raw' AS sheet, "column", k AS non_blank, CASE WHEN d / k > 0.6 THEN 'date' WHEN m / k > 0.6 THEN 'currency' WHEN i / k > 0.6 THEN 'id' END AS value_type FROM r""")
 def value_types(spark, sf):
-    return suggest.value_types(Sheet("raw", sheet(spark, sf, "raw_text")))
+    return suggest.value_types([Sheet("raw", sheet(spark, sf, "raw_text"))])
 
 
 @query("header_suggest")

@@ -49,14 +49,14 @@ def as_number(df, name: str) -> Column:
 
 
 def parse_currency(c: Column | str, billions: bool = True) -> Column:
-    """'$1,234.56', '£50k', '1.2M' -> double with two decimals; null when unreadable."""
-    s = strip(c)
-    bare = F.translate(s, fixed.CURRENCY_SYMBOLS + fixed.WHITESPACE + ",", "")
+    """'$1,234.56', '£50k', '1.2M' -> double with two decimals; null when unreadable,
+    which N/A, TBD, a dash and blanks are too."""
+    bare = F.translate(_col(c).cast("string"), fixed.CURRENCY_SYMBOLS + fixed.WHITESPACE + ",", "")
     factors = {k: v for k, v in fixed.CURRENCY_SUFFIXES.items() if billions or k != "b"}
     lookup = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
     factor = F.coalesce(F.try_element_at(lookup, F.lower(F.right(bare, F.lit(1)))), F.lit(1.0))
     body = F.regexp_replace(bare, f"(?i)[{''.join(factors)}]$", "")
-    return F.when(~F.upper(s).isin(fixed.CURRENCY_BLANKS), half_even(to_number(body) * factor, 2))
+    return half_even(to_number(body) * factor, 2)
 
 
 def split_range(c: Column | str, separators: list[str] = fixed.RANGE_SEPARATORS) -> tuple[Column, Column]:
@@ -99,18 +99,16 @@ def single_date(c: Column | str) -> Column:
     u = F.regexp_replace(_col(c), pattern, "$1$6$9$12$13 $2$4$7$11$14 $3$5$8$10$15")
     low = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
     u = F.regexp_replace(F.regexp_replace(u, rf"^({low}\d) ", "20$1 "), r"^(\d\d) ", "19$1 ")
-    return F.when(u.rlike(r"^\d{4} \d{1,2} \d{1,2}$"), F.coalesce(F.try_to_date(u, "yyyy M d"), F.try_to_date(u, "yyyy d M"))) \
-        .when(u.rlike(r"^\d{4} [A-Za-z]+ \d{1,2}$"), F.coalesce(F.try_to_date(u, "yyyy MMM d"), F.try_to_date(u, "yyyy MMMM d")))
+    read = F.coalesce(F.try_to_date(u, "yyyy [MMMM][MMM][M] d"), F.try_to_date(u, "yyyy d M"))
+    return F.when(u.rlike(r"^\d{4} \w+ \d{1,2}$"), read)
 
 
 def parse_date(c: Column | str, separators: list[str] = fixed.RANGE_SEPARATORS) -> Column:
-    """A date cell -> date: blanks, N/A and auto-renew words are null, a range gives its start."""
-    s = strip(c)
+    """A date cell -> date; a range gives its start. Blanks, N/A and auto-renew words name
+    no day, so they are null like any other text."""
     cut = "(?is)^(?:" + "|".join(f"(.*?){sep}.*" for sep in separators) + ")$"
     keep = "".join(f"${i}" for i in range(1, len(separators) + 1))
-    start = F.when(s.contains(" "), F.regexp_replace(s, cut, keep)).otherwise(s)
-    blank = (s == "") | (F.upper(s) == "N/A") | F.lower(s).isin(fixed.AUTO_RENEW_TOKENS)
-    return F.when(~blank, single_date(start))
+    return single_date(strip(F.regexp_replace(strip(c), cut, keep)))
 
 
 def as_date(df, name: str) -> Column:

@@ -3,19 +3,25 @@
 Keys compare null-safe: a missing key part equals a missing key part. Duplicate keys are
 legal and multiply, as in any join.
 
-Two plans give the same rows:
+A chain of full outer joins would shuffle the growing master at every step, and Spark can
+split neither side of a full outer join on a hot key. Two plans give the same rows:
 
 * ``stack`` - when keys are unique inside every sheet: one union and one groupBy, so one
   shuffle for any number of sheets.
-* ``split`` - matched pairs, left-only rows and right-only rows as three joins. The inner
-  and anti joins are the ones adaptive execution may split on a hot key from either side
-  (it can split neither side of a full outer join), the anti joins read pre-aggregated
-  keys, and both sides' shuffles are shared between the three.
+* ``pad`` - for duplicate keys: one aggregate finds which sheets have which key, each
+  sheet gets one empty row for every key it lacks, and the padded sheets are inner-joined.
+  All joins use the same keys, so every sheet is shuffled once and the intermediate
+  result never; inner joins may broadcast a small side and may be salted.
+
+``auto`` counts rows per key first (key columns only) and picks one. Keys with a large
+share of the rows are salted: the sheet that holds most of them is spread over several
+tasks, the other sheets' few rows of that key are repeated for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -53,50 +59,98 @@ def split_keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     return df.where(complete), df.where(~complete)
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    return reduce(and_, [left[k].eqNullSafe(right[prefix + k]) for k in keys])
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.toDF(*[prefix + c for c in df.columns])
 
 
-def _prefixed(df: DataFrame, prefix: str = "__r_") -> DataFrame:
-    return df.toDF(*[prefix + c for c in df.columns])
+# --- row counts per key ------------------------------------------------------------------
 
+HOT_ROWS = 1_000_000     # a key with fewer rows than this is never salted
+HOT_SHARE = 10_000       # ... nor one with less than this part of all rows
 
-def _matched_and_left_only(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    """Inner join and left anti join of null-safe keys; right columns carry a prefix."""
-    other = _prefixed(right)
-    matched = left.join(other, _same_key(left, other, keys, "__r_"), "inner")
-    right_keys = other.select(*["__r_" + k for k in keys]).distinct()
-    left_only = left.join(right_keys, _same_key(left, right_keys, keys, "__r_"), "left_anti")
-    return matched, left_only
 
+@dataclass(frozen=True)
+class KeyFacts:
+    """What the row counts per key say: uniqueness, and the hot keys as a table
+    (keys, __spread, __salts) of at most HOT_SHARE rows per sheet."""
 
-def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
-                plan: str = "split") -> DataFrame:
-    """Null-safe full outer merge; overlapping columns keep the left value and fall back
-    to the right one. `plan` is 'split' (safe for hot keys) or 'full_outer' (one join)."""
-    require_keys(left, keys, "Left table")
-    require_keys(right, keys, "Right table")
-    left, right = left.drop(ORD), right.drop(ORD)
-    columns = left.columns + [c for c in right.columns if c not in left.columns]
-
-    def pick(c: str) -> Column:
-        if c in left.columns and c in right.columns:
-            return F.coalesce(F.col(c), F.col("__r_" + c)).alias(c)
-        return F.col(c if c in left.columns else "__r_" + c).alias(c)
-
-    if plan == "full_outer":
-        other = _prefixed(right)
-        joined = left.join(other, _same_key(left, other, keys, "__r_"), "full_outer")
-        return joined.select(*[pick(c) for c in columns])
-    matched, left_only = _matched_and_left_only(left, right, keys)
-    left_keys = _prefixed(left.select(*keys), "__l_").distinct()
-    right_only = right.join(left_keys, _same_key(right, left_keys, keys, "__l_"), "left_anti")
-    return (
-        matched.select(*[pick(c) for c in columns])
-        .unionByName(left_only, allowMissingColumns=True)
-        .unionByName(right_only, allowMissingColumns=True)
-        .select(*columns)
+    unique: bool
+    hot: DataFrame | None = None
+
+
+def key_facts(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int = HOT_ROWS) -> KeyFacts:
+    """One pass over the key columns; at most HOT_SHARE hot keys per sheet reach the driver."""
+    tagged = [f.select(*keys, F.lit(i).alias("__sheet")) for i, f in enumerate(frames)]
+    counts = reduce(DataFrame.unionByName, tagged).groupBy(*keys, "__sheet").agg(F.count(F.lit(1)).alias("__n"))
+    top, total = counts.agg(F.max("__n"), F.sum("__n")).first()
+    if (top or 0) <= 1:
+        return KeyFacts(True)
+    limit = max(hot_rows, total // HOT_SHARE)
+    if top <= limit:
+        return KeyFacts(False)
+    hot = (
+        counts.where(F.col("__n") > limit).groupBy(*keys)
+        .agg(F.max_by("__sheet", "__n").alias("__spread"), F.ceil(F.max("__n") / limit).cast("int").alias("__salts"))
     )
+    return KeyFacts(False, frames[0].sparkSession.createDataFrame(hot.collect(), hot.schema))
+
+
+def _salted(side: DataFrame, keys: Sequence[str], number: int, hot: DataFrame) -> DataFrame:
+    """Add a salt: rows of the spread sheet of a hot key take one each in turn, rows of
+    the other sheets are repeated for all; every other row has salt 0."""
+    marks = _prefixed(hot, "__h")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col("__h" + k)) for k in keys])
+    salts, spread = F.col("__h__salts"), F.col("__h__spread")
+    turn = F.pmod(F.monotonically_increasing_id(), F.coalesce(salts, F.lit(1))).cast("int")
+    choice = F.when(salts.isNull(), F.array(F.lit(0))).when(spread == number, F.array(F.col("__turn"))) \
+        .otherwise(F.sequence(F.lit(0), salts - 1))
+    # the hot-key table was bounded when it was collected
+    return (side.join(F.broadcast(marks), same, "left").withColumn("__turn", turn)
+            .withColumn("__salt", F.explode(choice)).drop("__turn", *marks.columns))
+
+
+def _pad_join(frames: Sequence[DataFrame], keys: Sequence[str], pad: Sequence[bool],
+              hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of the frames on null-safe keys after giving each frame with `pad` an
+    empty row for every key it lacks. Columns of frame i are prefixed with '__i_'."""
+    tagged = [f.select(*keys, F.lit(1 << i).cast("bigint").alias("__have")) for i, f in enumerate(frames)]
+    presence = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.bit_or("__have").alias("__have"))
+    sides = []
+    for i, f in enumerate(frames):
+        side = f
+        if pad[i]:
+            # every branch reads the same aggregate, so its shuffle runs once
+            absent = presence.where(F.col("__have").bitwiseAND(F.lit(1 << i)) == 0).select(*keys)
+            side = side.unionByName(absent, allowMissingColumns=True)
+        if hot is not None:
+            side = _salted(side, keys, i, hot)
+        sides.append(_prefixed(side, f"__{i}_"))
+    out = sides[0]
+    for i, side in enumerate(sides[1:], 1):
+        on = reduce(and_, [F.col(f"__0_{k}").eqNullSafe(F.col(f"__{i}_{k}")) for k in keys])
+        if hot is not None:
+            on = on & (F.col("__0___salt") == F.col(f"__{i}___salt"))
+        out = out.join(side, on, "inner")
+    return out
+
+
+_MAX_FRAMES = 60  # one bit per sheet in the presence mask
+
+
+def pad_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
+              hot: DataFrame | None = None) -> DataFrame:
+    """Outer merge of sheets with any keys; overlapping columns take the first non-null
+    value in sheet order."""
+    sheets = [s.drop(ORD) for s in sheets]
+    if len(sheets) > _MAX_FRAMES:
+        return pad_merge([pad_merge(sheets[:_MAX_FRAMES], keys, hot), *sheets[_MAX_FRAMES:]], keys)
+    joined = _pad_join(sheets, keys, [True] * len(sheets), hot)
+    columns = list(dict.fromkeys(c for s in sheets for c in s.columns))
+    picks = []
+    for c in columns:
+        owners = [F.col(f"__{i}_{c}") for i, s in enumerate(sheets) if c in s.columns]
+        picks.append((owners[0] if c in keys else F.coalesce(*owners)).alias(c))
+    return joined.select(*picks)
 
 
 def stack_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS) -> DataFrame:
@@ -120,11 +174,6 @@ def stack_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COL
     return stacked.groupBy(*keys).agg(*aggs).select(*columns)
 
 
-def has_unique_keys(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether no key occurs twice (keys only are read; stops at the first double)."""
-    return df.groupBy(*keys).count().where("count > 1").isEmpty()
-
-
 def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
                    source: str = "new data", examples: int = 3) -> DataFrame:
     """Conflicting values of overlapping columns, compared as stripped text where both
@@ -174,6 +223,8 @@ def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixe
 
 def _guard(left, right, keys, source, on_conflict) -> None:
     if on_conflict == "error":
+        if not set(left.columns) & set(right.columns) - set(keys) - {ORD}:
+            return
         rows = find_conflicts(left, right, keys, source).collect()  # columns x examples rows
         if rows:
             raise ConflictError(rows)
@@ -181,13 +232,24 @@ def _guard(left, right, keys, source, on_conflict) -> None:
         raise ValueError("on_conflict is 'error' or 'keep_left'")
 
 
+def _merge(sheets: Sequence[DataFrame], keys: Sequence[str], plan: str) -> DataFrame:
+    hot = None
+    if plan == "auto":
+        facts = key_facts(sheets, keys)
+        plan, hot = ("stack" if facts.unique else "pad"), facts.hot
+    if plan == "stack":
+        return stack_merge(sheets, keys)
+    if plan == "pad":
+        return pad_merge(sheets, keys, hot)
+    raise ValueError("plan is 'auto', 'stack' or 'pad'")
+
+
 def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
                  on_conflict: str = "error", plan: str = "auto") -> DataFrame:
     """Outer-merge sheets left to right and drop rows without any key part.
 
     Keyless rows are dropped before the merge: they could only pair with each other and
-    all such pairs would be dropped afterwards. `plan` 'auto' stacks when the keys of
-    every sheet are unique and joins otherwise."""
+    all such pairs would be dropped afterwards."""
     if not sheets:
         raise ValueError("nothing to merge")
     for i, s in enumerate(sheets, 1):
@@ -195,23 +257,27 @@ def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_CO
     sheets = [drop_keyless(s.drop(ORD), keys) for s in sheets]
     if len(sheets) == 1:
         return sheets[0]
-    if plan == "auto":
-        plan = "stack" if all(has_unique_keys(s, keys) for s in sheets) else "split"
-    if plan == "stack":
-        if on_conflict == "error":
-            for i in range(1, len(sheets)):
-                _guard(stack_merge(sheets[:i], keys), sheets[i], keys, f"Sheet {i + 1}", on_conflict)
-        return stack_merge(sheets, keys)
-    master = sheets[0]
-    for i, s in enumerate(sheets[1:], 2):
-        _guard(master, s, keys, f"Sheet {i}", on_conflict)
-        master = outer_merge(master, s, keys, plan)
-    return master
+    for i in range(1, len(sheets)):
+        before = sheets[0] if i == 1 else None
+        if on_conflict == "error" and before is None:
+            shared = {c for s in sheets[:i] for c in s.columns} & set(sheets[i].columns) - set(keys)
+            before = _merge(sheets[:i], keys, plan) if shared else sheets[i].select(*keys)
+        _guard(before if before is not None else sheets[0], sheets[i], keys, f"Sheet {i + 1}", on_conflict)
+    return _merge(sheets, keys, plan)
+
+
+def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
+                plan: str = "auto") -> DataFrame:
+    """Null-safe full outer merge of two tables, rows without a key included; overlapping
+    columns keep the left value and fall back to the right one."""
+    require_keys(left, keys, "Left table")
+    require_keys(right, keys, "Right table")
+    return _merge([left.drop(ORD), right.drop(ORD)], keys, plan)
 
 
 def append_to_master(master: DataFrame, new: DataFrame | Sequence[DataFrame],
                      keys: Sequence[str] = fixed.KEY_COLS, on_conflict: str = "error",
-                     plan: str = "split") -> DataFrame:
+                     plan: str = "auto") -> DataFrame:
     """Outer-merge new rows and columns into a master. Several new sheets are merged with
     each other first. Rows without a key are kept."""
     if not isinstance(new, DataFrame):
@@ -233,10 +299,13 @@ def preview(df: DataFrame, keys: Sequence[str] = fixed.KEY_COLS, rows: int = 100
 
 
 def join_entities(sheets: dict[str, DataFrame], primary: str | None = None,
-                  join_keys: Sequence[str] = fixed.JOIN_KEYS) -> DataFrame:
+                  join_keys: Sequence[str] = fixed.JOIN_KEYS, salt: bool = True) -> DataFrame:
     """Left-join every other sheet onto a base on the first shared key; stack it when
     there is none. The base is the named sheet, or the one with most rows. Overlapping
-    columns of a joined sheet get its name as a suffix; lineage columns are dropped."""
+    columns of a joined sheet get its name as a suffix; lineage columns are dropped.
+
+    The joined sheet is padded with the keys it lacks, so the left join is an inner one
+    that may be salted; `salt=False` skips counting rows per key."""
     if not sheets:
         raise ValueError("nothing to join")
     if primary in sheets:
@@ -256,10 +325,9 @@ def join_entities(sheets: dict[str, DataFrame], primary: str | None = None,
             continue
         df = df.drop(*fixed.LINEAGE_COLS, ORD)
         df = df.toDF(*[f"{c}_{name}" if c != key and c in base.columns else c for c in df.columns])
-        matched, unmatched = _matched_and_left_only(base, df, [key])
-        added = [c for c in df.columns if c != key]
-        base = matched.select(*base.columns, *[F.col("__r_" + c).alias(c) for c in added]).unionByName(
-            unmatched, allowMissingColumns=True)
+        joined = _pad_join([base, df], [key], [False, True], key_facts([base, df], [key]).hot if salt else None)
+        base = joined.select(*[F.col("__0_" + c).alias(c) for c in base.columns],
+                             *[F.col("__1_" + c).alias(c) for c in df.columns if c != key])
     return base
 
 

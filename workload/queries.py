@@ -59,7 +59,7 @@ def _full(left: str, right: str, cols: str) -> str:
 @query("merge_full_outer", ctes("crm", "billing") + _full(
     _KEYED.format("crm"), _KEYED.format("billing"), "l.deal_value, coalesce(l.stage, r.stage) AS stage, r.priority"))
 def merge_full_outer(spark, sf):
-    return merge.merge_sheets([sheet(spark, sf, "crm"), sheet(spark, sf, "billing")], on_conflict="keep_left", plan="split")
+    return merge.merge_sheets([sheet(spark, sf, "crm"), sheet(spark, sf, "billing")], on_conflict="keep_left", plan="pad")
 
 
 @query("merge_n_way", ctes("crm", "billing", "shipments") + ", m AS (" + _full(
@@ -67,7 +67,7 @@ def merge_full_outer(spark, sf):
     + ")" + _full("m", "shipments", "l.deal_value, coalesce(l.stage, r.stage) AS stage, l.priority, r.shipped"))
 def merge_n_way(spark, sf):
     return merge.merge_sheets([sheet(spark, sf, n) for n in ("crm", "billing", "shipments")],
-                              on_conflict="keep_left", plan="split")
+                              on_conflict="keep_left", plan="pad")
 
 
 @query("merge_n_way_unique", ctes("crm_unique", "billing_unique", "shipments") + ", m AS (" + _full(
@@ -80,7 +80,7 @@ def merge_n_way_unique(spark, sf):
 
 @query("append_master", ctes("crm", "usage") + _full("crm", "usage", "l.deal_value, l.stage, r.usage"))
 def append_master(spark, sf):
-    return merge.append_to_master(sheet(spark, sf, "crm"), sheet(spark, sf, "usage"), on_conflict="keep_left")
+    return merge.append_to_master(sheet(spark, sf, "crm"), sheet(spark, sf, "usage"), on_conflict="keep_left", plan="pad")
 
 
 @query("merge_conflicts", ctes("crm", "billing") + """,
@@ -600,7 +600,7 @@ def csv_roundtrip(spark, sf):
 def master_snapshots(spark, sf):
     root = work_folder(spark, "master")
     sinks.write_master(sheet(spark, sf, "crm"), root, 0)
-    grown = merge.append_to_master(sinks.read_master(spark, root, 0), sheet(spark, sf, "usage"), on_conflict="keep_left")
+    grown = merge.append_to_master(sinks.read_master(spark, root, 0), sheet(spark, sf, "usage"), on_conflict="keep_left", plan="pad")
     sinks.write_master(grown, root, 1)
     return sinks.read_master(spark, root, 1)
 

@@ -22,6 +22,13 @@ def half_even(c: Column | str, digits: int) -> Column:
     return F.rint(_col(c).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def round_exact(c: Column | str, digits: int) -> Column:
+    """Round the exact binary value, half to even on true ties, as scalar rounding does:
+    2.675 lies below the tie and gives 2.67, where scaling first would give 2.68."""
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    return F.call_function("format_number", _col(c).cast("double"), pattern).try_cast("double")
+
+
 def na_to_null(c: Column | str) -> Column:
     """Cells that spell 'no value' become null."""
     c = _col(c)
@@ -56,7 +63,7 @@ def parse_currency(c: Column | str, billions: bool = True) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
     factor = F.coalesce(F.try_element_at(lookup, F.lower(F.right(bare, F.lit(1)))), F.lit(1.0))
     body = F.regexp_replace(bare, f"(?i)[{''.join(factors)}]$", "")
-    return half_even(to_number(body) * factor, 2)
+    return round_exact(to_number(body) * factor, 2)
 
 
 def split_range(c: Column | str, separators: list[str] = fixed.RANGE_SEPARATORS) -> tuple[Column, Column]:
@@ -150,7 +157,7 @@ def parse_as(c: Column | str, kind: str | None, source: str = "string") -> Colum
     already has a fitting type (`source`) is not printed and read again."""
     if kind == "numeric" and source in ("double", "float", "tinyint", "smallint", "int", "bigint") or \
             kind == "numeric" and source.startswith("decimal"):
-        return half_even(c, 2)
+        return round_exact(c, 2)
     if kind == "date" and source in ("date", "timestamp", "timestamp_ntz"):
         return _col(c).cast("date")
     if kind == "boolean" and source == "boolean":

@@ -28,7 +28,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyfold import fixed
-from keyfold.functions.cells import strip
+from keyfold.functions.cells import round_exact, strip
 from keyfold.model import ORD
 
 
@@ -341,6 +341,6 @@ def master_summary(df: DataFrame, keys: Sequence[str] = fixed.KEY_COLS) -> DataF
     keys = [k for k in keys if k in df.columns]
     n_columns = len([c for c in df.columns if c != ORD])
     one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(k).alias(k) for k in keys])
-    pct = F.when(F.col("total") > 0, F.rint(F.col("non_null") / F.col("total") * 1000) / 10).otherwise(0.0)
+    pct = F.when(F.col("total") > 0, round_exact(F.col("non_null") / F.col("total") * 100, 1)).otherwise(0.0)
     return one.unpivot(["total"], keys, "key", "non_null").select(
         "key", "non_null", "total", pct.alias("pct"), F.lit(n_columns).alias("column_count"))

@@ -66,7 +66,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("value").isNull() | (cells.strip("value") == "")).alias("null_count"))
     rows = _every_column(df, columns, found).na.fill(0, ["n_rows", "null_count"])
-    pct = F.when(F.col("n_rows") > 0, cells.half_even(F.col("null_count") / F.col("n_rows") * 100, 2)).otherwise(0.0)
+    pct = F.when(F.col("n_rows") > 0, cells.round_exact(F.col("null_count") / F.col("n_rows") * 100, 2)).otherwise(0.0)
     return rows.select("column", "n_rows", "null_count", pct.alias("null_pct"))
 
 
@@ -76,7 +76,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     type_of = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
     distinct = value_counts(df, columns, F.lit(0)).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    ratio = F.when(F.col("n_rows") > 0, cells.half_even(F.col("unique_count") / F.col("n_rows"), 4)).otherwise(0.0)
+    ratio = F.when(F.col("n_rows") > 0, cells.round_exact(F.col("unique_count") / F.col("n_rows"), 4)).otherwise(0.0)
     return (
         null_profile(df, columns).join(distinct, "column", "left").na.fill(0, ["unique_count"])
         .select("column", F.element_at(type_of, F.col("column")).alias("inferred_type"), "n_rows",
@@ -153,10 +153,10 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     rows = long_numbers(df, columns).groupBy("column").agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    std = F.when(F.col("n") > 1, cells.half_even("std", 2)).otherwise(0.0)
+    std = F.when(F.col("n") > 1, cells.round_exact("std", 2)).otherwise(0.0)
     return rows.join(exact_medians(df, columns), "column").select(
-        "column", "n", "min", "max", cells.half_even("mean", 2).alias("mean"),
-        cells.half_even("median", 2).alias("median"), std.alias("std"))
+        "column", "n", "min", "max", cells.round_exact("mean", 2).alias("mean"),
+        cells.round_exact("median", 2).alias("median"), std.alias("std"))
 
 
 def date_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def profile_sheet(sheet: Sheet) -> DataFrame:
     one = same.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
                    F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_row_count"))
     pct = F.when(F.col("row_count") > 0,
-                 cells.half_even(F.col("duplicate_row_count") / F.col("row_count") * 100, 2)).otherwise(0.0)
+                 cells.round_exact(F.col("duplicate_row_count") / F.col("row_count") * 100, 2)).otherwise(0.0)
     return one.select(F.lit(sheet.name).alias("sheet"), "row_count", F.lit(len(columns)).alias("column_count"),
                       "duplicate_row_count", pct.alias("duplicate_row_pct"))
 
@@ -213,7 +213,7 @@ def line_item_hints(sheet: Sheet) -> DataFrame:
         value_counts(sheet.df, columns, F.lit(0)).groupBy("column")
         .agg(F.count(F.lit(1)).alias("unique_values"), F.sum("n").alias("total_rows"))
         .where(ratio > 0.3)
-        .select(F.lit(sheet.name).alias("sheet"), "column", cells.half_even(ratio, 3).alias("duplicate_ratio"),
+        .select(F.lit(sheet.name).alias("sheet"), "column", cells.round_exact(ratio, 3).alias("duplicate_ratio"),
                 "unique_values", "total_rows")
     )
 
@@ -273,7 +273,7 @@ def foreign_keys(sheets: Sequence[Sheet]) -> DataFrame:
         pairs.join(side("1"), "a").join(side("2"), "b").where("no_1 < no_2")
         .where(F.col("common") / smaller > 0.5)
         .select("sheet_1", "column_1", "sheet_2", "column_2",
-                cells.half_even(F.col("common") / smaller * 100, 1).alias("overlap_pct"))
+                cells.round_exact(F.col("common") / smaller * 100, 1).alias("overlap_pct"))
     )
 
 
@@ -297,13 +297,13 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None, blank_is_m
         found = df.agg(total, *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot(
             ["total"], [f"`{c}`" for c in columns], "column", "non_null")
     rows = _every_column(df, columns, found).na.fill(0, ["non_null", "total"])
-    pct = F.when(F.col("total") > 0, cells.half_even(F.col("non_null") / F.col("total") * 100, 1)).otherwise(0.0)
+    pct = F.when(F.col("total") > 0, cells.round_exact(F.col("non_null") / F.col("total") * 100, 1)).otherwise(0.0)
     return rows.select("column", "non_null", "total", pct.alias("pct"))
 
 
 def overall_completeness(report: DataFrame) -> DataFrame:
     """Mean of the column percentages."""
-    return report.agg(cells.half_even(F.avg("pct"), 1).alias("overall_pct"))
+    return report.agg(cells.round_exact(F.avg("pct"), 1).alias("overall_pct"))
 
 
 def preview_completeness(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -324,7 +324,7 @@ def quality_scorecard(df: DataFrame) -> DataFrame:
 def overall_quality(scorecard: DataFrame) -> DataFrame:
     """Filled cells over all cells, in percent."""
     filled = F.try_divide(F.sum("non_null"), F.sum("total")) * 100
-    return scorecard.agg(F.coalesce(cells.half_even(filled, 1), F.lit(0.0)).alias("overall_pct"))
+    return scorecard.agg(F.coalesce(cells.round_exact(filled, 1), F.lit(0.0)).alias("overall_pct"))
 
 
 def timeline(df: DataFrame, rows: int = 100, order: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keyfold import fixed
-from keyfold.functions.cells import half_even
+from keyfold.functions.cells import round_exact
 from keyfold.model import ORD
 from keyfold.operators.merge import split_keyed
 
@@ -121,7 +121,7 @@ def classify_grain(df: DataFrame, id_col: str = "contract_id") -> DataFrame:
     ratio = F.try_divide(F.col("unique_ids"), F.col("total_rows"))
     level = F.when(ratio > 0.9, "contract_level").when(ratio < 0.5, "line_item_level").otherwise("mixed")
     return counts.select(level.alias("level"), "total_rows", "unique_ids",
-                         half_even(ratio, 4).alias("uniqueness_ratio"))
+                         round_exact(ratio, 4).alias("uniqueness_ratio"))
 
 
 def rollup_sheets(sheets: dict[str, DataFrame], keys: Sequence[str] = fixed.GROUP_BY,

@@ -95,13 +95,18 @@ def clean_chain(sheets: Sequence[Sheet], headers: dict[str, dict[str, str]], ven
                 subset: Sequence[str] = fixed.DEDUP_SUBSET) -> DataFrame:
     """Rename headers per sheet, stack, clean, resolve vendors, merge quote lines, drop
     duplicates. `headers` maps sheet -> {raw: name}; a doubled name gets a suffix."""
+    ordered = all(ORD in s.df.columns for s in sheets)
     frames = []
-    for s in sheets:
-        df = clean_frame(s.df).withColumns({
+    for i, s in enumerate(sheets):
+        df = clean_frame(s.df)
+        if ordered:  # row order within a sheet, sheets one after another
+            df = df.withColumn(ORD, F.lit(i << 52) + F.col(ORD).cast("bigint"))
+        df = df.withColumns({
             PROVENANCE_TAB: F.lit(s.name), PROVENANCE_FILE: F.lit(s.source_file or s.name)})
         names = mapping.suffix_duplicates(headers.get(s.name, {}))
         frames.append(df.withColumnsRenamed({r: n for r, n in names.items() if r in df.columns}))
-    df = with_ordinal(clean_table(merge.concat_sheets(frames).drop(ORD)))
+    stacked = merge.concat_sheets(frames if ordered else [f.drop(ORD) for f in frames])
+    df = with_ordinal(clean_table(stacked))
     df = resolve_names(df, vendor_col, F.col(ORD), canonical_col="Vendor_Canonical", cluster_col="Vendor_Cluster_ID")
     merged = rollup.merge_quote_lines(df, order=F.col(ORD))
     return rollup.deduplicate(merged, subset, F.xxhash64(*merged.columns))  # no row order left after a shuffle

@@ -39,6 +39,10 @@ def half_even(expr: str, digits: int) -> str:
     return f"(round_even(CAST(({expr}) AS DOUBLE) * {scale}, 0) / {scale})"
 
 
+def round_exact(expr: str, digits: int) -> str:
+    return f"CAST(format('{{:.{digits}f}}', CAST(({expr}) AS DOUBLE)) AS DOUBLE)"
+
+
 def as_of():
     return F.lit(datetime.date.fromisoformat(AS_OF))
 
@@ -103,10 +107,10 @@ def master_preview(spark, sf):
     return merge.preview(sheet(spark, sf, "crm"))
 
 
-@query("master_summary", ctes("crm", "usage") + ", m AS (" + _full("crm", "usage", "l.deal_value, l.stage, r.usage") + """)
+@query("master_summary", ctes("crm", "usage") + ", m AS (" + _full("crm", "usage", "l.deal_value, l.stage, r.usage") + f""")
     , c AS (SELECT count(*) AS total, count(account_id) AS a, count(close_date) AS d FROM m)
-    SELECT 'account_id' AS key, a AS non_null, total, round_even(a / total * 1000, 0) / 10 AS pct, 5 AS column_count FROM c
-    UNION ALL SELECT 'close_date', d, total, round_even(d / total * 1000, 0) / 10, 5 FROM c""")
+    SELECT 'account_id' AS key, a AS non_null, total, {round_exact('a / total * 100', 1)} AS pct, 5 AS column_count FROM c
+    UNION ALL SELECT 'close_date', d, total, {round_exact('d / total * 100', 1)}, 5 FROM c""")
 def master_summary(spark, sf):
     return merge.master_summary(append_master(spark, sf))
 
@@ -158,7 +162,7 @@ def rollup_contracts(spark, sf):
 
 @query("classify_grain", ctes("lines", "faulty") + "".join(f"""
     {union} SELECT '{n}' AS sheet, CASE WHEN r > 0.9 THEN 'contract_level' WHEN r < 0.5 THEN 'line_item_level' ELSE 'mixed' END AS level,
-        total_rows, unique_ids, {half_even("r", 4)} AS uniqueness_ratio
+        total_rows, unique_ids, {round_exact("r", 4)} AS uniqueness_ratio
     FROM (SELECT count(contract_id) AS total_rows, count(DISTINCT contract_id) AS unique_ids,
                  count(DISTINCT contract_id) / count(contract_id) AS r FROM {n})""" for union, n in (("", "lines"), ("UNION ALL", "faulty"))))
 def classify_grain(spark, sf):
@@ -304,8 +308,8 @@ _COLUMNS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v, _ord FROM
 
 @query("profile_columns", ctes("order_text") + f", cells AS ({_COLUMNS})" + f"""
     SELECT "column", 'string' AS inferred_type, count(*) AS n_rows, CAST(count_if(v IS NULL OR trim(v) = '') AS BIGINT) AS null_count,
-           {half_even("count_if(v IS NULL OR trim(v) = '') / count(*) * 100", 2)} AS null_pct,
-           count(DISTINCT v) AS unique_count, {half_even("count(DISTINCT v) / count(*)", 4)} AS uniqueness_ratio
+           {round_exact("count_if(v IS NULL OR trim(v) = '') / count(*) * 100", 2)} AS null_pct,
+           count(DISTINCT v) AS unique_count, {round_exact("count(DISTINCT v) / count(*)", 4)} AS uniqueness_ratio
     FROM cells GROUP BY 1""")
 def profile_columns(spark, sf):
     return profile.profile_columns(sheet(spark, sf, "order_text"))
@@ -339,8 +343,8 @@ _STAT_COLS = ["total_value", "quantity", "discount", "term_months"]
 
 
 @query("numeric_stats", ctes("lines") + " UNION ALL ".join(f"""
-    SELECT '{c}' AS "column", count({c}) AS n, min({c}) AS min, max({c}) AS max, {half_even(f"avg({c})", 2)} AS mean,
-           {half_even(f"median({c})", 2)} AS median, {half_even(f"stddev_samp({c})", 2)} AS std FROM lines""" for c in _STAT_COLS))
+    SELECT '{c}' AS "column", count({c}) AS n, min({c}) AS min, max({c}) AS max, {round_exact(f"avg({c})", 2)} AS mean,
+           {round_exact(f"median({c})", 2)} AS median, {round_exact(f"stddev_samp({c})", 2)} AS std FROM lines""" for c in _STAT_COLS))
 def numeric_stats(spark, sf):
     return profile.numeric_stats(sheet(spark, sf, "lines").select(*_STAT_COLS, "product"))
 
@@ -356,8 +360,8 @@ def date_ranges(spark, sf):
     , c AS (SELECT order_id, part_number, flag, ship_date, quantity, count(*) AS n FROM line_codes GROUP BY ALL)
     , d AS (SELECT order_id, flag, quantity, count(*) AS n FROM line_codes GROUP BY ALL)
     SELECT 'line_codes' AS sheet, CAST(sum(n) AS BIGINT) AS row_count, 5 AS column_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count,
-           {half_even("sum(n - 1) / sum(n) * 100", 2)} AS duplicate_row_pct FROM c
-    UNION ALL SELECT 'narrow', CAST(sum(n) AS BIGINT), 3, CAST(sum(n - 1) AS BIGINT), {half_even("sum(n - 1) / sum(n) * 100", 2)} FROM d""")
+           {round_exact("sum(n - 1) / sum(n) * 100", 2)} AS duplicate_row_pct FROM c
+    UNION ALL SELECT 'narrow', CAST(sum(n) AS BIGINT), 3, CAST(sum(n - 1) AS BIGINT), {round_exact("sum(n - 1) / sum(n) * 100", 2)} FROM d""")
 def duplicate_rows(spark, sf):
     codes = sheet(spark, sf, "line_codes")
     narrow = Sheet("narrow", codes.select("order_id", "flag", "quantity"))
@@ -384,7 +388,7 @@ def _text_sheets(spark, sf) -> list[Sheet]:
     sizes AS (SELECT no, sheet, col, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) >= 3),
     pairs AS (SELECT a.no AS na, a.sheet AS sa, a.col AS ca, b.no AS nb, b.sheet AS sb, b.col AS cb, count(*) AS common
               FROM cells a JOIN cells b ON a.v = b.v AND a.no < b.no GROUP BY ALL)
-    SELECT sa AS sheet_1, ca AS column_1, sb AS sheet_2, cb AS column_2, {half_even("common / least(x.n, y.n) * 100", 1)} AS overlap_pct
+    SELECT sa AS sheet_1, ca AS column_1, sb AS sheet_2, cb AS column_2, {round_exact("common / least(x.n, y.n) * 100", 1)} AS overlap_pct
     FROM pairs JOIN sizes x ON na = x.no AND ca = x.col JOIN sizes y ON nb = y.no AND cb = y.col WHERE common / least(x.n, y.n) > 0.5""")
 def foreign_keys(spark, sf):
     return profile.foreign_keys(_text_sheets(spark, sf))
@@ -405,7 +409,7 @@ def shared_columns(spark, sf):
 @query("line_item_hints", ctes("line_codes") + " , h AS (" + " UNION ALL ".join(f"""
     SELECT '{c}' AS "column", 1 - count(DISTINCT {c}) / count({c}) AS r, count(DISTINCT {c}) AS unique_values, count({c}) AS total_rows
     FROM line_codes""" for c in ("order_id", "part_number")) + f""")
-    SELECT 'line_codes' AS sheet, "column", {half_even("r", 3)} AS duplicate_ratio, unique_values, total_rows FROM h WHERE r > 0.3""")
+    SELECT 'line_codes' AS sheet, "column", {round_exact("r", 3)} AS duplicate_ratio, unique_values, total_rows FROM h WHERE r > 0.3""")
 def line_item_hints(spark, sf):
     return profile.line_item_hints(Sheet("line_codes", sheet(spark, sf, "line_codes")))
 
@@ -429,19 +433,19 @@ _MASTER = ctes("crm", "billing") + ", m AS (" + _full(
 
 
 @query("completeness", _MASTER + f"""
-    SELECT *, {half_even("non_null / total * 100", 1)} AS pct FROM c""")
+    SELECT *, {round_exact("non_null / total * 100", 1)} AS pct FROM c""")
 def completeness(spark, sf):
     return profile.completeness(merge_full_outer(spark, sf))
 
 
-@query("quality_scorecard", _MASTER + f""", p AS (SELECT *, {half_even("non_null / total * 100", 1)} AS pct FROM c)
+@query("quality_scorecard", _MASTER + f""", p AS (SELECT *, {round_exact("non_null / total * 100", 1)} AS pct FROM c)
     SELECT *, CASE WHEN pct >= 90 THEN 'Excellent' WHEN pct >= 60 THEN 'Fair' ELSE 'Poor' END AS rating FROM p""")
 def quality_scorecard(spark, sf):
     return profile.quality_scorecard(merge_full_outer(spark, sf))
 
 
 @query("overall_quality", _MASTER + f"""
-    SELECT {half_even("sum(non_null) / sum(total) * 100", 1)} AS overall_pct FROM c""")
+    SELECT {round_exact("sum(non_null) / sum(total) * 100", 1)} AS overall_pct FROM c""")
 def overall_quality(spark, sf):
     return profile.overall_quality(profile.quality_scorecard(merge_full_outer(spark, sf)))
 
@@ -619,7 +623,15 @@ def layered_run(spark, sf):
     return _rounded(result.contracts, total_value=2).select(*own, "line_item_count", "account_segment")
 
 
-@query("cleaner_chain")
+@query("cleaner_chain", f"""WITH c AS (
+    SELECT CAST(o_orderkey AS STRING) AS "Contract_ID", {_MONEY} AS "ACV", {_DATE} AS "Contract_Close_Date", {_BOOL} AS "Auto_Renew",
+           CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS "Vendor", 'raw' AS meta_source_tab,
+           'raw' AS meta_source_file, CAST(o_orderkey % 6 = 4 AS BIGINT) AS is_auto_renew, o_orderkey FROM orders),
+    v AS (SELECT "Vendor", CAST(row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS STRING) AS "Vendor_Cluster_ID" FROM c WHERE "Vendor" IS NOT NULL GROUP BY 1)
+    SELECT c.* EXCLUDE (o_orderkey) REPLACE (CASE WHEN "Contract_Close_Date" IS NULL THEN "ACV" ELSE coalesce("ACV", 0) END AS "ACV"),
+           CASE WHEN "Contract_Close_Date" IS NULL THEN c."Vendor" ELSE coalesce(c."Vendor", '') END AS "Vendor_Canonical",
+           CASE WHEN "Contract_Close_Date" IS NULL THEN "Vendor_Cluster_ID" ELSE coalesce("Vendor_Cluster_ID", '') END AS "Vendor_Cluster_ID"
+    FROM c LEFT JOIN v ON c."Vendor" = v."Vendor" """)
 def cleaner_chain(spark, sf):
     raw = sheet(spark, sf, "raw_text")
     headers = {"raw": {"Deal No": "Contract_ID", "Annual Cost": "ACV", "Signed Date": "Contract_Close_Date",

@@ -88,34 +88,56 @@ def is_auto_renew(c: Column | str, also_na: bool = False) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+_GAP, _DAY, _YEAR = r"[\s/.\-]+", r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
+_MONTH_NO = r"(0?[1-9]|1[0-2])"
+_TIME = r"(?:[t\s]+\d{1,2}:\d{2}.*)?"
+_WRITTEN_IN_DIGITS = "(?s)^(?:" + "|".join([
+    rf"(\d{{4}}){_GAP}{_MONTH_NO}{_GAP}(\d{{1,2}})",       # groups 1-3: y m d
+    rf"(\d{{4}}){_GAP}(\d{{1,2}}){_GAP}{_MONTH_NO}",       # 4-6: y d m
+    rf"{_MONTH_NO}{_GAP}(\d{{1,2}}){_GAP}{_YEAR}",          # 7-9: m d y
+    rf"(\d{{1,2}}){_GAP}{_MONTH_NO}{_GAP}{_YEAR}",          # 10-12: d m y
+    r"(\d{4})(\d{2})(\d{2})",                             # 13-15: y m d
+]) + f"){_TIME}$|^.*$"
+_DIGITS_TO_ISO = "$1$4$9$12$13-$2$6$7$11$14-$3$5$8$10$15"
+_STARTS_LIKE_WORDS = r"^(?:[a-z]{3,}[\s.]+\d|\d{1,2}(?:st|nd|rd|th)?[\s\-]+[a-z]{3})"
+_WRITTEN_IN_WORDS = "(?s)^(?:" + "|".join([
+    rf"([a-z]{{3,}})[\s.]+{_DAY}[\s,]+(\d{{4}})",         # 1-3: m d y
+    rf"{_DAY}[\s\-]+([a-z]{{3,}})[\s.,\-]+(\d{{4}})",    # 4-6: d m y
+]) + f"){_TIME}$"
+
+
+def _read_day(low: Column) -> Column:
+    """One day from stripped lower-case text. Digits are put in ISO order by one pattern
+    and cast; only text with a month name goes through a date formatter."""
+    iso = F.regexp_replace(low, _WRITTEN_IN_DIGITS, _DIGITS_TO_ISO)  # '--' for anything else
+    recent = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
+    iso = F.regexp_replace(F.regexp_replace(iso, rf"^({recent}\d)-", "20$1-"), r"^(\d\d)-", "19$1-")
+    words = F.regexp_replace(low, _WRITTEN_IN_WORDS, "$3$6 $1$5 $2$4")
+    return F.when(low.rlike(_STARTS_LIKE_WORDS), F.try_to_date(words, "yyyy [MMMM][MMM] d")) \
+        .otherwise(iso.try_cast("date"))
+
+
 def single_date(c: Column | str) -> Column:
     """One written day -> date. Reads year-month-day, month/day/year (day and month
     trade places when only that is possible), 'Jan 15, 2024' and '15 Jan 2024', each
-    with an optional time of day; anything incomplete is null.
-
-    One pattern brings every shape to 'year month day', so the text is matched once."""
-    gap, day, year = r"[\s/.\-]+", r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
-    shapes = [
-        rf"(\d{{4}}){gap}(\d{{1,2}}){gap}(\d{{1,2}})",    # groups 1-3: y m d
-        rf"(\d{{1,2}}){gap}(\d{{1,2}}){gap}{year}",        # 4-6: m d y
-        rf"([A-Za-z]{{3,}})[\s.]+{day}[\s,]+(\d{{4}})",    # 7-9: m d y
-        rf"{day}[\s\-]+([A-Za-z]{{3,}})[\s.,\-]+(\d{{4}})",  # 10-12: d m y
-        r"(\d{4})(\d{2})(\d{2})",                          # 13-15: y m d
-    ]
-    pattern = "^(?:" + "|".join(shapes) + r")(?:[T\s]+\d{1,2}:\d{2}.*)?$"
-    u = F.regexp_replace(_col(c), pattern, "$1$6$9$12$13 $2$4$7$11$14 $3$5$8$10$15")
-    low = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
-    u = F.regexp_replace(F.regexp_replace(u, rf"^({low}\d) ", "20$1 "), r"^(\d\d) ", "19$1 ")
-    read = F.coalesce(F.try_to_date(u, "yyyy [MMMM][MMM][M] d"), F.try_to_date(u, "yyyy d M"))
-    return F.when(u.rlike(r"^\d{4} \w+ \d{1,2}$"), read)
+    with an optional time of day; anything incomplete is null."""
+    return _read_day(F.lower(strip(c)))
+
+
+def _cut_range(low: Column, separators: list[str]) -> Column:
+    """The text before the first listed separator that occurs: one search for any of
+    them, each only where no separator listed before it follows."""
+    ends = []
+    for i, sep in enumerate(separators):
+        later = f"(?!.*(?:{'|'.join(separators[:i])}))" if i else ""
+        ends.append(f"{sep[:-1]}(?= ){later}.*$")
+    return F.regexp_replace(low, "(?s)" + "|".join(ends), "")
 
 
 def parse_date(c: Column | str, separators: list[str] = fixed.RANGE_SEPARATORS) -> Column:
     """A date cell -> date; a range gives its start. Blanks, N/A and auto-renew words name
     no day, so they are null like any other text."""
-    cut = "(?is)^(?:" + "|".join(f"(.*?){sep}.*" for sep in separators) + ")$"
-    keep = "".join(f"${i}" for i in range(1, len(separators) + 1))
-    return single_date(strip(F.regexp_replace(strip(c), cut, keep)))
+    return _read_day(F.rtrim(_cut_range(F.lower(strip(c)), separators)))
 
 
 def as_date(df, name: str) -> Column:

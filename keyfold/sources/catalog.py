@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keyfold.model import Sheet, data_columns
 
 _LANES, _LANE_HEX = 4, 15  # 4 x 60 bits of each row's SHA-256
+_CHUNKS, _CHUNK_BITS = 3, 20
 
 
 def row_text(df: DataFrame) -> Column:
@@ -23,11 +24,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
     Sums of four slices of each row's SHA-256 are combined, so it is one aggregate; the
     multiset of rows decides, a doubled row included."""
     digest = df.select(F.sha2(row_text(df), 256).alias("h"))
-    lanes = [F.conv(F.substring("h", 1 + _LANE_HEX * i, _LANE_HEX), 16, 10).cast("decimal(20,0)") for i in range(_LANES)]
-    sums = digest.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.coalesce(F.sum(lane), F.lit(0)).cast("string").alias(f"s{i}") for i, lane in enumerate(lanes)])
+    lanes = digest.select(*[
+        F.conv(F.substring("h", 1 + _LANE_HEX * i, _LANE_HEX), 16, 10).cast("bigint").alias(f"l{i}") for i in range(_LANES)])
+    # 20 bits at a time: a plain long holds the sum of 2^43 rows
+    mask = F.lit((1 << _CHUNK_BITS) - 1)
+    sums = lanes.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.coalesce(F.sum(F.shiftright(f"l{i}", _CHUNK_BITS * k).bitwiseAND(mask)), F.lit(0)).alias(f"s{i}_{k}")
+        for i in range(_LANES) for k in range(_CHUNKS)])
+    whole = [sum((F.col(f"s{i}_{k}").cast("decimal(38,0)") * F.lit(1 << (_CHUNK_BITS * k)).cast("decimal(20,0)")
+                  for k in range(1, _CHUNKS)), F.col(f"s{i}_0").cast("decimal(38,0)")).cast("decimal(38,0)") for i in range(_LANES)]
     return sums.select("n_rows", F.sha2(F.concat_ws("-", F.col("n_rows").cast("string"),
-                                                    *[f"s{i}" for i in range(_LANES)]), 256).alias("content_hash"))
+                                                    *[w.cast("string") for w in whole]), 256).alias("content_hash"))
 
 
 def catalog(sheets: Sequence[Sheet], with_hash: bool = False) -> DataFrame:

@@ -9,6 +9,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# A generated method above this size is not compiled to machine code by the JVM, so wide
+# parsing projections run faster split into several methods than fused into one.
+CODE_SIZE = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session made elsewhere."""
+    for key, value in CODE_SIZE.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "keyfold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; a cluster's own settings win."""
     builder = SparkSession.builder.appName(app)
@@ -19,6 +31,7 @@ def build_session(app: str = "keyfold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        **CODE_SIZE,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

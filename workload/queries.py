@@ -14,7 +14,7 @@ from keyfold.model import ORD, Sheet
 from keyfold.operators import checks, clean, derive, entities, mapping, merge, mlready, profile, rollup, suggest
 from keyfold.plans import consolidate
 from keyfold.schema import CanonicalSchema
-from keyfold.session import work_folder
+from keyfold.session import tune, work_folder
 from keyfold.sources import catalog, sinks, tables
 from workload.fixtures import ctes, sheet, table
 
@@ -27,7 +27,7 @@ ORDER = F.col
 
 def query(name: str, oracle: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(tune(spark), sf)
         if oracle:
             ORACLE[name] = oracle
         return fn

@@ -37,12 +37,16 @@ def _simple_agg(c: str, method: str, order: Column, boolean: bool = False) -> Co
     return _first(c, order)  # 'first', and the fallback for unknown methods
 
 
-def default_method(df: DataFrame, c: str) -> str:
-    """Numbers and booleans that cannot be missing are summed (true counts 1), anything
-    else keeps its first value."""
-    field = df.schema[c]
-    pure_boolean = isinstance(field.dataType, T.BooleanType) and not field.nullable
-    return "sum" if pure_boolean or isinstance(field.dataType, T.NumericType) else "first"
+def pure_booleans(df: DataFrame) -> list[str]:
+    """Boolean columns declared without nulls."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType) and not f.nullable]
+
+
+def default_method(df: DataFrame, c: str, flags: Sequence[str] | None = None) -> str:
+    """Numbers and booleans that are never missing (`flags`, by default those declared so)
+    are summed, true counting 1; anything else keeps its first value."""
+    flags = pure_booleans(df) if flags is None else flags
+    return "sum" if c in flags or isinstance(df.schema[c].dataType, T.NumericType) else "first"
 
 
 def _reattach(grouped: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def find_column(columns: Sequence[str], preferred: str, keywords: Sequence[str])
 
 
 def merge_quote_lines(df: DataFrame, id_col: str = "Contract_ID", date_col: str = "Contract_Close_Date",
-                      order: Column | None = None) -> DataFrame:
+                      order: Column | None = None, flags: Sequence[str] | None = None) -> DataFrame:
     """Group quote lines by detected id (and close date): numbers are summed, provenance
     columns keep every distinct value, other columns their first one; lines without a
     complete key stay."""
@@ -169,7 +173,7 @@ def merge_quote_lines(df: DataFrame, id_col: str = "Contract_ID", date_col: str
     for c in df.columns:
         if c in keys or c == ORD:
             continue
-        methods[c] = "collect_unique" if c in fixed.PROVENANCE_COLS else default_method(df, c)
+        methods[c] = "collect_unique" if c in fixed.PROVENANCE_COLS else default_method(df, c, flags)
     grouped = group_aggregate(keyed, keys, methods, order, keep_blank=True)
     return _reattach(grouped, orphans.drop(ORD)).select(
         *[c for c in df.columns if c != ORD])

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyfold import fixed
@@ -15,6 +14,7 @@ from keyfold.operators import checks, derive, mapping, merge, mlready, rollup, s
 from keyfold.operators.clean import clean_table
 from keyfold.operators.entities import resolve_names
 from keyfold.schema import CanonicalSchema
+from keyfold.session import staged
 from keyfold.sources import sinks
 from keyfold.sources.tables import PROVENANCE_FILE, PROVENANCE_TAB, clean_frame
 
@@ -59,19 +59,18 @@ def run_layers(sheets: Sequence[Sheet], config: mapping.MappingConfig | None = N
     """Extract typed columns, resolve vendors, classify, roll up, join, derive, validate.
 
     Without a mapping configuration the suggestions are taken as they are. The extracted
-    sheets and the contracts feed several queries, so they are persisted (memory, then
-    disk)."""
+    sheets and the contracts feed several queries, so they are written once each."""
     schema = schema or CanonicalSchema.default()
     config = config or suggest.accept_suggestions(suggest.suggest_mappings(sheets, schema))
     extracted = {}
     for name, df in mapping.extract_sheets(sheets, config, schema).items():
         if "vendor" in df.columns:
             df = resolve_names(df, "vendor", F.col("_source_row_idx"), cluster_col=None)
-        extracted[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+        extracted[name] = staged(df, f"extracted-{len(extracted)}")
     levels = {n: rollup.classify_grain(df).first()["level"] for n, df in extracted.items()}
     rolled, items = rollup.rollup_sheets(extracted, rules=rules, order=F.col("_source_row_idx"), levels=levels)
     joined = merge.join_entities(rolled, primary, join_keys)
-    contracts = mapping.canonical_order(derive.derive_fields(joined, derived, as_of)).persist(StorageLevel.MEMORY_AND_DISK)
+    contracts = staged(mapping.canonical_order(derive.derive_fields(joined, derived, as_of)), "contracts")
     issues = checks.validate(contracts, validation, items, as_of)
     versions = {"schema": schema.version, "mapping": config.version}
     return LayeredResult(contracts, items, issues, levels, versions)
@@ -106,7 +105,10 @@ def clean_chain(sheets: Sequence[Sheet], headers: dict[str, dict[str, str]], ven
         names = mapping.suffix_duplicates(headers.get(s.name, {}))
         frames.append(df.withColumnsRenamed({r: n for r, n in names.items() if r in df.columns}))
     stacked = merge.concat_sheets(frames if ordered else [f.drop(ORD) for f in frames])
-    df = with_ordinal(clean_table(stacked))
+    # cleaned once; read by name counting, both rollup branches and the orphan rows
+    cleaned = with_ordinal(clean_table(stacked))
+    flags = rollup.pure_booleans(cleaned)  # a stored table no longer says so
+    df = staged(cleaned, "cleaned")
     df = resolve_names(df, vendor_col, F.col(ORD), canonical_col="Vendor_Canonical", cluster_col="Vendor_Cluster_ID")
-    merged = rollup.merge_quote_lines(df, order=F.col(ORD))
+    merged = rollup.merge_quote_lines(df, order=F.col(ORD), flags=flags)
     return rollup.deduplicate(merged, subset, F.xxhash64(*merged.columns))  # no row order left after a shuffle

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # A generated method above this size is not compiled to machine code by the JVM, so wide
@@ -49,3 +49,13 @@ def work_folder(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = os.path.join(tempfile.gettempdir(), "keyfold-work")
     return f"{base.rstrip('/')}/keyfold-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several queries read to the shared folder and read it back.
+
+    What led to it is computed once; later readers prune columns, and a lost executor
+    costs no more than its own tasks."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

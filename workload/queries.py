@@ -400,10 +400,16 @@ def value_overlap(spark, sf):
 
 
 @query("shared_columns", """
-    SELECT * FROM (VALUES ('customer_id', 'customers; orders'), ('name', 'customers; nations; regions'),
-                          ('nation_id', 'customers; nations'), ('region_id', 'nations; regions')) t("column", sheets)""")
+    SELECT * FROM (VALUES ('customer_id', 'customers; orders', (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)),
+        ('name', 'customers; nations; regions', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)),
+        ('nation_id', 'customers; nations', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)),
+        ('region_id', 'nations; regions', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region))) t("column", sheets, filled_cells)""")
 def shared_columns(spark, sf):
-    return profile.shared_columns(_text_sheets(spark, sf)).select("column", F.array_join("sheets", "; ").alias("sheets"))
+    sheets = _text_sheets(spark, sf)
+    filled = merge.concat_sheets([profile.completeness(s.df) for s in sheets]).groupBy(F.lower("column").alias("column")) \
+        .agg(F.sum("non_null").alias("filled_cells"))
+    return profile.shared_columns(sheets).join(filled, "column").select(
+        "column", F.array_join("sheets", "; ").alias("sheets"), "filled_cells")
 
 
 @query("line_item_hints", ctes("line_codes") + " , h AS (" + " UNION ALL ".join(f"""

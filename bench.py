@@ -2,7 +2,7 @@
 
 Each query is planned anew and written to Spark's no-op sink, so every row and column is
 computed and nothing is collected. Reported per query: the best of BENCH_RUNS timed runs
-(default 2) after one warm-up run."""
+(default 1) after one warm-up run."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from workload.queries import QUERIES  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = os.environ.get("BENCH_QUERIES")
     names = wanted.split(",") if wanted else list(QUERIES)
     spark = build_session("keyfold-bench", f"local[{cpus}]", **{

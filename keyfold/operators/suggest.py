@@ -68,11 +68,14 @@ def sensible(header: Column, alias: Column, canonical: Column, score: Column) ->
     return ~veto
 
 
-def value_types(sheets: Sequence[Sheet]) -> DataFrame:
+def value_types(sheets: Sequence[Sheet], only: dict[str, list[str]] | None = None) -> DataFrame:
     """(sheet, column, non_blank, value_type): the shape of more than 60 % of the
-    non-blank cells; dates are tried first, then money, then ids. Whole columns."""
+    non-blank cells; dates are tried first, then money, then ids. Whole columns, all of
+    them or those listed in `only` per sheet."""
     cell = F.nullif(cells.strip("value"), F.lit(""))
-    longs = [long_text(s.df, s.data_columns).select(F.lit(s.name).alias("sheet"), "column", cell.alias("cell")) for s in sheets]
+    wanted = {s.name: s.data_columns if only is None else only.get(s.name, []) for s in sheets}
+    sheets = [s for s in sheets if wanted[s.name]]
+    longs = [long_text(s.df, wanted[s.name]).select(F.lit(s.name).alias("sheet"), "column", cell.alias("cell")) for s in sheets]
     hits = cells.shape_hits(F.col("cell"))
     rows = reduce(DataFrame.unionByName, longs).groupBy("sheet", "column").agg(
         F.count("cell").alias("non_blank"), *[F.count_if(hit).alias(shape) for shape, hit in hits.items()])
@@ -117,7 +120,15 @@ def suggest_mappings(sheets: Sequence[Sheet], schema: CanonicalSchema | None = N
         F.when(ok, F.col("near")).alias("near"), F.when(ok, F.floor("hit.score")).alias("near_score"),
         F.when(ok, F.col("alias")).alias("matched_alias"))
 
-    typed = named.join(value_types(sheets).withColumnRenamed("column", "header"), ["sheet", "header"], "left") \
+    # one row per header; only columns no name led to are read
+    known = named.collect()
+    named = spark.createDataFrame(known, named.schema)
+    unnamed: dict[str, list[str]] = {}
+    for r in known:
+        if r["exact"] is None and r["near"] is None:
+            unnamed.setdefault(r["sheet"], []).append(r["header"])
+    kinds = value_types(sheets, unnamed) if unnamed else spark.createDataFrame([], "sheet string, column string, value_type string")
+    typed = named.join(kinds.withColumnRenamed("column", "header"), ["sheet", "header"], "left") \
         .withColumn("by_name", F.coalesce("exact", "near")) \
         .withColumn("guess", F.when(F.col("by_name").isNull(), field_from_type(F.col("header"), F.col("value_type"))))
     # one row per header from here on: windows over catalog rows only

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_filter
+from . import bpe, near_vectors, top_k, url_filter
 from .common import read
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -21,16 +21,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), SITES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
+    "op8_near_vectors": op8_near_vectors,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -38,6 +48,22 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = "|".join(url_filter.UNWANTED)
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": """
+WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
+c AS (SELECT vec_id, generate_subscripts(e, 1) AS i, CAST(floor(1024 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM v),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
+  FROM c q JOIN c p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op8_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings GROUP BY vec_id),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND list_sum(e) IS NOT NULL AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN c ON v.vec_id = c.x LEFT JOIN n ON v.vec_id = n.x""",
     "op10_url_filter": f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 raw AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest),
@@ -48,7 +74,7 @@ ruled AS (SELECT *, CASE
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-  list_min(list_filter({list(url_filter.UNWANTED)}, w -> regexp_matches(host, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) AS word FROM parts)
+  (SELECT min(w) FROM unnest({list(url_filter.UNWANTED)}) AS t(w) WHERE regexp_matches(host, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) AS word FROM parts)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN rule IS NULL THEN word END AS reason FROM ruled""",

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_vectors, top_k, url_filter
+from . import bpe, html_text, mixing, near_vectors, top_k, url_filter, warc
 from .common import read
 
+#: Capture time of the given pages, which carry none.
+WARC_DATE = "2024-01-01T00:00:00Z"
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 
 #: Verdict and site of the list rules.
@@ -29,10 +31,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.responses(read(spark, sf_dir, "pages"), WARC_DATE)
+    return warc.derivatives(responses)
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), SITES)
 
@@ -40,7 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_mix": op3_mix,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_near_vectors": op8_near_vectors,
+    "op9_main_text": op9_main_text,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, near_vectors, top_k, url_filter, warc
+from . import bpe, html_text, mixing, near_vectors, ngram_join, top_k, url_filter, warc
 from .common import read
 
 #: Capture time of the given pages, which carry none.
@@ -35,6 +35,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(read(spark, sf_dir, "documents"))
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = warc.responses(read(spark, sf_dir, "pages"), WARC_DATE)
     return warc.derivatives(responses)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix": op3_mix,
+    "op6_ngram_join": op6_ngram_join,
     "op7_warc_derivatives": op7_warc_derivatives,
     "op8_near_vectors": op8_near_vectors,
     "op9_main_text": op9_main_text,
@@ -73,6 +78,16 @@ s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS s
   FROM c q JOIN c p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+  ELSE list_distinct([array_to_string(t[i:i + 4], ' ') FOR i IN range(1, len(t) - 3)]) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(g) AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.x""",
     "op8_near_vectors": """
 WITH RECURSIVE v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings GROUP BY vec_id),
 g AS (SELECT * FROM v WHERE e IS NOT NULL AND list_sum(e) IS NOT NULL AND list_dot_product(e, e) > 0),

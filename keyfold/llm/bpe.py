@@ -168,18 +168,23 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
         run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Round trip per row: id, n_tokens, SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes."""
-    data, kind = _shared(docs, path), docs.schema[id_col].dataType.simpleString()
+def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Round trip per row: id, n_tokens, SHA-256 of the ids (little-endian, 32 bits) and of the
+    decoded bytes; with `ids` the ids too."""
+    data, kind, whole = _shared(docs, path), docs.schema[id_col].dataType.simpleString(), ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(data.value)
         for batch in slices(batches, "text"):
             ids = [np.frombuffer(x, "<u4") for x in bpe.packed(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pydict({
+            columns = {
                 "id": batch.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x.tolist())).hexdigest() for x in ids], pa.string())})
+                "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x.tolist())).hexdigest() for x in ids], pa.string())}
+            if whole:
+                columns["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
+    extra = ", ids array<int>" if ids else ""
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}").withColumnRenamed("id", id_col)

@@ -85,15 +85,17 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-        cap: float = 3.0) -> tuple[DataFrame, DataFrame]:
+        cap: float = 3.0, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture and its documents.
 
     Mixture: (position, source_no, rank, epoch, row, begin, words): words `begin` on of a document
     that a slot takes; a null position stands after all others. Documents: (row, doc_id, source,
-    size, source_size, target, source_no), one per input row; `row` tells repeated rows apart.
+    size, source_size, target, source_no), one per input row; `row` tells repeated rows apart
+    (`row_col` if there is such a column, else a number of this run).
     Null texts have no words and are never taken; an empty table gives empty results."""
-    sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
-    sized = staged(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
+    sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"),
+                        (docs[row_col] if row_col else F.monotonically_increasing_id()).alias("row"))
+    sized = staged(sized, "sized")
     plan = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     members = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     order = F.xxhash64(F.col("doc_id"), F.lit(17))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, lm, mixing, near_vectors, ngram_join, top_k, url_filter, warc
+from . import bpe, html_text, lm, mixing, near_vectors, ngram_join, quality, top_k, url_filter, warc
 from .common import read
 
 #: Capture time of the given pages, which carry none.
@@ -39,6 +39,10 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix": op3_mix,
     "op4_lm_scores": op4_lm_scores,
+    "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
     "op7_warc_derivatives": op7_warc_derivatives,
     "op8_near_vectors": op8_near_vectors,

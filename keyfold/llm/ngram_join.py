@@ -25,7 +25,7 @@ from .components import Forest, components
 from .shingles import mixed, shingle_set, text_hash
 
 #: Cells of the count sketch, prefix n-grams of a hash range, members of one trie.
-SKETCH, RANGE, STAR = 1 << 18, 400_000, 256
+SKETCH, RANGE, STAR = 1 << 18, 2_000_000, 256
 _PARTS, _FAN = 16, 256
 
 

@@ -17,18 +17,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, staged, words
-from .shingles import mixed, word_hashes
+from .shingles import mixed
 
 #: The end of a text, also the context of its first word; no word holds a line end.
 END = b"\n"
 #: Bytes of text in a chunk, pairs of a hash range, bits of a pair's key in its range.
-CHUNK, RANGE, BITS = 32 << 20, 400_000, 40
+CHUNK, RANGE, BITS = 16 << 20, 400_000, 40
 #: Bins per doubling in the histogram of estimates, and rounds of expectation-maximisation.
 FINE, ROUNDS = 8, 60
 _FOLDS, _TEST = 5, 1
@@ -100,7 +101,7 @@ class Chunk:
 
     def __init__(self, row: dict, ranges: int):
         self.docs, self.lengths, self.tokens = row["docs"], unpack(row["lengths"], "<i4"), unpack(row["tokens"], "<i4").astype(np.int64)
-        hashes = word_hashes(row["words"])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, row["words"]), np.uint64, len(row["words"]))
         end = row["words"].index(END)
         context = np.r_[end, self.tokens[:-1]]  # a text follows the end of the one before
         self.context = context
@@ -126,7 +127,7 @@ def pair_counts(chunked: DataFrame, ranges: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 c = Chunk(row, ranges)
                 out = [(r, row["chunk"], pack(np.diff(c.keys[a:b], prepend=0), "<i8"), pack(c.counts[a:b], "<i8")) for r, a, b in c.ranges]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])

@@ -38,7 +38,7 @@ _FOLDS, _TEST = 5, 1
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Numbers byte by byte of their width, compressed."""
     raw = np.ascontiguousarray(values, kind)
-    return zstandard.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), 1)
+    return zstandard.compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes(), 1)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:

@@ -240,7 +240,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         "centre", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node")
     far = staged(_joined(across, packed, percent, n), "far")
 
-    named = near.unionByName(far)
+    # Rows of one id with different texts are one vertex: their nodes are linked by it.
+    several = live.groupBy("doc_id").agg(F.min("node").alias("root"), F.max("node").alias("most")).where("root <> most")
+    named = near.unionByName(far).unionByName(live.join(several, "doc_id").where("node <> root").select("node", "root"))
     for c in ("node", "root"):
         named = named.join(reps.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id")), c)
     labels = components(named, "node_id", "root_id").withColumnRenamed("id", "rep")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,6 +26,7 @@ def main() -> None:
     names = wanted.split(",") if wanted else list(QUERIES)
     spark = build_session("keyfold-bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="keyfold-bench-"),
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}

@@ -99,28 +99,36 @@ _WRITTEN_IN_DIGITS = "(?s)^(?:" + "|".join([
     r"(\d{4})(\d{2})(\d{2})",                             # 13-15: y m d
 ]) + f"){_TIME}$|^.*$"
 _DIGITS_TO_ISO = "$1$4$9$12$13-$2$6$7$11$14-$3$5$8$10$15"
-_STARTS_LIKE_WORDS = r"^(?:[a-z]{3,}[\s.]+\d|\d{1,2}(?:st|nd|rd|th)?[\s\-]+[a-z]{3})"
+_WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[.,]?\s+"
+_SEPT = r"(?<![a-z])sept(?![a-z])"
+_LETTERS = r"[a-z]{3}"
 _WRITTEN_IN_WORDS = "(?s)^(?:" + "|".join([
-    rf"([a-z]{{3,}})[\s.]+{_DAY}[\s,]+(\d{{4}})",         # 1-3: m d y
-    rf"{_DAY}[\s\-]+([a-z]{{3,}})[\s.,\-]+(\d{{4}})",    # 4-6: d m y
-]) + f"){_TIME}$"
+    rf"([a-z]{{3,}})[\s.\-]+{_DAY}[\s,\-]+{_YEAR}",       # 1-3: m d y
+    rf"{_DAY}[\s\-]+([a-z]{{3,}})[\s.,\-]+{_YEAR}",      # 4-6: d m y
+    rf"(\d{{4}})[\s,\-]+([a-z]{{3,}})[\s.\-]+{_DAY}",    # 7-9: y m d
+]) + f"){_TIME}$|^.*$"
+
+
+def _full_year(dated: Column) -> Column:
+    """A leading two-digit year written out."""
+    recent = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
+    return F.regexp_replace(F.regexp_replace(dated, rf"^({recent}\d)(?=[- ])", "20$1"), r"^(\d\d)(?=[- ])", "19$1")
 
 
 def _read_day(low: Column) -> Column:
     """One day from stripped lower-case text. Digits are put in ISO order by one pattern
     and cast; only text with a month name goes through a date formatter."""
-    iso = F.regexp_replace(low, _WRITTEN_IN_DIGITS, _DIGITS_TO_ISO)  # '--' for anything else
-    recent = f"[0-{fixed.TWO_DIGIT_YEAR_PIVOT // 10 - 1}]"
-    iso = F.regexp_replace(F.regexp_replace(iso, rf"^({recent}\d)-", "20$1-"), r"^(\d\d)-", "19$1-")
-    words = F.regexp_replace(low, _WRITTEN_IN_WORDS, "$3$6 $1$5 $2$4")
-    return F.when(low.rlike(_STARTS_LIKE_WORDS), F.try_to_date(words, "yyyy [MMMM][MMM] d")) \
-        .otherwise(iso.try_cast("date"))
+    iso = _full_year(F.regexp_replace(low, _WRITTEN_IN_DIGITS, _DIGITS_TO_ISO))  # '--' for anything else
+    named = F.regexp_replace(F.regexp_replace(low, _WEEKDAY, ""), _SEPT, "sep")
+    words = _full_year(F.regexp_replace(named, _WRITTEN_IN_WORDS, "$3$6$7 $1$5$8 $2$4$9"))
+    return F.when(low.rlike(_LETTERS), F.try_to_date(words, "yyyy [MMMM][MMM] d")).otherwise(iso.try_cast("date"))
 
 
 def single_date(c: Column | str) -> Column:
     """One written day -> date. Reads year-month-day, month/day/year (day and month
-    trade places when only that is possible), 'Jan 15, 2024' and '15 Jan 2024', each
-    with an optional time of day; anything incomplete is null."""
+    trade places when only that is possible), 'Jan 15, 2024', '15 Jan 2024' and '2024 Jan 15',
+    with blanks, commas or hyphens, two-digit years and a weekday in front, each with an
+    optional time of day; anything incomplete is null."""
     return _read_day(F.lower(strip(c)))
 
 
@@ -161,8 +169,7 @@ def is_boolean_text(c: Column | str) -> Column:
 
 def is_error_cell(c: Column | str) -> Column:
     """Whether the whole cell is a spreadsheet error such as #REF! (any case)."""
-    words = [w + tail for w in fixed.ERROR_WORDS for tail in ("", "!")]
-    return F.coalesce(F.upper(strip(c)).isin(words), F.lit(False))
+    return F.coalesce(strip(c).rlike(fixed.ERROR_CELL), F.lit(False))
 
 
 def error_to_null(c: Column | str) -> Column:

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyfold import fixed
-from keyfold.functions.cells import strip
+from keyfold.functions.cells import expand_name, strip
 from keyfold.functions.similarity import NameIndex
-from keyfold.session import work_folder
+from keyfold.session import staged, work_folder
 
 _NAMES = "name string, n bigint, first_ord bigint"
 _SETTLED = _NAMES + ", cluster_id bigint"
@@ -64,14 +64,21 @@ def _assign(names: DataFrame, leaders: list[str], threshold: float, next_id: int
 
 
 def cluster_names(names: DataFrame, threshold: float = fixed.NAME_THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(name, n, first_ord) -> the same plus cluster_id, numbered in leader order."""
+    """(name, n, first_ord) -> the same plus cluster_id, numbered in leader order.
+
+    Names of one form (lower case, short forms written out) match alike, so the first of
+    them is clustered and the others follow it."""
+    formed = staged(names.withColumn("__form", expand_name("name")), "forms")
+    firsts = formed.groupBy("__form").agg(F.min_by("name", "first_ord").alias("name"), F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
+    found = _cluster_forms(firsts.select("name", "n", "first_ord"), threshold, block)
+    ids = found.select(expand_name("name").alias("__form"), "cluster_id")
+    return formed.join(ids, "__form").select("name", "n", "first_ord", "cluster_id")
+
+
+def _cluster_forms(names: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The rounds; every size takes the same way."""
     spark = names.sparkSession
     folder = work_folder(spark, "names")
-    first = names.orderBy("first_ord").limit(block + 1).collect()
-    if len(first) <= block:
-        _, settled = _lead(first, threshold, 0)
-        return spark.createDataFrame(settled, _SETTLED)
-
     names.write.parquet(f"{folder}/open/round=0")
     next_id, turn, parts = 0, 0, []
     while True:

@@ -101,7 +101,8 @@ def _salted(side: DataFrame, keys: Sequence[str], number: int, hot: DataFrame) -
     marks = _prefixed(hot, "__h")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col("__h" + k)) for k in keys])
     salts, spread = F.col("__h__salts"), F.col("__h__spread")
-    turn = F.pmod(F.monotonically_increasing_id(), F.coalesce(salts, F.lit(1))).cast("int")
+    # by the row itself: a task that runs again must deal its rows as before
+    turn = F.pmod(F.xxhash64(*side.columns), F.coalesce(salts, F.lit(1))).cast("int")
     choice = F.when(salts.isNull(), F.array(F.lit(0))).when(spread == number, F.array(F.col("__turn"))) \
         .otherwise(F.sequence(F.lit(0), salts - 1))
     # the hot-key table was bounded when it was collected
@@ -143,7 +144,11 @@ def pad_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
     value in sheet order."""
     sheets = [s.drop(ORD) for s in sheets]
     if len(sheets) > _MAX_FRAMES:
-        return pad_merge([pad_merge(sheets[:_MAX_FRAMES], keys, hot), *sheets[_MAX_FRAMES:]], keys)
+        # the first sheets become one, which stands for each of them as the spread sheet
+        spread = F.col("__spread")
+        inner = hot.where(spread < _MAX_FRAMES) if hot is not None else None
+        outer = hot.withColumn("__spread", F.greatest(spread - (_MAX_FRAMES - 1), F.lit(0))) if hot is not None else None
+        return pad_merge([pad_merge(sheets[:_MAX_FRAMES], keys, inner), *sheets[_MAX_FRAMES:]], keys, outer)
     joined = _pad_join(sheets, keys, [True] * len(sheets), hot)
     columns = list(dict.fromkeys(c for s in sheets for c in s.columns))
     picks = []
@@ -174,6 +179,11 @@ def stack_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COL
     return stacked.groupBy(*keys).agg(*aggs).select(*columns)
 
 
+def _wide(count: Column) -> Column:
+    """A count whose products with another count do not overflow."""
+    return count.cast("decimal(19,0)")
+
+
 def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
                    source: str = "new data", examples: int = 3) -> DataFrame:
     """Conflicting values of overlapping columns, compared as stripped text where both
@@ -202,7 +212,7 @@ def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixe
     on_left, on_right = F.when(F.col("l") > 0, F.col("value")), F.when(F.col("r") > 0, F.col("value"))
     per_key = (
         per_value.groupBy(*keys, "column")
-        .agg((F.sum("l") * F.sum("r") - F.sum(F.col("l") * F.col("r"))).alias("n"),
+        .agg((_wide(F.sum("l")) * _wide(F.sum("r")) - F.sum(_wide(F.col("l")) * _wide(F.col("r")))).alias("n"),
              F.min(on_left).alias("lo_l"), F.max(on_left).alias("hi_l"),
              F.min(on_right).alias("lo_r"), F.max(on_right).alias("hi_r"))
         .where("n > 0")
@@ -214,7 +224,7 @@ def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixe
             F.when((F.col("lo_l") == F.col("lo_r")), F.when(F.col("hi_r") == F.col("lo_l"), F.col("lo_r")).otherwise(F.col("hi_r")))
             .otherwise(F.col("lo_r")).alias("new"))
     )
-    totals = per_key.groupBy("column").agg(F.sum("n").alias("n_conflicts"))
+    totals = per_key.groupBy("column").agg(F.sum("n").cast("bigint").alias("n_conflicts"))
     first = Window.partitionBy("column").orderBy("key")
     top = per_key.withColumn("example_no", F.row_number().over(first)).where(F.col("example_no") <= examples)
     return top.join(totals, "column").select(
@@ -232,10 +242,12 @@ def _guard(left, right, keys, source, on_conflict) -> None:
         raise ValueError("on_conflict is 'error' or 'keep_left'")
 
 
-def _merge(sheets: Sequence[DataFrame], keys: Sequence[str], plan: str) -> DataFrame:
+def _merge(sheets: Sequence[DataFrame], keys: Sequence[str], plan: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     hot = None
-    if plan == "auto":
-        facts = key_facts(sheets, keys)
+    if plan in ("auto", "stack"):
+        facts = key_facts(sheets, keys, hot_rows)
+        if plan == "stack" and not facts.unique:
+            raise ValueError("plan 'stack' needs keys that occur once per sheet")
         plan, hot = ("stack" if facts.unique else "pad"), facts.hot
     if plan == "stack":
         return stack_merge(sheets, keys)
@@ -245,9 +257,13 @@ def _merge(sheets: Sequence[DataFrame], keys: Sequence[str], plan: str) -> DataF
 
 
 def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
-                 on_conflict: str = "error", plan: str = "auto") -> DataFrame:
+                 on_conflict: str = "error", plan: str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Outer-merge sheets left to right and drop rows without any key part.
 
+    Keys of more than `hot_rows` rows, and of more than a ten-thousandth of all, are salted;
+    that decides how rows are dealt, not which rows come out. plan="stack" asks for keys
+    that occur once per sheet, plan="pad" merges any keys without counting them.
+
     Keyless rows are dropped before the merge: they could only pair with each other and
     all such pairs would be dropped afterwards."""
     if not sheets:
@@ -261,9 +277,9 @@ def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_CO
         before = sheets[0] if i == 1 else None
         if on_conflict == "error" and before is None:
             shared = {c for s in sheets[:i] for c in s.columns} & set(sheets[i].columns) - set(keys)
-            before = _merge(sheets[:i], keys, plan) if shared else sheets[i].select(*keys)
+            before = _merge(sheets[:i], keys, plan, hot_rows) if shared else sheets[i].select(*keys)
         _guard(before if before is not None else sheets[0], sheets[i], keys, f"Sheet {i + 1}", on_conflict)
-    return _merge(sheets, keys, plan)
+    return _merge(sheets, keys, plan, hot_rows)
 
 
 def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
@@ -299,13 +315,12 @@ def preview(df: DataFrame, keys: Sequence[str] = fixed.KEY_COLS, rows: int = 100
 
 
 def join_entities(sheets: dict[str, DataFrame], primary: str | None = None,
-                  join_keys: Sequence[str] = fixed.JOIN_KEYS, salt: bool = True) -> DataFrame:
+                  join_keys: Sequence[str] = fixed.JOIN_KEYS) -> DataFrame:
     """Left-join every other sheet onto a base on the first shared key; stack it when
     there is none. The base is the named sheet, or the one with most rows. Overlapping
     columns of a joined sheet get its name as a suffix; lineage columns are dropped.
 
-    The joined sheet is padded with the keys it lacks, so the left join is an inner one
-    that may be salted; `salt=False` skips counting rows per key."""
+    A left join needs no padding: Spark splits the skewed partitions of its left side."""
     if not sheets:
         raise ValueError("nothing to join")
     if primary in sheets:
@@ -325,9 +340,9 @@ def join_entities(sheets: dict[str, DataFrame], primary: str | None = None,
             continue
         df = df.drop(*fixed.LINEAGE_COLS, ORD)
         df = df.toDF(*[f"{c}_{name}" if c != key and c in base.columns else c for c in df.columns])
-        joined = _pad_join([base, df], [key], [False, True], key_facts([base, df], [key]).hot if salt else None)
-        base = joined.select(*[F.col("__0_" + c).alias(c) for c in base.columns],
-                             *[F.col("__1_" + c).alias(c) for c in df.columns if c != key])
+        right = _prefixed(df, "__1_")
+        base = base.join(right, base[key].eqNullSafe(right["__1_" + key]), "left").select(
+            *[base[c] for c in base.columns], *[right["__1_" + c].alias(c) for c in df.columns if c != key])
     return base
 
 

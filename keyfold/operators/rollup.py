@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keyfold import fixed
-from keyfold.functions.cells import round_exact
+from keyfold.functions.cells import round_exact, strip
 from keyfold.model import ORD
 from keyfold.operators.merge import split_keyed
 
@@ -67,7 +67,7 @@ def _unique_joined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], o
     long = df.select(*keys, order.alias("__ord"), *[F.col(c).cast("string").alias(c) for c in columns]) \
         .unpivot([*keys, "__ord"], list(columns), "__column", "__value").where("__value is not null")
     if not keep_blank:
-        long = long.where(F.trim("__value") != "")
+        long = long.where(strip("__value") != "")
     distinct = long.groupBy(*keys, "__column", "__value").agg(F.min("__ord").alias("__ord"))
     entry = F.struct("__ord", "__value")
     return distinct.groupBy(*keys).agg(*[

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -16,21 +17,6 @@ _SPARK_TYPES = {
 }
 
 
-def spell_out(entry: str) -> list[str]:
-    """'a|b x c|d' -> every head-tail phrase, first with blanks, then with underscores."""
-    heads, _, tails = entry.partition(" x ")
-    phrases = [f"{h} {t}".strip() for h in heads.split("|") for t in (tails.split("|") if tails else [""])]
-    out: list[str] = []
-    for phrase in phrases:
-        plain = all(ch.isalnum() or ch == " " for ch in phrase)
-        for spelling in (phrase, phrase.replace(" ", "_") if plain else phrase,
-                         phrase.replace(" ", "") if plain and " " in phrase and len(phrase) <= 14 else phrase,
-                         phrase.replace(" #", "#")):
-            if spelling not in out:
-                out.append(spelling)
-    return out
-
-
 @dataclass(frozen=True)
 class FieldSpec:
     name: str
@@ -56,7 +42,7 @@ class CanonicalSchema:
     def default(cls) -> "CanonicalSchema":
         specs = [
             FieldSpec(name, kind, name in fixed.REQUIRED_FIELDS, level, category,
-                      tuple(a for e in fixed.HEADER_WORDS[name] for a in spell_out(e)))
+                      tuple(s for a in fixed.HEADER_SPELLINGS[name] for s in dict.fromkeys((a, a.replace(" ", "_")))))
             for name, (kind, level, category) in fixed.FIELDS.items()
         ]
         return cls(specs, derived=fixed.DERIVED_CONTRACT_FIELDS)
@@ -71,6 +57,12 @@ class CanonicalSchema:
         ]
         return cls(specs, data.get("version", "v1"), data.get("derived_contract_fields"))
 
+    @classmethod
+    def from_json(cls, path: str) -> "CanonicalSchema":
+        """From a configuration file of that form on the driver."""
+        with open(path, encoding="utf-8") as file:
+            return cls.from_dict(json.load(file))
+
     def names(self, **where) -> list[str]:
         """Names of the fields whose metadata equals every given value."""
         return [f.name for f in self.fields.values() if all(getattr(f, k) == v for k, v in where.items())]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 CODE_SIZE = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+_SHIPPED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session made elsewhere."""
     for key, value in CODE_SIZE.items():
@@ -35,7 +39,21 @@ def build_session(app: str = "keyfold", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers, which may not have it on their path.
+
+    The archive is written on the driver and served to the executors by Spark."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="keyfold-"), "keyfold"), "zip",
+                                      os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+    return spark
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -45,7 +63,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = os.path.join(tempfile.gettempdir(), "keyfold-work")
     return f"{base.rstrip('/')}/keyfold-{label}-{uuid.uuid4().hex[:12]}"

@@ -86,7 +86,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
 
 
 def read_folder(spark: SparkSession, folder: str, multiline: bool = True) -> list[Sheet]:
-    """Every .csv file and every workbook sheet of a folder, in file order."""
+    """Every .csv file and every data sheet of the workbooks of a folder, in file order."""
     from keyfold.sources.workbooks import read_workbooks
 
     sheets = []
@@ -94,7 +94,7 @@ def read_folder(spark: SparkSession, folder: str, multiline: bool = True) -> lis
         name = os.path.basename(path)
         sheets.append(Sheet(os.path.splitext(name)[0], read_csv(spark, path, multiline), name))
     if list_files(spark, folder, ".xlsx"):
-        sheets += read_workbooks(spark, folder)
+        sheets += keep_data_sheets(read_workbooks(spark, folder))
     return sheets
 
 

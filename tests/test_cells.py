@@ -32,6 +32,8 @@ def test_currency_without_billions(spark):
     ("4/15/2025 – 4/14/2026", dt.date(2025, 4, 15)), ("Auto-renew", None), ("evergreen", None), ("N/A", None), ("", None),
     ("2024-02-30", None), ("13/13/2020", None), ("Jan 2024", None), (None, None), ("May 9, 2020", dt.date(2020, 5, 9)),
     ("2024/3/7 - x to y", None), ("1/2/2024 TO 3/4/2025 - z", dt.date(2024, 1, 2)), ("5-Sep-2023", dt.date(2023, 9, 5)),
+    ("Sept 15, 2024", dt.date(2024, 9, 15)), ("15-Jan-24", dt.date(2024, 1, 15)), ("Jan 15, 24", dt.date(2024, 1, 15)), ("Jan-15-2024", dt.date(2024, 1, 15)),
+    ("Monday, January 15, 2024", dt.date(2024, 1, 15)), ("2024 Jan 15", dt.date(2024, 1, 15)), ("2024-Sep-05", dt.date(2024, 9, 5)), ("Tue 16 Jan 71", dt.date(1971, 1, 16)),
     ("15.01.2024", dt.date(2024, 1, 15)), ("2024", None), ("2024-05", None), ("Smith 12 2020", None),
 ])
 def test_dates(spark, text, value):

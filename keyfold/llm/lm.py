@@ -31,7 +31,7 @@ END = b"\n"
 #: Bytes of text in a chunk, pairs of a hash range, bits of a pair's key in its range.
 CHUNK, RANGE, BITS = 16 << 20, 400_000, 40
 #: Bins per doubling in the histogram of estimates, and rounds of expectation-maximisation.
-FINE, ROUNDS = 8, 60
+FINE, ROUNDS = 4, 60
 _FOLDS, _TEST = 5, 1
 
 
@@ -52,9 +52,9 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Staged rows (chunk, docs, lengths, tokens, words, counts): tokens number the local words, the
-    most frequent first; `counts` are those in training documents."""
-    fields = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+    """Staged rows (chunk, size, docs, lengths, tokens, names, counts): tokens number the local words,
+    the most frequent first; `counts` are those in training documents."""
+    fields = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("docs", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("lengths", "tokens", "names", "counts")]])
 
     def run(batches):
         number, part = 0, TaskContext.get().partitionId()
@@ -70,7 +70,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             counts = np.bincount(tokens[train], minlength=len(index))
             names = list(index)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((
-                [part << 32 | number], [ids], [pack(lengths, "<i4")], [pack(tokens, "<i4")], [[names[i] for i in order.tolist()]], [counts]), fields, strict=True)], schema=fields)
+                [part << 32 | number], [len(tokens)], [ids], [pack(lengths, "<i4")], [pack(tokens, "<i4")],
+                [zstandard.compress(b" ".join([names[i] for i in order.tolist()]), 3)], [pack(counts, "<i8")]), fields, strict=True)], schema=fields)
 
         ids, parts, index, held = [], [], {}, 0
         for batch in slices(batches, "text"):
@@ -86,14 +87,39 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush(ids, parts, index)
 
-    return staged(docs.mapInArrow(run, "chunk long, docs array<long>, lengths binary, tokens binary, words array<binary>, counts array<long>"), "chunks")
+    return staged(docs.mapInArrow(run, "chunk long, size long, docs array<long>, lengths binary, tokens binary, names binary, counts binary"), "chunks")
 
 
 def word_counts(chunked: DataFrame) -> DataFrame:
-    """Staged (chunk, pos, count, first): training count of each word of each chunk; `first` once per word."""
-    each = chunked.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    """Staged (chunk, found, tokens, types): training counts of a chunk's words, in their order; the
+    sums and numbers of counts of the words that no earlier chunk has."""
+
+    def each(batches):
+        for row in rows_of(batches):
+            names = zstandard.decompress(row["names"]).split(b" ")
+            for begin in range(0, len(names), 50_000):
+                part = names[begin:begin + 50_000]
+                yield pa.RecordBatch.from_pydict({"chunk": np.full(len(part), row["chunk"]), "pos": np.arange(begin, begin + len(part), dtype=np.int32),
+                                                  "word": pa.array(part, pa.binary()), "n": unpack(row["counts"], "<i8")[begin:begin + 50_000]})
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pos, count, first = (table[c].to_numpy() for c in ("pos", "count", "first"))
+        inorder = np.empty(len(pos), np.int64)
+        inorder[pos] = count
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "found": pa.array([pack(inorder, "<i8")], pa.binary()),
+                         "tokens": [int(count[first].sum())], "types": [int((count[first] > 0).sum())]})
+
     same = Window.partitionBy("word")
-    return staged(each.select("chunk", "pos", F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "words")
+    split = chunked.select("chunk", "names", "counts").mapInArrow(each, "chunk long, pos int, word binary, n long")
+    counted = split.select("chunk", "pos", F.sum("n").over(same).alias("count"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
+    return staged(counted.groupBy("chunk").applyInArrow(gather, "chunk long, found binary, tokens long, types long"), "words")
+
+
+def rows_of(batches):
+    """Rows as dictionaries, one at a time: a chunk is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 class Chunk:
@@ -101,8 +127,9 @@ class Chunk:
 
     def __init__(self, row: dict, ranges: int):
         self.docs, self.lengths, self.tokens = row["docs"], unpack(row["lengths"], "<i4"), unpack(row["tokens"], "<i4").astype(np.int64)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, row["words"]), np.uint64, len(row["words"]))
-        end = row["words"].index(END)
+        names = zstandard.decompress(row["names"]).split(b" ")
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        end = names.index(END)
         context = np.r_[end, self.tokens[:-1]]  # a text follows the end of the one before
         self.context = context
         pairs, self.pair_of = np.unique(context * len(hashes) + self.tokens, return_inverse=True)
@@ -126,11 +153,10 @@ def pair_counts(chunked: DataFrame, ranges: int) -> DataFrame:
     fields = [("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
 
     def send(batches):
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                c = Chunk(row, ranges)
-                out = [(r, row["chunk"], pack(np.diff(c.keys[a:b], prepend=0), "<i8"), pack(c.counts[a:b], "<i8")) for r, a, b in c.ranges]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
+        for row in rows_of(batches):
+            c = Chunk(row, ranges)
+            out = [(r, row["chunk"], pack(np.diff(c.keys[a:b], prepend=0), "<i8"), pack(c.counts[a:b], "<i8")) for r, a, b in c.ranges]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(k, "<i8")) for k in table["keys"].to_pylist()]
@@ -139,7 +165,7 @@ def pair_counts(chunked: DataFrame, ranges: int) -> DataFrame:
         found = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"chunk": table["chunk"], "range": table["range"], "found": pa.array([pack(f, "<i8") for f in found], pa.binary())})
 
-    sent = chunked.select("chunk", "docs", "lengths", "tokens", "words").mapInArrow(send, "range int, chunk long, keys binary, counts binary")
+    sent = chunked.select("chunk", "docs", "lengths", "tokens", "names").mapInArrow(send, "range int, chunk long, keys binary, counts binary")
     return staged(sent.groupBy("range").applyInArrow(add, "chunk long, range int, found binary"), "pairs")
 
 
@@ -176,32 +202,27 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     result; without training tokens every word is unknown. Other columns are ignored."""
     chunked = chunks(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")))
     counted = word_counts(chunked)
-    tokens, types = counted.where("first").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    everything = chunked.agg(F.coalesce(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
-    ranges = max(1, math.ceil(max(everything, 1) / RANGE))
-    paired = pair_counts(chunked, ranges)
-    answers = counted.select("chunk", "pos", "count", F.lit(None).cast("binary").alias("found")).unionByName(
-        paired.select("chunk", F.col("range").alias("pos"), F.lit(None).cast("long").alias("count"), "found"))
-    texts = chunked.select("chunk", "docs", "lengths", "tokens", "words")
+    total = F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))
+    tokens, types = counted.agg(*total).first()
+    everything = chunked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ranges = max(1, math.ceil(everything / RANGE))
+    answers = counted.select("chunk", F.lit(-1).alias("range"), "found").unionByName(pair_counts(chunked, ranges))
+    texts = chunked.select("chunk", "docs", "lengths", "tokens", "names")
 
     def met(left: pa.Table, right: pa.Table):
         """A chunk with, per token, the counts of its pair, context and word."""
         c = Chunk(left.to_pylist()[0], ranges)
-        packed = pa.compute.is_valid(right["found"])
-        single = right.filter(pa.compute.invert(packed))
-        word = np.empty(len(single), np.int64)
-        word[single["pos"].to_numpy()] = single["count"].to_numpy()
-        back = right.filter(packed)
-        found = dict(zip(back["pos"].to_pylist(), back["found"].to_pylist(), strict=True))
+        found = dict(zip(right["range"].to_pylist(), right["found"].to_pylist(), strict=True))
+        word = unpack(found[-1], "<i8")
         pair = np.concatenate([unpack(found[r], "<i8") for r, _, _ in c.ranges])
         return c, pair[c.pair_of], word[c.context], word[c.tokens]
 
     def deleted(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         c, pair, context, word = met(left, right)
         pair, context, word = (x[c.train] - 1 for x in (pair, context, word))
-        binned = np.c_[_bucket(context), _bins(pair / np.maximum(context, 1)), _bins(word / max(tokens - 1, 1))]
-        kinds, number = np.unique(binned, axis=0, return_counts=True)
-        return pa.table({"bucket": kinds[:, 0], "b2": kinds[:, 1], "b1": kinds[:, 2], "n": number})
+        binned = (_bucket(context) << 48) + (-_bins(pair / np.maximum(context, 1)) << 24) - _bins(word / max(tokens - 1, 1))
+        kinds, number = np.unique(binned, return_counts=True)
+        return pa.table({"bucket": kinds >> 48, "b2": -(kinds >> 24 & 0xFFFFFF), "b1": -(kinds & 0xFFFFFF), "n": number})
 
     histogram = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(deleted, "bucket long, b2 long, b1 long, n long")
     weights = learn([tuple(r) for r in histogram.groupBy("bucket", "b2", "b1").agg(F.sum("n")).collect()], types)

@@ -256,11 +256,14 @@ def foreign_keys(sheets: Sequence[Sheet]) -> DataFrame:
         [(i, sheet_no[s], s, c) for (s, c), i in code.items()], "col int, sheet_no int, sheet string, column string")
     sides = catalog.join(sizes, "col").where("n >= 3")
 
-    holders = values.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols")).where(F.size("cols") > 1)
+    # columns of too few values, and then columns of one sheet, never make a pair
+    kept = values.join(F.broadcast(sides.select("col", "sheet_no")), "col")  # one row per column
+    holders = kept.groupBy("value").agg(F.array_sort(F.collect_set(F.struct("sheet_no", "col"))).alias("cols")).where(F.size("cols") > 1)
+    rest = F.slice("cols", F.col("at") + 2, F.size("cols"))
     pairs = (
-        holders.select(F.posexplode("cols").alias("at", "a"), "cols")
-        .select("a", F.explode(F.slice("cols", F.col("at") + 2, F.size("cols"))).alias("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+        holders.select(F.posexplode("cols").alias("at", "x"), "cols")
+        .select(F.col("x.col").alias("a"), F.explode(F.filter(rest, lambda y: y["sheet_no"] > F.col("x.sheet_no"))).alias("y"))
+        .groupBy("a", F.col("y.col").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     )
 
     def side(k: str) -> DataFrame:

@@ -24,7 +24,7 @@ from keyfold.session import work_folder
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_ROWS = "file string, sheet string, sheet_no int, row_idx bigint, cells array<string>, error string"
+_ROWS = "path string, file string, sheet string, sheet_no int, row_idx bigint, cells array<string>, error string"
 _BATCH = 20_000
 # fixed values of the file format: number formats that show a date
 _DATE_FORMAT_IDS = set(range(14, 23)) | {45, 46, 47}
@@ -104,40 +104,44 @@ def _parse_book(file: str, content: bytes) -> Iterator[tuple]:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["file", "sheet", "sheet_no", "row_idx", "cells", "error"]
+    columns = ["path", "file", "sheet", "sheet_no", "row_idx", "cells", "error"]
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             file, buffer = path.rsplit("/", 1)[-1], []
             try:
                 for row in _parse_book(file, content):
-                    buffer.append(row)
+                    buffer.append((path, *row))
                     if len(buffer) == _BATCH:
                         yield pd.DataFrame(buffer, columns=columns).astype({"row_idx": "Int64"})
                         buffer = []
             except Exception as exc:  # not a workbook
-                buffer.append((file, None, None, None, None, str(exc)))
+                buffer.append((path, file, None, None, None, None, str(exc)))
             if buffer:
                 yield pd.DataFrame(buffer, columns=columns).astype({"row_idx": "Int64", "sheet_no": "Int64"})
 
 
 def parse_workbooks(spark: SparkSession, path: str):
-    """(file, sheet, sheet_no, row_idx, cells, error) of every workbook under a path."""
+    """(path, file, sheet, sheet_no, row_idx, cells, error) of every workbook under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return files.select("path", "content").mapInPandas(_parse, _ROWS)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> list[Sheet]:
-    """One sheet per workbook tab that has a header row; names are file:tab when several
-    files are read."""
+    """One sheet per workbook tab that has a header row and was read to its end; tabs that
+    break off are left out whole, and parse_workbooks lists their errors. Names are
+    file:tab when several files are read, with the whole path where files share a name."""
     table = work_folder(spark, "workbooks")
-    parse_workbooks(spark, path).write.partitionBy("file", "sheet").parquet(table)
-    rows = spark.read.parquet(table)
+    parse_workbooks(spark, path).write.partitionBy("path", "sheet").parquet(table)
+    rows = spark.read.schema(_ROWS).parquet(table)  # else tabs such as 2024 become numbers
+    whole = F.count_if(F.col("error").isNotNull()) == 0
     heads = (
-        rows.where("error is null").groupBy("file", "sheet")
-        .agg(F.min_by(F.struct("sheet_no", "row_idx", "cells"), "row_idx").alias("h"), F.max(F.size("cells")).alias("width"))
-        .orderBy("file", "h.sheet_no").collect()  # one row per tab
+        rows.where("sheet is not null").groupBy("path", "sheet")
+        .agg(F.min_by(F.struct("sheet_no", "row_idx", "cells"), "row_idx").alias("h"), F.max(F.size("cells")).alias("width"), whole.alias("whole"))
+        .where("whole and h.row_idx is not null").orderBy("path", "h.sheet_no").collect()  # one row per tab
     )
-    many = len({h["file"] for h in heads}) > 1
+    paths = {h["path"] for h in heads}
+    short = {path: path.rsplit("/", 1)[-1] for path in paths}
+    names_of_files = short if len(set(short.values())) == len(paths) else {path: path for path in paths}
     sheets = []
     for h in heads:
         header = list(h["h"]["cells"]) + [None] * (h["width"] - len(h["h"]["cells"]))
@@ -146,9 +150,9 @@ def read_workbooks(spark: SparkSession, path: str) -> list[Sheet]:
             name = text if text and text.strip() else f"Unnamed: {i}"
             used[name] = used.get(name, -1) + 1
             names.append(name if used[name] == 0 else f"{name}.{used[name]}")
-        body = rows.where((F.col("file") == h["file"]) & (F.col("sheet") == h["sheet"]) & F.col("error").isNull()
+        body = rows.where((F.col("path") == h["path"]) & (F.col("sheet") == h["sheet"]) & F.col("error").isNull()
                           & (F.col("row_idx") > h["h"]["row_idx"]))
         df = body.select(*[na_to_null(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)],
                          F.col("row_idx").alias(ORD))
-        sheets.append(Sheet(f"{h['file']}:{h['sheet']}" if many else h["sheet"], df, h["file"]))
+        sheets.append(Sheet(f"{names_of_files[h['path']]}:{h['sheet']}" if len(paths) > 1 else h["sheet"], df, short[h["path"]]))
     return sheets

@@ -170,3 +170,20 @@ def test_appending_files_as_they_arrive(spark, tmp_path, rows):
     (inbox / "2.csv").write_text("acc,day,tier\nB,d2,tin\n")
     run()
     assert rows(sinks.read_master(spark, root, 2)) == [("A", "d1", "x", "gold"), ("B", "d2", None, "tin")]
+
+
+def test_broken_and_numbered_tabs(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        make_workbook(tmp_path / folder / "x.xlsx", {"01": [["h1", "h2"], ["1", folder]], "2024": [["h1"], ["q"], ["r"]]})
+    with zipfile.ZipFile(tmp_path / "a" / "x.xlsx") as book:
+        parts = {n: book.read(n) for n in book.namelist()}
+    broken = next(n for n in parts if n.endswith("sheet2.xml"))
+    parts[broken] = parts[broken][: parts[broken].rindex(b"<row")] + b"<row r='x'><c"
+    with zipfile.ZipFile(tmp_path / "a" / "x.xlsx", "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+    found = {s.name.rsplit("/", 2)[-2] + "/" + s.name.rsplit(":", 1)[-1]: s.df.count() for s in workbooks.read_workbooks(spark, f"{tmp_path}/*/")}
+    assert found == {"a/01": 1, "b/01": 1, "b/2024": 2}
+    errors = workbooks.parse_workbooks(spark, f"{tmp_path}/*/").where("error is not null").collect()
+    assert [(e["sheet"], e["path"].rsplit("/", 2)[-2]) for e in errors] == [("2024", "a")]

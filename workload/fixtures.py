@@ -106,6 +106,10 @@ SQL: dict[str, str] = {
                CASE WHEN o_orderkey % 47 = 0 THEN CAST(o_orderdate AS DATE) - 10 ELSE CAST(o_orderdate AS DATE) + 365 END AS Expiry_Date,
                CAST(o_orderdate AS DATE) AS Contract_Close_Date
         FROM {{orders}}""",
+    "gaps": """
+        SELECT CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'C-' || CAST(o_orderkey AS STRING) END AS Contract_ID,
+               CASE WHEN o_orderkey % 29 = 0 OR o_orderkey % 31 = 0 THEN NULL ELSE o_totalprice END AS ACV, o_orderkey AS _ord
+        FROM {orders}""",
     # raw text -------------------------------------------------------------------------
     "raw_text": f"""
         SELECT o_orderkey AS _ord, CAST(o_orderkey AS STRING) AS "Deal No",

@@ -82,6 +82,33 @@ def merge_n_way_unique(spark, sf):
                               on_conflict="keep_left", plan="stack")
 
 
+@query("merge_default_plan", ctes("crm", "billing") + _full(
+    _KEYED.format("crm"), _KEYED.format("billing"), "l.deal_value, coalesce(l.stage, r.stage) AS stage, r.priority"))
+def merge_default_plan(spark, sf):
+    """Keys that repeat, with the plan the library chooses."""
+    return merge.merge_sheets([sheet(spark, sf, "crm"), sheet(spark, sf, "billing")], on_conflict="keep_left")
+
+
+@query("merge_salted", ctes("crm", "billing") + """
+    SELECT coalesce(l.account_id, r.account_id) AS account_id, coalesce(l.close_date, r.close_date) AS close_date,
+           l.deal_value, coalesce(l.stage, r.stage) AS stage, r.priority
+    FROM (SELECT * FROM crm WHERE account_id IS NOT NULL) l
+    FULL JOIN (SELECT * FROM billing WHERE account_id IS NOT NULL) r ON l.account_id = r.account_id""")
+def merge_salted(spark, sf):
+    """Accounts of more than ten rows on both sides, which are dealt over salts."""
+    return merge.merge_sheets([sheet(spark, sf, "crm"), sheet(spark, sf, "billing")], ["account_id"],
+                              on_conflict="keep_left", hot_rows=10)
+
+
+@query("base_choice", ctes("order_text", "customer_text") + """
+    SELECT order_id, o.customer_id, status, amount, order_date, name, segment
+    FROM order_text o LEFT JOIN (SELECT customer_id, name, segment FROM customer_text) c ON o.customer_id = c.customer_id""")
+def base_choice(spark, sf):
+    """No base named: the sheet with most rows becomes it."""
+    sheets = {"customers": sheet(spark, sf, "customer_text").select("customer_id", "name", "segment"), "orders": sheet(spark, sf, "order_text").drop(ORD)}
+    return merge.join_entities(sheets, join_keys=["customer_id"])
+
+
 @query("append_master", ctes("crm", "usage") + _full("crm", "usage", "l.deal_value, l.stage, r.usage"))
 def append_master(spark, sf):
     return merge.append_to_master(sheet(spark, sf, "crm"), sheet(spark, sf, "usage"), on_conflict="keep_left", plan="pad")
@@ -160,6 +187,14 @@ def rollup_contracts(spark, sf):
     return _rounded(_rolled(spark, sf), total_value=2, discount=6, tax=4).select(*_ROLLUP_COLS)
 
 
+@query("count_rule", ctes("lines") + """
+    SELECT contract_id, count(*) AS vendor, count(*) AS discount, count(*) AS line_item_count
+    FROM lines WHERE contract_id IS NOT NULL GROUP BY 1""")
+def count_rule(spark, sf):
+    keyed, _ = merge.split_keyed(sheet(spark, sf, "lines"), ["contract_id"])
+    return rollup.group_aggregate(keyed, ["contract_id"], {"vendor": "count", "discount": "count"}, F.col(ORD), "line_item_count")
+
+
 @query("classify_grain", ctes("lines", "faulty") + "".join(f"""
     {union} SELECT '{n}' AS sheet, CASE WHEN r > 0.9 THEN 'contract_level' WHEN r < 0.5 THEN 'line_item_level' ELSE 'mixed' END AS level,
         total_rows, unique_ids, {round_exact("r", 4)} AS uniqueness_ratio
@@ -492,6 +527,18 @@ def validate_rules(spark, sf):
     return checks.validate(sheet(spark, sf, "faulty"), as_of=as_of()).drop("message")
 
 
+@query("validate_totals", ctes("lines", "faulty") + """,
+    a AS (SELECT contract_id, coalesce(sum(total_value), 0) AS record_total FROM faulty WHERE contract_id IS NOT NULL GROUP BY 1),
+    b AS (SELECT contract_id, coalesce(sum(total_value), 0) AS line_total FROM lines WHERE contract_id IS NOT NULL GROUP BY 1)
+    SELECT 'error' AS severity, 'required_fields_missing' AS type, CAST(1 AS BIGINT) AS n, 'Missing required columns: [''end_date'']' AS message
+    UNION ALL SELECT 'warning', 'aggregation_mismatch', count(*), CAST(count(*) AS STRING) || ' contracts have aggregated totals that don''t match line-item sums'
+    FROM a LEFT JOIN b ON a.contract_id = b.contract_id WHERE abs(record_total - coalesce(line_total, 0)) > 0.01 HAVING count(*) > 0""")
+def validate_totals(spark, sf):
+    """A required column is absent, and record totals are held against line items."""
+    issues = checks.validate(sheet(spark, sf, "faulty").drop("end_date"), line_items=sheet(spark, sf, "lines"), as_of=as_of())
+    return issues.where("type IN ('required_fields_missing', 'aggregation_mismatch')").select("severity", "type", "n", "message")
+
+
 @query("reconcile_totals", ctes("lines", "faulty") + f""",
     a AS (SELECT contract_id, coalesce(sum(total_value), 0) AS record_total FROM faulty WHERE contract_id IS NOT NULL GROUP BY 1),
     b AS (SELECT contract_id, coalesce(sum(total_value), 0) AS line_total FROM lines WHERE contract_id IS NOT NULL GROUP BY 1)
@@ -532,6 +579,26 @@ def anomaly_summary(spark, sf):
     return checks.anomaly_summary(sheet(spark, sf, "suspect"), as_of()).drop("description")
 
 
+@query("empty_rows", ctes("gaps") + """
+    SELECT Contract_ID AS contract_id, ACV AS acv, concat_ws(' | ',
+        CASE WHEN ACV < 0 THEN 'negative_ACV' END,
+        CASE WHEN abs(ACV - (SELECT avg(ACV) FROM gaps)) > 3 * (SELECT stddev_samp(ACV) FROM gaps) THEN 'outlier_ACV' END,
+        CASE WHEN Contract_ID IS NULL THEN 'missing_Contract_ID' END,
+        CASE WHEN Contract_ID IS NULL AND ACV IS NULL THEN 'empty_row' END) AS _anomaly_flags FROM gaps""")
+def empty_rows(spark, sf):
+    return checks.flag_anomalies(sheet(spark, sf, "gaps"), as_of()).select(
+        F.col("Contract_ID").alias("contract_id"), F.col("ACV").alias("acv"), "_anomaly_flags")
+
+
+@query("readiness", _ISSUES + """,
+    v AS (SELECT count(*) AS n FROM faulty WHERE total_value IS NULL OR contract_id IS NULL)
+    SELECT 'faulty' AS table_name, (SELECT n FROM v) = 0 AND (SELECT coalesce(sum(n), 0) FROM i WHERE severity = 'error') = 0 AS ready""")
+def readiness(spark, sf):
+    records = sheet(spark, sf, "faulty")
+    ready = mlready.is_ready(records, checks.validate(records, as_of=as_of()))
+    return spark.createDataFrame([("faulty", ready)], "table_name string, ready boolean")
+
+
 @query("ml_violations", ctes("faulty") + """
     SELECT 'total_value' AS field, count(*) AS n FROM faulty WHERE total_value IS NULL
     UNION ALL SELECT 'contract_id', count(*) FROM faulty WHERE contract_id IS NULL""")

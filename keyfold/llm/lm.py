@@ -30,6 +30,8 @@ from .shingles import mixed
 END = b"\n"
 #: Bytes of text in a chunk, pairs of a hash range, bits of a pair's key in its range.
 CHUNK, RANGE, BITS = 16 << 20, 400_000, 40
+#: Tokens of a chunk looked at together.
+BLOCK = 1 << 18
 #: Bins per doubling in the histogram of estimates, and rounds of expectation-maximisation.
 FINE, ROUNDS = 4, 60
 _FOLDS, _TEST = 5, 1
@@ -126,18 +128,18 @@ class Chunk:
     """A chunk with its distinct pairs in the order of their keys."""
 
     def __init__(self, row: dict, ranges: int):
-        self.docs, self.lengths, self.tokens = row["docs"], unpack(row["lengths"], "<i4"), unpack(row["tokens"], "<i4").astype(np.int64)
+        self.docs, self.lengths, self.tokens = row["docs"], unpack(row["lengths"], "<i4"), unpack(row["tokens"], "<i4")
         names = zstandard.decompress(row["names"]).split(b" ")
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
         end = names.index(END)
-        context = np.r_[end, self.tokens[:-1]]  # a text follows the end of the one before
+        context = np.r_[np.int32(end), self.tokens[:-1]]  # a text follows the end of the one before
         self.context = context
-        pairs, self.pair_of = np.unique(context * len(hashes) + self.tokens, return_inverse=True)
+        pairs, pair_of = np.unique(context.astype(np.int64) * len(hashes) + self.tokens, return_inverse=True)
         key = mixed(hashes[pairs // len(hashes)] * np.uint64(0x9E3779B97F4A7C15) + hashes[pairs % len(hashes)])
         order = np.argsort(key, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.pair_of, key = place[self.pair_of], key[order]
+        self.pair_of, key = place[pair_of], key[order]
         self.train = np.repeat([not held_out(i) for i in self.docs], self.lengths)
         self.counts = np.bincount(self.pair_of[self.train], minlength=len(key))
         high = (key >> np.uint64(32)) * np.uint64(ranges)
@@ -210,18 +212,25 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     texts = chunked.select("chunk", "docs", "lengths", "tokens", "names")
 
     def met(left: pa.Table, right: pa.Table):
-        """A chunk with, per token, the counts of its pair, context and word."""
+        """A chunk, and by blocks of its tokens the counts of their pairs, contexts and words."""
         c = Chunk(left.to_pylist()[0], ranges)
         found = dict(zip(right["range"].to_pylist(), right["found"].to_pylist(), strict=True))
         word = unpack(found[-1], "<i8")
         pair = np.concatenate([unpack(found[r], "<i8") for r, _, _ in c.ranges])
-        return c, pair[c.pair_of], word[c.context], word[c.tokens]
+        spans = [slice(a, a + BLOCK) for a in range(0, len(c.tokens), BLOCK)]
+        return c, ((at, pair[c.pair_of[at]], word[c.context[at]], word[c.tokens[at]]) for at in spans)
 
     def deleted(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        c, pair, context, word = met(left, right)
-        pair, context, word = (x[c.train] - 1 for x in (pair, context, word))
-        binned = (_bucket(context) << 48) + (-_bins(pair / np.maximum(context, 1)) << 24) - _bins(word / max(tokens - 1, 1))
-        kinds, number = np.unique(binned, return_counts=True)
+        c, blocks = met(left, right)
+        kinds, numbers = [], []
+        for at, *counts in blocks:
+            pair, context, word = (x[c.train[at]] - 1 for x in counts)
+            binned = (_bucket(context) << 48) + (-_bins(pair / np.maximum(context, 1)) << 24) - _bins(word / max(tokens - 1, 1))
+            kind, number = np.unique(binned, return_counts=True)
+            kinds.append(kind)
+            numbers.append(number)
+        kinds, at = np.unique(np.concatenate(kinds), return_inverse=True)
+        number = np.bincount(at, weights=np.concatenate(numbers), minlength=len(kinds)).astype(np.int64)
         return pa.table({"bucket": kinds >> 48, "b2": -(kinds >> 24 & 0xFFFFFF), "b1": -(kinds & 0xFFFFFF), "n": number})
 
     histogram = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(deleted, "bucket long, b2 long, b1 long, n long")
@@ -231,15 +240,18 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         table[bucket] = l
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        c, pair, context, word = met(left, right)
-        l = table[np.minimum(_bucket(context), len(table) - 1)]
-        l = np.where(context[:, None] > 0, l, np.c_[0 * l[:, 0], l[:, 1] / (l[:, 1] + l[:, 2]), l[:, 2] / (l[:, 1] + l[:, 2])])
-        p = l[:, 0] * pair / np.maximum(context, 1) + l[:, 1] * word / max(tokens, 1) + l[:, 2] / (types + 1)
+        c, blocks = met(left, right)
+        base, score, known = np.empty(len(c.tokens)), np.empty(len(c.tokens)), np.empty(len(c.tokens), np.int64)
+        for at, pair, context, word in blocks:
+            l = table[np.minimum(_bucket(context), len(table) - 1)]
+            l = np.where(context[:, None] > 0, l, np.c_[0 * l[:, 0], l[:, 1] / (l[:, 1] + l[:, 2]), l[:, 2] / (l[:, 1] + l[:, 2])])
+            score[at] = np.log10(l[:, 0] * pair / np.maximum(context, 1) + l[:, 1] * word / max(tokens, 1) + l[:, 2] / (types + 1))
+            base[at] = np.log10((word + 0.5) / (tokens + 0.5 * (types + 1)))
+            known[at] = word > 0
         starts = np.cumsum(c.lengths) - c.lengths
         sums = lambda x: np.add.reduceat(x, starts)
-        base = np.log10((word + 0.5) / (tokens + 0.5 * (types + 1)))
-        return pa.table({"doc_id": pa.array(c.docs, pa.int64()), "held_out": [held_out(i) for i in c.docs], "n_tokens": c.lengths.astype(np.int64), "n_known": sums((word > 0).astype(np.int64)),
-                         "train_tokens": np.full(len(c.docs), tokens, np.int64), "base_score": sums(base), "score": sums(np.log10(p))})
+        return pa.table({"doc_id": pa.array(c.docs, pa.int64()), "held_out": [held_out(i) for i in c.docs], "n_tokens": c.lengths.astype(np.int64), "n_known": sums(known),
+                         "train_tokens": np.full(len(c.docs), tokens, np.int64), "base_score": sums(base), "score": sums(score)})
 
     out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

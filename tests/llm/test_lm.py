@@ -14,6 +14,7 @@ def held(i):
 def test_scores(spark, documents, monkeypatch):
     monkeypatch.setattr(lm, "RANGE", 50)
     monkeypatch.setattr(lm, "CHUNK", 900)
+    monkeypatch.setattr(lm, "BLOCK", 70)
     monkeypatch.setattr("keyfold.llm.common.SLICE_BYTES", 300)
     rng = random.Random(8)
     lexicon = [rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(40)]

@@ -79,7 +79,7 @@ class Blocks(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
         if tag not in VOID:
-            dropped = self.open[-1][2] or tag in DROPPED or tag not in ("html", "body", "main", "article") and marked(attributes) or tag == "article" and any(k == "article" for k, _, _ in self.open) and marked(attributes)
+            dropped = self.open[-1][2] and tag != "main" or tag in DROPPED or tag not in ("html", "body", "main", "article") and marked(attributes) or tag == "article" and any(k == "article" for k, _, _ in self.open) and marked(attributes)
             self.open.append((tag, len(self.kinds), dropped))
             self.kinds.append(tag)
 

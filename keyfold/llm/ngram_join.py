@@ -1,10 +1,10 @@
 """N-gram Jaccard join of documents by prefix trees.
 
 Texts of the same words are one node from the start. The n-grams of a set are ordered alike
-everywhere, rarest first by a bounded count sketch. Two sets with a similarity of t share one of the
-first n - ceil(t n) + 1 n-grams of each, so these go, packed by hash range, to where nodes that
+everywhere, rarest first by a bounded count sketch. Two sets with a similarity of t share k of the
+first n - ceil(t n) + k n-grams of each, so these go, packed by hash range, to where nodes that
 share one meet. The nodes of such a group form a star around its smallest node; a star is never
-turned into pairs. The sets of a star's members go into a trie, shared n-grams first; one
+turned into pairs. Two nodes that meet only alone, and fewer than k times, are no candidates. The sets of a star's members go into a trie, shared n-grams first; one
 walk carries the overlaps of all members along each path, so common beginnings are counted
 once, and drops members, then subtrees, that cannot reach the needed overlap in the length
 that remains. Stars of more than STAR members are joined block by block; their blocks first meet
@@ -26,6 +26,8 @@ from .shingles import mixed, shingle_set, text_hash
 
 #: Cells of the count sketch, prefix n-grams of a hash range, members of one trie.
 SKETCH, RANGE, STAR = 1 << 18, 2_000_000, 256
+#: A prefix is longer by the size divided by this, and two sets must share as many more of its n-grams.
+EXTRA = 25
 _PARTS, _FAN = 16, 256
 
 
@@ -73,7 +75,7 @@ def sketch(signed: DataFrame) -> np.ndarray:
 
 
 def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int) -> DataFrame:
-    """Distinct (centre, node): nodes that share a prefix n-gram, each group around its smallest node."""
+    """Distinct (centre, node): nodes that share prefix n-grams, each group around its smallest node."""
     counts = docs.sparkSession.sparkContext.broadcast(np.minimum(order, 2**31 - 1).astype(np.int32))  # SKETCH numbers
 
     def flush(held: list[tuple[int, int, np.ndarray]]):
@@ -102,7 +104,7 @@ def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int)
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 size = len(shingles)
-                first = size - -(-percent * size // 100) + 1
+                first = size - -(-percent * size // 100) + 1 + size // EXTRA
                 held.append((node, size, shingles[np.argsort(counts.value[_cells(shingles)], kind="stable")[:first]]))
                 number += first
             if number > 2_000_000:
@@ -118,16 +120,25 @@ def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int)
         shingle = np.concatenate(column("shingles", "<u8"))
         node, size = (np.concatenate([a[o] for a, o in zip(x, own, strict=True)]) for x in (nodes, sizes))
         by = np.lexsort((node, size, shingle))
+        by = by[np.r_[True, (shingle[by][1:] != shingle[by][:-1]) | (node[by][1:] != node[by][:-1])]]
         shingle, node, size = shingle[by], node[by], size[by]
         fresh = np.r_[True, shingle[1:] != shingle[:-1]] | np.r_[True, 100 * size[:-1] < percent * size[1:]]
         start = np.flatnonzero(fresh)
-        centre = np.repeat(np.minimum.reduceat(node, start), np.diff(np.r_[start, len(node)]))
-        far = centre != node
-        pairs = np.unique(np.c_[centre[far], node[far]], axis=0) if far.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"centre": pairs[:, 0], "node": pairs[:, 1]})
+        members = np.diff(np.r_[start, len(node)])
+        centre = np.repeat(np.minimum.reduceat(node, start), members)
+        least = np.repeat(np.minimum.reduceat(size, start), members)
+        alone = np.repeat(members == 2, members)
+        far = np.flatnonzero(centre != node)
+        far = far[np.lexsort((alone[far], node[far], centre[far]))]
+        centre, node, alone, need = centre[far], node[far], alone[far], 1 + least[far] // EXTRA
+        changes = (centre[1:] != centre[:-1]) | (node[1:] != node[:-1]) | (alone[1:] != alone[:-1])
+        at = np.flatnonzero(np.r_[len(far) > 0, changes])
+        return pa.table({"centre": centre[at], "node": node[at], "alone": alone[at], "need": need[at], "times": np.diff(np.r_[at, len(far)]).astype(np.int64)})
 
     packed = docs.select("text").mapInArrow(prefixes, "range int, shingles binary, own binary, nodes binary, sizes binary")
-    return staged(packed.groupBy("range").applyInArrow(group, "centre long, node long").distinct(), "stars")
+    met = packed.groupBy("range").applyInArrow(group, "centre long, node long, alone boolean, need long, times long").groupBy("centre", "node").agg(
+        F.bool_or(~F.col("alone")).alias("among"), F.max(F.when(F.col("alone"), F.col("need"))).alias("need"), F.sum(F.when(F.col("alone"), F.col("times"))).alias("times"))
+    return staged(met.where("among or times >= need").select("centre", "node"), "stars")
 
 
 def trie_links(sets: list[np.ndarray], percent: int) -> Forest:

@@ -139,7 +139,7 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
             found = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "features": pa.array(found, pa.list_(pa.int32()))})
 
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `sample` rows
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `sample` rows
     rows = texts.mapInArrow(run, "doc_id long, grade int, features array<int>").orderBy("doc_id").toArrow()
     values, grades = rows["features"].to_pylist(), rows["grade"].to_pylist()
     return [(np.array(f, np.int64), g) for f, g in zip(values, grades, strict=True)]

@@ -46,6 +46,7 @@ def corpus(seed):
 def test_against_all_pairs(spark, documents, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "STAR", 6)
     monkeypatch.setattr(ngram_join, "RANGE", 300)
+    monkeypatch.setattr(ngram_join, "EXTRA", [25, 6, 3][seed - 1])
     texts = corpus(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(documents(texts)).collect()}
     assert got == plain(texts)

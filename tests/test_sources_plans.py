@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.model import ORD, Sheet
-from keyfold.operators import checks
+from keyfold.operators import checks, suggest
 from keyfold.operators.mapping import MappingConfig
-from keyfold.plans import consolidate
+from keyfold.plans import audit, consolidate
 from keyfold.sources import catalog, sinks, tables, workbooks
 from keyfold.streaming.append import append_stream
 
@@ -187,3 +187,17 @@ def test_broken_and_numbered_tabs(spark, tmp_path):
     assert found == {"a/01": 1, "b/01": 1, "b/2024": 2}
     errors = workbooks.parse_workbooks(spark, f"{tmp_path}/*/").where("error is not null").collect()
     assert [(e["sheet"], e["path"].rsplit("/", 2)[-2]) for e in errors] == [("2024", "a")]
+
+
+def test_audit_tables(spark):
+    df = spark.createDataFrame([("C1", "5", "2024-01-01", "2024-02-01", "q"), ("C1", "7", "2024-01-01", "2024-02-01", "r")], "`Contract ID` string, amount string, start string, stop string, zz string")
+    sheets = [Sheet("s", df)]
+    config = MappingConfig([("contract_id", "s", "Contract ID"), ("total_value", "s", "amount"), ("start_date", "s", "start"), ("end_date", "s", "stop")], "v2")
+    result = consolidate.run_layers(sheets, config)
+    run = {r["metric"]: r["value"] for r in audit.audit_run(sheets, result, "d").collect()}
+    assert (run["rows_ingested"], run["final_rows"], run["line_items_merged"], run["mapping_version"]) == ("2", "1", "1", "v2")
+    hints = suggest.suggest_mappings(sheets)
+    found = {r["raw"]: (r["canonical"], r["method"]) for r in audit.audit_mapping(sheets, config, hints).collect()}
+    assert found["Contract ID"] == ("contract_id", "exact_alias") and found["stop"] == ("end_date", "confirmed") and found["zz"] == (None, None)
+    assert {r["method"] for r in audit.audit_mapping(sheets, config).collect()} == {"confirmed", None}
+    assert [tuple(r) for r in audit.audit_sheets(sheets, result.levels).collect()] == [("s", 2, result.levels["s"])]

@@ -12,7 +12,7 @@ from keyfold import fixed
 from keyfold.functions import cells
 from keyfold.model import ORD, Sheet
 from keyfold.operators import checks, clean, derive, entities, mapping, merge, mlready, profile, rollup, suggest
-from keyfold.plans import consolidate
+from keyfold.plans import audit, consolidate
 from keyfold.schema import CanonicalSchema
 from keyfold.session import tune, work_folder
 from keyfold.sources import catalog, sinks, tables
@@ -696,6 +696,25 @@ def layered_run(spark, sf):
     return _rounded(result.contracts, total_value=2).select(*own, "line_item_count", "account_segment")
 
 
+@query("audit_run", ctes("lines") + "," + _ROLLUP_SQL + """
+    , c AS (SELECT count(*) AS n FROM records)
+    SELECT 'dataset_id' AS metric, 'deals' AS value
+    UNION ALL SELECT 'rows_ingested', CAST((SELECT count(*) FROM lines) + (SELECT count(*) FROM customer) AS STRING)
+    UNION ALL SELECT 'tabs_processed', '2'
+    UNION ALL SELECT 'final_rows', CAST((SELECT n FROM c) AS STRING)
+    UNION ALL SELECT 'line_items_merged', CAST((SELECT count(*) FROM lines) - (SELECT n FROM c) AS STRING)
+    UNION ALL SELECT 'unique_vendors', '0' UNION ALL SELECT 'mapping_version', 'v3' UNION ALL SELECT 'schema_version', 'v1'""")
+def audit_run(spark, sf):
+    lines = sheet(spark, sf, "lines")
+    clients = table(spark, sf, "customer").select(
+        F.concat(F.lit("ACC-"), F.col("c_custkey").cast("string")).alias("Customer Id"), F.col("c_mktsegment").alias("Segment"))
+    own = ["contract_id", "account_id", "total_value", "start_date", "end_date", "term_months"]
+    config = mapping.MappingConfig([(c, "lines", c) for c in own] + [("account_id", "clients", "Customer Id"), ("account_segment", "clients", "Segment")], "v3")
+    sheets = [Sheet("lines", lines), Sheet("clients", clients)]
+    result = consolidate.run_layers(sheets, config, as_of=as_of(), primary="lines")
+    return audit.audit_run(sheets, result, "deals")
+
+
 @query("cleaner_chain", f"""WITH c AS (
     SELECT CAST(o_orderkey AS STRING) AS "Contract_ID", {_MONEY} AS "ACV", {_DATE} AS "Contract_Close_Date", {_BOOL} AS "Auto_Renew",
            CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS "Vendor", 'raw' AS meta_source_tab,

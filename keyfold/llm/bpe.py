@@ -40,7 +40,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 #: Parts a worker keeps encoded, and characters of the longest such part.
-SEEN, SHORT = 1_000_000, 48
+SEEN, SHORT = 400_000, 48
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _UNEVEN = [" " + c for c in _BLANKS] + [c + " " for c in _BLANKS if c != " "]
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")

@@ -25,7 +25,7 @@ from .components import Forest, components
 from .shingles import mixed, shingle_set, text_hash
 
 #: Cells of the count sketch, prefix n-grams of a hash range, members of one trie.
-SKETCH, RANGE, STAR = 1 << 18, 2_000_000, 256
+SKETCH, RANGE, STAR = 1 << 18, 1_000_000, 256
 #: A prefix is longer by the size divided by this, and two sets must share as many more of its n-grams.
 EXTRA = 25
 _PARTS, _FAN = 16, 256
@@ -101,13 +101,13 @@ def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int)
                 shingles = shingle_set(words(text), n) if node not in seen else ()
                 if not len(shingles):
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 size = len(shingles)
                 first = size - -(-percent * size // 100) + 1 + size // EXTRA
                 held.append((node, size, shingles[np.argsort(counts.value[_cells(shingles)], kind="stable")[:first]]))
                 number += first
-            if number > 2_000_000:
+            if number > 1_000_000:
                 yield flush(held)
                 held, number = [], 0
         if held:

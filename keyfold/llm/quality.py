@@ -26,6 +26,8 @@ from .shingles import joined
 
 #: Bits of a feature's number; rated documents the model is fitted on at most; least documents of a feature.
 DIM_BITS, SAMPLE, RARE = 18, 6000, 15
+#: Words whose features a worker keeps.
+KEPT = 300_000
 #: Rounds, L1 penalty and step of the two passes.
 PASSES = ((300, 2e-3, 0.1), (600, 2e-4, 0.3))
 _LEVELS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75])
@@ -45,7 +47,7 @@ class Words(dict):
     """Per word as written: its two feature numbers and flags, in one integer."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= KEPT:
             self.clear()
         text = token.decode("utf-8", "replace")
         bare = _EDGES.sub("", text)

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import staged, word_count
 
-#: Words of a slot, buckets of a two-level running sum, cells of the cumulative targets.
-BLOCK, BUCKETS, GRID = 128, 1024, 4096
+#: Words of a slot, buckets of a two-level running sum, cells of the cumulative targets, slots of a task.
+BLOCK, BUCKETS, GRID, SLOTS = 128, 1024, 4096, 1 << 20
+#: Slots of a bucket when they are ranked.
+SLOT_BUCKET = 1 << 14
 _BITS = 40
 
 
@@ -68,14 +70,15 @@ def schedule(plan: DataFrame) -> DataFrame:
     ends = ends.withColumn("total", F.sum("whole").over(Window.partitionBy())).where("whole > 0").withColumn("slots", F.ceil(F.col("whole") / BLOCK))
     cell = lambda x: F.floor(x / F.col("total") * GRID).cast("long")
     parts = ends.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(GRID - 1)))))
-    total = plan.agg(F.coalesce(F.ceil(F.sum("whole") / BLOCK), F.lit(0)).alias("n"))
-    stretch = total.select(F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / BUCKETS))).alias("stretch"), "n").repartition(F.col("stretch"))
-    drawn = stretch.select(F.explode(F.sequence(F.col("stretch") * BUCKETS, F.col("stretch") * BUCKETS + BUCKETS - 1)).alias("position"), "n").where("position < n")
+    spark = plan.sparkSession
+    number = plan.agg(F.coalesce(F.ceil(F.sum("whole") / BLOCK), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, number // SLOTS)
+    drawn = spark.range(0, number, 1, tasks).withColumnRenamed("id", "position")
     point = van_der_corput(F.col("position")) / float(1 << _BITS)
     drawn = drawn.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * GRID).cast("long"))
     at = F.col("point") * F.col("total")
     placed = drawn.join(parts, "cell").where((at >= F.col("lo")) & (at < F.col("hi"))).select("source_no", "position")
-    ranked = running(placed, ["source_no"], F.floor(F.col("position") / (BUCKETS * 16)), ["position"], F.lit(1), "rank")
+    ranked = running(placed, ["source_no"], F.floor(F.col("position") / SLOT_BUCKET), ["position"], F.lit(1), "rank")
     need = ends.select("source_no", "whole", "slots")
     got = need.join(ranked.groupBy("source_no").count(), "source_no", "left")
     more = got.where(F.coalesce("count", F.lit(0)) < F.col("slots")).select(

@@ -28,6 +28,8 @@ from .shingles import mixed, shingle_set, text_hash
 SKETCH, RANGE, STAR = 1 << 18, 1_000_000, 256
 #: A prefix is longer by the size divided by this, and two sets must share as many more of its n-grams.
 EXTRA = 25
+#: Bits (as a power of two) of the filter that keeps texts nobody asks for out of a shuffle.
+FILTER = 24
 _PARTS, _FAN = 16, 256
 
 
@@ -141,6 +143,29 @@ def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int)
     return staged(met.where("among or times >= need").select("centre", "node"), "stars")
 
 
+def _place(nodes: np.ndarray) -> np.ndarray:
+    return (mixed(nodes.astype(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def marked(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the places of the nodes are set."""
+
+    def places(batches):
+        for batch in batches:
+            place = np.unique(_place(batch.column("node").to_numpy()))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(place >> FILTER - 8, pa.int32()), "place": pa.array(place & (1 << FILTER - 8) - 1, pa.int32())})
+
+    def bitmap(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held = np.zeros(1 << FILTER - 8, np.uint8)
+        held[table["place"].to_numpy()] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((256, 1 << FILTER - 11), np.uint8)
+    for r in nodes.select("node").mapInArrow(places, "part int, place int").distinct().groupBy("part").applyInArrow(bitmap, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
 def trie_links(sets: list[np.ndarray], percent: int) -> Forest:
     """Forest of the links among sorted sets, by one walk through their trie."""
     forest, many = Forest(len(sets)), len(sets)
@@ -227,15 +252,22 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     ranges = max(1, math.ceil(total * (100 - percent) / 100 / RANGE))
     found = stars(docs.where("doc_id is not null"), sketch(signed), ranges, n, percent)
 
+    asked = found.select("node").union(found.select("centre")).distinct()
+    wanted = reps.join(asked, "node").select("node", F.col("rep").alias("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(marked(asked))  # FILTER bits, whatever the data
+
     def pack(batches):
+        """Texts whose node may be asked for; the join after it is exact."""
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_pydict({"node": pa.array([text_hash(t) for t in texts], pa.int64()), "packed": pa.array([zstandard.compress(b" ".join(words(t)), 1) for t in texts], pa.binary())})
-
-    asked = found.select("node").union(found.select("centre")).distinct()
-    wanted = reps.join(asked, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(pack, "node long, packed binary")
-    packed = staged(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "packed")
+            nodes = np.array([text_hash(t) for t in texts], np.int64)
+            place = _place(nodes)
+            some = np.flatnonzero(bits.value[place >> 3] >> (place & 7) & 1)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(some)), "node": nodes[some],
+                                              "packed": pa.array([zstandard.compress(b" ".join(words(texts[i])), 1) for i in some.tolist()], pa.binary())})
+
+    texts = docs.mapInArrow(pack, "doc_id long, node long, packed binary")
+    packed = staged(texts.join(wanted, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"]).select("node", "packed"), "packed")
 
     sizes = found.groupBy("centre").count().withColumn("blocks", F.ceil(F.col("count") / STAR).cast("int"))
     dealt = found.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -3,9 +3,9 @@
 The standard library's parser streams events; text gathers into blocks (the lines of the page)
 with their tags counted. Blocks inside navigation, headers, footers, forms, notices, adverts,
 comments and the like never count. The ratio of characters to tags per block is smoothed by a
-Gaussian, and blocks above the threshold cluster as content. They select the region: the
-article or main element that holds most content, else the smallest element that holds
-most of it. All blocks of the region are the text, short ones included."""
+Gaussian, and blocks above the threshold, or with a sentence to themselves, are content. They
+select the region: the smallest part of the page that holds all content, the whole of every
+article and main element with text, and the titles. All blocks of the region are the text, short ones included."""
 
 from __future__ import annotations
 
@@ -34,13 +34,16 @@ CLOSES = {"p": ({"p"}, BLOCKS - {"p"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"d
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _OPEN_END = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
-#: Width of the Gaussian in blocks; share of the content a region must hold.
-SIGMA, MOST = 1.0, 0.8
+#: Width of the Gaussian in blocks; characters per tag of a sentence that is content wherever it stands.
+SIGMA, SENTENCE = 1.0, 25.0
+#: Elements that can be the region, and words of class, id and role of an article that is somebody's comment.
+REGIONS = frozenset(["", *"html body main article section div center".split()])
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 
 
-def marked(attributes: list[tuple[str, str | None]]) -> bool:
+def marked(attributes: list[tuple[str, str | None]], marks: frozenset[str] = MARKS) -> bool:
     for name, value in attributes:
-        if name in ("class", "id", "role") and value and any(w.lower() in MARKS for w in _WORD.findall(value)):
+        if name in ("class", "id", "role") and value and any(w.lower() in marks for w in _WORD.findall(value)):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -79,7 +82,8 @@ class Blocks(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
         if tag not in VOID:
-            dropped = self.open[-1][2] and tag != "main" or tag in DROPPED or tag not in ("html", "body", "main", "article") and marked(attributes) or tag == "article" and any(k == "article" for k, _, _ in self.open) and marked(attributes)
+            marks = MARKS if tag != "article" or any(k == "article" for k, _, _ in self.open) else COMMENTS
+            dropped = self.open[-1][2] and tag != "main" or tag in DROPPED or tag not in ("html", "body", "main") and marked(attributes, marks)
             self.open.append((tag, len(self.kinds), dropped))
             self.kinds.append(tag)
 
@@ -122,16 +126,20 @@ def extract(page: str | None) -> str:
     if not blocks:
         return ""
     sizes = np.array([len(text) for text, _, _ in blocks], np.float64)
-    ratios = smoothed(sizes / np.maximum([tags for _, tags, _ in blocks], 1))
-    content = sizes * (ratios >= min(ratios.std(), ratios.max()))
-    held: dict[int, float] = {}
-    for weight, (_, _, path) in zip(content.tolist(), blocks, strict=True):
-        for element in path:
-            held[element] = held.get(element, 0.0) + weight
-    whole = held[0]
-    named = [e for e in held if parser.kinds[e] in ("article", "main") and held[e] > 0]
-    region = max(named, key=lambda e: (held[e], e)) if named else max(e for e in held if held[e] >= MOST * whole and parser.kinds[e] not in ("p", "li", "td", "th", "dt", "dd", "tr"))
-    return "\n\n".join(text for text, _, path in blocks if region in path)
+    ratios = sizes / np.maximum([tags for _, tags, _ in blocks], 1)
+    smooth = smoothed(ratios)
+    content = (smooth >= min(smooth.std(), smooth.max())) | (ratios >= SENTENCE)
+    region: tuple[int, ...] | None = None
+    for counts, (_, _, path) in zip(content.tolist(), blocks, strict=True):
+        named = next((at for at, e in enumerate(path) if parser.kinds[e] in ("article", "main")), None)
+        if named is not None:
+            path = path[:named + 1]
+        elif not counts and not any(parser.kinds[e] == "h1" for e in path):
+            continue
+        region = path if region is None else tuple(a for a, b in zip(region, path) if a == b)  # noqa: B905
+    while parser.kinds[region[-1]] not in REGIONS:
+        region = region[:-1]
+    return "\n\n".join(text for text, _, path in blocks if region[-1] in path)
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

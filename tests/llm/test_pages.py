@@ -21,6 +21,27 @@ def test_extract():
     assert [html_text.extract(x) for x in (None, "", "<nav>x</nav>", "<p", "just text")] == ["", "", "", "", "just text"]
 
 
+def test_extract_all_content():
+    """The whole content comes: titles, leads and blocks beside the heaviest element."""
+    p = "A paragraph of some words that make a sentence. "
+    said = lambda k: (p * k).strip()
+    join = "\n\n".join
+    assert html_text.extract(f"<body><h1>Title</h1><p>{said(4)}</p><pre>{said(42)}</pre></body>") == join(["Title", said(4), said(42)])
+    body = "".join(f"<p>{said(8)}</p>" for _ in range(6))
+    lead = f'<div id="page"><h1>Title</h1><p class="lead">{said(5)}</p><div class="text">{body}</div></div>'
+    links = "<div><a>One</a><a>Two</a></div>"
+    assert html_text.extract(f"<body>{links * 4}{lead}{links * 4}</body>") == join(["Title", said(5), *[said(8)] * 6])
+    assert html_text.extract(f'<div><h1>Title</h1>{links * 5}<div class="text">{body}</div></div>').startswith("Title\n\n")
+    items = "".join(f"<li>{said(6)}</li>" for _ in range(8))
+    assert html_text.extract(f"<div><h2>List</h2><p>Intro</p><ul>{items}</ul><p>End</p></div>") == join(["List", "Intro", *[said(6)] * 8, "End"])
+    assert html_text.extract(f"<div><div><p>{said(1)}</p></div>{links * 9}<div><pre>{said(400)}</pre></div></div>").startswith(said(1))
+    two = f"<div><article><h2>A</h2><p>{said(3)}</p></article><h2>Between</h2><article><h2>B</h2><p>{said(9)}</p><p>Short</p></article>{{}}</div>{links}"
+    assert html_text.extract(two.format("")) == join(["A", said(3), "Between", "B", said(9), "Short"])
+    assert html_text.extract(two.format(f'<article class="comment"><p>{said(20)}</p></article>')) == html_text.extract(two.format(""))
+    assert html_text.extract(f"<main><h1>Title</h1><article><p>{said(9)}</p></article><p>Note</p></main>{links}") == join(["Title", said(9), "Note"])
+    assert html_text.extract(f"<h1>Title</h1><p>{said(5)}</p><article><p>{said(30)}</p></article>") == join(["Title", said(5), said(30)])
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t"), (1, "u", PAGE, "t"), (4, "w", "<p>" + "long text " * 50_000 + "</p>", "t"), (None, "x", "<p>a&nbsp; b</p>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -2,7 +2,8 @@
 
 The standard library's parser streams events; text gathers into blocks (the lines of the page)
 with their tags counted. Blocks inside navigation, headers, footers, forms, notices, adverts,
-comments and the like never count. The ratio of characters to tags per block is smoothed by a
+comments and the like never count, unless the class or id that marks them as such holds the page's
+own article or most of its text: then it only describes the layout. The ratio of characters to tags per block is smoothed by a
 Gaussian, and blocks above the threshold, or with a sentence to themselves, are content. They
 select the region: the smallest part of the page that holds all content, the whole of every
 article and main element with text, and the titles. All blocks of the region are the text, short ones included."""
@@ -39,32 +40,46 @@ SIGMA, SENTENCE = 1.0, 25.0
 #: Elements that can be the region, and words of class, id and role of an article that is somebody's comment.
 REGIONS = frozenset(["", *"html body main article section div center".split()])
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Marks of others' words, which may outweigh a short article.
+OTHERS = COMMENTS | frozenset("ad ads adbox advert adverts advertisement advertisements cookie cookies consent gdpr".split())
+#: Words that make a class or id with a mark a remark on the layout; shares of the page's sentences that show the same.
+LAYOUT = frozenset("has no with without not enabled disabled fixed sticky elementor".split())
+HALF, MOST = 0.5, 0.8
+#: Characters of a block, and characters per tag, that make it a sentence and not a list of links.
+LONG, WORDY = 50, 5
+
+
+def marks_of(attributes: list[tuple[str, str | None]], marks: frozenset[str] = MARKS) -> frozenset[str]:
+    """The classes, ids and roles that mark an element."""
+    found = []
+    for name, value in attributes:
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                said = {w.lower() for w in _WORD.findall(token)}
+                if said & marks and not said & LAYOUT:
+                    found.append(token)
+    return frozenset(found)
 
 
-def marked(attributes: list[tuple[str, str | None]], marks: frozenset[str] = MARKS) -> bool:
-    for name, value in attributes:
-        if name in ("class", "id", "role") and value and any(w.lower() in marks for w in _WORD.findall(value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+def hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attributes)
 
 
 class Blocks(HTMLParser):
-    """Collects blocks: (text, tags, path of element numbers from the root)."""
+    """Collects blocks: (texts with the marks around each, tags, path of element numbers from the root)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element number, dropped
+        self.open: list[tuple[str, int, frozenset[str] | None]] = [("", 0, frozenset())]  # tag, element number, marks; None: dropped
         self.kinds: list[str] = [""]
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        self.text: list[str] = []
+        self.named: dict[int, frozenset[str]] = {}  # marks of each article and main element
+        self.blocks: list[tuple[list[tuple[str, frozenset[str]]], int, tuple[int, ...]]] = []
+        self.text: list[tuple[str, frozenset[str]]] = []
         self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.blocks.append((text, self.tags, tuple(n for tag, n, _ in self.open if tag in BLOCKS or not tag)))
+        if any(text and not text.isspace() for text, _ in self.text):
+            self.blocks.append((self.text, self.tags, tuple(n for tag, n, _ in self.open if tag in BLOCKS or not tag)))
             self.tags = 0
         self.text = []
 
@@ -80,11 +95,17 @@ class Blocks(HTMLParser):
                 if self.open[at][0] in bounds:
                     break
         elif tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", frozenset()))
         if tag not in VOID:
-            marks = MARKS if tag != "article" or any(k == "article" for k, _, _ in self.open) else COMMENTS
-            dropped = self.open[-1][2] and tag != "main" or tag in DROPPED or tag not in ("html", "body", "main") and marked(attributes, marks)
-            self.open.append((tag, len(self.kinds), dropped))
+            above, marks = self.open[-1][2], frozenset()
+            if tag == "main":
+                above = frozenset()
+            elif tag not in ("html", "body"):
+                marks = marks_of(attributes, MARKS if tag != "article" or any(k == "article" for k, _, _ in self.open) else COMMENTS)
+            dropped = above is None or tag in DROPPED or tag not in ("html", "body", "main") and hidden(attributes)
+            if tag in ("article", "main") and not dropped:
+                self.named[len(self.kinds)] = above | marks
+            self.open.append((tag, len(self.kinds), None if dropped else above | marks))
             self.kinds.append(tag)
 
     def handle_startendtag(self, tag, attributes):
@@ -104,8 +125,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.open[-1][2]:
-            self.text.append(data)
+        if self.open[-1][2] is not None:
+            self.text.append((data, self.open[-1][2]))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -114,6 +135,46 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[reach:reach + len(ratios)]
 
 
+def layout(parser: Blocks) -> frozenset[str]:
+    """Marks that only describe the layout: their elements hold the page's own article or most of its sentences.
+
+    With an article elsewhere, or for others' words, they must hold most, an article and the title,
+    or leave no sentence outside. Sentences among others' words do not count for the other marks."""
+    sentences = []  # size, marks, those around an article (None without one), in a title
+    for texts, tags, path in parser.blocks:
+        named = [parser.named[e] for e in path if e in parser.named]
+        around = frozenset().union(*named) if named else None
+        sizes = [len(text.strip()) for text, _ in texts]
+        said = sum(sizes) >= max(LONG, WORDY * tags)
+        title = any(parser.kinds[e] == "h1" for e in path)
+        sentences += [(size if said else 0, marks, around, title) for size, (_, marks) in zip(sizes, texts, strict=True) if size]
+    every = list(dict.fromkeys(mark for _, marks, _, _ in sentences for mark in sorted(marks)))
+    others = frozenset(m for m in every if {w.lower() for w in _WORD.findall(m)} & OTHERS)
+    held = dict.fromkeys(every, 0)
+    for size, marks, _, _ in sentences:
+        for mark in marks:
+            held[mark] += size
+    rest = sum(size for size, marks, _, _ in sentences if marks.isdisjoint(others))
+    free: frozenset[str] = frozenset()
+    for mark in every:
+        if not held[mark] or held[mark] < HALF * rest:
+            continue
+        own = [s for s in sentences if mark in s[1]]
+        theirs = others - free - {mark} if mark not in others else frozenset()
+        total = sum(size for size, marks, _, _ in sentences if marks.isdisjoint(theirs))
+        size = sum(size for size, marks, _, _ in own if marks.isdisjoint(theirs))
+        article, title = any(n and a and mark in a for n, _, a, _ in own), any(t for *_, t in own)
+        outside = [s for s in sentences if s[0] and mark not in s[1] and s[1] <= free]
+        most = size > 0 and size >= MOST * total
+        if mark in others or any(a is not None for _, _, a, _ in outside):
+            wraps = most and article and (title or not outside)
+        else:
+            wraps = most or article and size >= HALF * total
+        if wraps:
+            free |= {mark}
+    return free
+
+
 def extract(page: str | None) -> str:
     """The article's text; blocks are joined by two line ends."""
     if not page:
@@ -122,7 +183,14 @@ def extract(page: str | None) -> str:
     parser.feed(_OPEN_END.sub("", page))
     parser.close()
     parser.flush()
-    blocks = parser.blocks
+    free = layout(parser)
+    blocks, passed = [], 0  # tags of a block without text count for the next
+    for texts, tags, path in parser.blocks:
+        text = " ".join("".join(text for text, marks in texts if marks <= free).split())
+        passed += tags
+        if text:
+            blocks.append((text, passed, path))
+            passed = 0
     if not blocks:
         return ""
     sizes = np.array([len(text) for text, _, _ in blocks], np.float64)

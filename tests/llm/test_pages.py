@@ -42,6 +42,33 @@ def test_extract_all_content():
     assert html_text.extract(f"<h1>Title</h1><p>{said(5)}</p><article><p>{said(30)}</p></article>") == join(["Title", said(5), said(30)])
 
 
+def test_extract_marked_wrappers():
+    """A class or id that only describes the layout drops nothing; sections of others' words stay out."""
+    p = "A paragraph of some words that make a sentence. "
+    said = lambda k: (p * k).strip()
+    article = f"<article><h1>Title</h1><p>{said(9)}</p><p>Short</p></article>"
+    plain = article.replace("article>", "section>")
+    text = "\n\n".join(["Title", said(9), "Short"])
+    aside = f'<div class="sidebar"><p>{said(4)}</p></div>'
+    comments = f'<section id="comments"><article><p>{said(20)}</p></article></section>'
+    for wrapper in ("content has-sidebar", "no-sidebar", "with-comments", "elementor-widget", "page-header-fixed", "share-enabled", "widgetArea", "sidebar-layout main", "comments-layout", "banner widget"):
+        for own in (article, plain) if wrapper != "comments-layout" else (article,):
+            assert html_text.extract(f'<body><div class="{wrapper}">{own}</div></body>') == text, wrapper
+            assert html_text.extract(f'<body><div class="{wrapper}"><div>{own}</div>{aside}</div><div class="ad">{said(2)}</div></body>') == text, wrapper
+        assert html_text.extract(f'<body><div id="{wrapper}">{article}{comments}</div></body>') == text, wrapper
+    widgets = "".join(f'<div class="elementor-widget elementor-widget-text"><p>{said(k)}</p></div>' for k in (3, 4, 5))
+    assert html_text.extract(f"<body>{widgets}</body>") == "\n\n".join(said(k) for k in (3, 4, 5))
+    many = "".join(f'<div class="widget"><p>{said(k)}</p></div>' for k in (3, 4, 5))
+    assert html_text.extract(f"<body>{many}</body>") == "\n\n".join(said(k) for k in (3, 4, 5))
+    related = '<div class="related">' + f"<article><p>{said(2)}</p></article>" * 30 + "</div>"
+    for own in (article, plain):
+        assert html_text.extract(f"<body>{own}{comments}{aside}</body>") == text
+    assert html_text.extract(f"<body>{article}{related}</body>") == text
+    menu = '<div class="menu">' + "<a>Entry</a>" * 900 + "</div>"
+    assert html_text.extract(f"<body>{menu}{plain}</body>") == text
+    assert html_text.extract('<div><p>Hello <span class="share">share this now</span> world</p></div>') == "Hello world"
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t"), (1, "u", PAGE, "t"), (4, "w", "<p>" + "long text " * 50_000 + "</p>", "t"), (None, "x", "<p>a&nbsp; b</p>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -8,7 +8,8 @@ Documents become chunks: a local word list and the texts as numbers in it. Words
 counts in one shuffle and go back to their chunks. Word pairs are counted per chunk first, so a
 frequent pair is one entry of each chunk, then travel packed by hash range and come back as counts.
 Two walks over the chunks follow, one for the statistics of the weights (a histogram of
-bounded size), one for the scores. Pairs are told apart by range and 40 more bits of a hash."""
+bounded size), one for the scores. Pairs are told apart by all 64 bits of a hash: the range and the
+64 bits that it leaves."""
 
 from __future__ import annotations
 
@@ -28,8 +29,8 @@ from .shingles import mixed
 
 #: The end of a text, also the context of its first word; no word holds a line end.
 END = b"\n"
-#: Bytes of text in a chunk, pairs of a hash range, bits of a pair's key in its range.
-CHUNK, RANGE, BITS = 16 << 20, 400_000, 40
+#: Bytes of text in a chunk, pairs of a hash range.
+CHUNK, RANGE = 16 << 20, 400_000
 #: Tokens of a chunk looked at together.
 BLOCK = 1 << 18
 #: Bins per doubling in the histogram of estimates, and rounds of expectation-maximisation.
@@ -144,8 +145,7 @@ class Chunk:
         self.counts = np.bincount(self.pair_of[self.train], minlength=len(key))
         high = (key >> np.uint64(32)) * np.uint64(ranges)
         ranged = (high >> np.uint64(32)).astype(np.int64)
-        low = ((high & np.uint64(0xFFFFFFFF)) << np.uint64(BITS - 32)) | ((key & np.uint64(0xFFFFFFFF)) >> np.uint64(64 - BITS))
-        self.keys = low.astype(np.int64)
+        self.keys = high << np.uint64(32) | key & np.uint64(0xFFFFFFFF)  # what the range leaves of the high half, and the low half
         starts = np.flatnonzero(np.r_[True, ranged[1:] != ranged[:-1]])
         self.ranges = list(zip(ranged[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True))
 
@@ -157,11 +157,11 @@ def pair_counts(chunked: DataFrame, ranges: int) -> DataFrame:
     def send(batches):
         for row in rows_of(batches):
             c = Chunk(row, ranges)
-            out = [(r, row["chunk"], pack(np.diff(c.keys[a:b], prepend=0), "<i8"), pack(c.counts[a:b], "<i8")) for r, a, b in c.ranges]
+            out = [(r, row["chunk"], pack(np.diff(c.keys[a:b], prepend=np.uint64(0)), "<u8"), pack(c.counts[a:b], "<i8")) for r, a, b in c.ranges]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(k, "<i8")) for k in table["keys"].to_pylist()]
+        keys = [np.cumsum(unpack(k, "<u8")) for k in table["keys"].to_pylist()]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([unpack(c, "<i8") for c in table["counts"].to_pylist()]))[at].astype(np.int64)
         found = np.split(total, np.cumsum([len(k) for k in keys])[:-1])

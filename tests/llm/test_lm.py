@@ -71,3 +71,18 @@ def test_packing():
     x = np.array([0, 1, 255, 256, 2**40, 5], np.int64)
     assert lm.unpack(lm.pack(x, "<i8"), "<i8").tolist() == x.tolist()
     assert lm.unpack(lm.pack(x[:0], "<i8"), "<i8").tolist() == []
+
+
+def test_pairs_use_the_whole_hash(monkeypatch):
+    """Pairs whose hashes differ in any bit keep different keys in their ranges."""
+    import numpy as np
+    import zstandard
+
+    monkeypatch.setattr(lm, "mixed", lambda x: np.arange(len(x), dtype=np.uint64) + np.uint64(0xABCDEF12_34000000))
+    tokens = np.array([0, 1, 2, 0, 2, 1, 1, 3], np.int32)
+    row = {"docs": [0], "lengths": lm.pack(np.array([8]), "<i4"), "tokens": lm.pack(tokens, "<i4"), "names": zstandard.compress(b"a b c \n")}
+    for ranges in (1, 200, 12_500, 1_000_003):
+        c = lm.Chunk(row, ranges)
+        assert len({(r, k) for r, a, b in c.ranges for k in c.keys[a:b].tolist()}) == len(c.keys) == 8
+        assert all((c.keys[a:b][1:] > c.keys[a:b][:-1]).all() for _, a, b in c.ranges)
+        assert np.cumsum(lm.unpack(lm.pack(np.diff(c.keys, prepend=np.uint64(0)), "<u8"), "<u8")).tolist() == c.keys.tolist()

@@ -79,3 +79,15 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns[:2] == ["doc_id", "n_tokens"] and 0 < out.count()
+
+
+def test_ngram_stage_keeps_rows(spark):
+    """Repeated ids and null ids: one row of each group stays."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(7, text(0)), (7, text(0)), (7, text(1)), (None, text(0)), (None, text(2)), (None, text(2)), (9, text(2) + " tail"), (3, text(3)), (None, text(4)), (None, text(4)), (8, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.ngram_stage(spark, docs, "")
+    want = [(7, text(0)), (7, text(1)), (9, text(2) + " tail"), (3, text(3)), (None, text(4)), (8, ""), (8, ""), (None, None)]
+    assert kept.columns == COLUMNS
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == sorted(want, key=repr)
+    assert pipeline.ngram_stage(spark, docs.limit(0), "").count() == 0

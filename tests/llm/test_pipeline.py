@@ -91,3 +91,15 @@ def test_ngram_stage_keeps_rows(spark):
     assert kept.columns == COLUMNS
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == sorted(want, key=repr)
     assert pipeline.ngram_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixing_stage_takes_whole_documents(spark):
+    """No text is cut; a source passes its target by less than a document."""
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(90 + i)), "en", "ab"[i % 4 == 0], i) for i in range(40)]
+    rows = pipeline.mixing_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    by = {d[0]: d for d in docs}
+    assert all(tuple(r) == by[r["doc_id"]] for r in rows)
+    total = sum(90 + i for i in range(40))
+    for source, weight in (("a", 5 / 7), ("b", 2 / 7)):
+        target = weight * total
+        assert target - 1 <= sum(len(r["text"].split()) for r in rows if r["source"] == source) < target + 130

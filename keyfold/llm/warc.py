@@ -57,8 +57,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two records per response: page_id, warc_type, record_id, refers_to, target_uri, date,
     content_type, source_headers, payload_digest (the response's), block_digest, content_length, block.
 
-    The metadata block lists the source's facts in `application/warc-fields`; the conversion block
-    is plain text. Empty payloads give empty conversions; null targets stay null; an empty table
+    The metadata block lists the source's facts in `application/warc-fields`, among them every line of
+    its HTTP headers as a field `source-http-header`; the conversion block is plain text. Empty payloads give empty conversions; null targets stay null; an empty table
     gives an empty result; other columns are ignored."""
     fields = ["page_id", "record_id", "target_uri", "date", "http_headers", "payload"]
     source = records.select(*fields)
@@ -71,8 +71,10 @@ def derivatives(records: DataFrame) -> DataFrame:
     done = source.mapInArrow(texts, f"{kinds}, text string").withColumns({
         "payload_digest": _digest(F.coalesce("payload", F.lit(""))), "response_digest": _digest(F.concat_ws(END, F.coalesce("http_headers", F.lit("")), F.coalesce("payload", F.lit(""))))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit(END))
+    http = F.filter(F.split(F.coalesce("http_headers", F.lit("")), r"\r\n|\r|\n"), lambda x: x != "")
+    headers = F.concat_ws("", F.transform(http, lambda x: line("source-http-header", x)))
     title = F.regexp_extract("payload", r"(?is)<title[^>]*>\s*(.*?)\s*</title", 1)
-    about = F.concat(line("source-block-digest", F.col("response_digest")), line("source-payload-digest", F.col("payload_digest")), line("source-payload-length", F.octet_length("payload")),
+    about = F.concat(headers, line("source-block-digest", F.col("response_digest")), line("source-payload-digest", F.col("payload_digest")), line("source-payload-length", F.octet_length("payload")),
                      line("title", F.regexp_replace(title, r"\s+", " ")), line("outlinks", F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href"))), line("text-length", F.char_length("text")))
     row = lambda kind, content, block: F.struct(F.lit(kind).alias("warc_type"), F.lit(content).alias("content_type"), block.alias("block"))
     each = done.withColumn("derived", F.explode(F.array(row("metadata", "application/warc-fields", about), row("conversion", "text/plain; charset=utf-8", F.col("text")))))
@@ -86,7 +88,7 @@ def rendered(derived: DataFrame) -> Column:
     """The text of a derived record in WARC form, with its closing blank lines."""
     line = lambda name, column: F.when(derived[column].isNotNull(), F.concat(F.lit(f"{name}: "), derived[column].cast("string"), F.lit(END)))
     headers = [line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "date"),
-               line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"), line("Content-Length", "content_length")]
+               line("WARC-Payload-Digest", "payload_digest"), line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"), line("Content-Length", "content_length")]
     return F.concat(F.lit(f"WARC/1.1{END}"), *[F.coalesce(h, F.lit("")) for h in headers], F.lit(END), derived["block"], F.lit(END * 2))
 
 

@@ -118,3 +118,19 @@ def test_warc(spark, tmp_path):
     records = [x for f in (tmp_path / "warc").glob("part-*") for x in parse(f.read_bytes().decode())]
     assert sorted((h["WARC-Record-ID"], b.decode()) for h, b in records) == sorted((r["record_id"], r["block"]) for r in got)
     assert warc.derivatives(responses.limit(0)).count() == 0
+
+
+def test_warc_files_keep_source_headers_and_digests(spark, tmp_path):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a: b\r\nX-Long: one\r\n two\r\nSet-Cookie: c\r\n"
+    rows = [(1, "r1", "http://a/", "2024-01-01T00:00:00Z", http, "<p>One</p>"), (2, "r2", None, None, None, "<p>Two</p>")]
+    derived = warc.derivatives(spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, date string, http_headers string, payload string"))
+    path = str(tmp_path / "warc")
+    warc.write(derived, path, compression="none")
+    records = [x for f in (tmp_path / "warc").glob("part-*") for x in parse(f.read_bytes().decode())]
+    assert len(records) == 4
+    for headers, block in records:
+        source = next(r for r in rows if r[1] == headers["WARC-Refers-To"])
+        assert headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(source[5].encode()).hexdigest()
+        if headers["WARC-Type"] == "metadata":
+            kept = [x.split(": ", 1)[1] for x in block.decode().split("\r\n") if x.startswith("source-http-header: ")]
+            assert kept == [x for x in (source[4] or "").split("\r\n") if x]

@@ -1,6 +1,6 @@
 """Name resolution: leader clusters of similar names, exact and without all-pairs work.
 
-Names are taken in first-seen order. A name that matches no earlier leader becomes a
+Names are taken in first-seen order, equal positions by name. A name that matches no earlier leader becomes a
 leader; any other name joins the earliest leader it matches. That sequential rule is
 kept, but run in rounds: the next block of undecided names (a fixed number, so small
 enough for the driver and for every task) yields its leaders, then all remaining names
@@ -69,7 +69,7 @@ def cluster_names(names: DataFrame, threshold: float = fixed.NAME_THRESHOLD, blo
     Names of one form (lower case, short forms written out) match alike, so the first of
     them is clustered and the others follow it."""
     formed = staged(names.withColumn("__form", expand_name("name")), "forms")
-    firsts = formed.groupBy("__form").agg(F.min_by("name", "first_ord").alias("name"), F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
+    firsts = formed.groupBy("__form").agg(F.min_by("name", F.struct("first_ord", "name")).alias("name"), F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
     found = _cluster_forms(firsts.select("name", "n", "first_ord"), threshold, block)
     ids = found.select(expand_name("name").alias("__form"), "cluster_id")
     return formed.join(ids, "__form").select("name", "n", "first_ord", "cluster_id")
@@ -84,7 +84,7 @@ def _cluster_forms(names: DataFrame, threshold: float, block: int) -> DataFrame:
     while True:
         # every round reads a written table, so a lost executor repeats one round at most
         open_names = spark.read.schema(_NAMES).parquet(f"{folder}/open/round={turn}")
-        head = open_names.orderBy("first_ord").limit(block).collect()
+        head = open_names.orderBy("first_ord", "name").limit(block).collect()
         if not head:
             break
         leaders, settled = _lead(head, threshold, next_id)
@@ -92,7 +92,8 @@ def _cluster_forms(names: DataFrame, threshold: float, block: int) -> DataFrame:
         parts.append(f"{folder}/settled/turn={turn}/part=head")
         if len(head) < block:
             break
-        rest = open_names.where(F.col("first_ord") > head[-1]["first_ord"])
+        last = head[-1]
+        rest = open_names.where((F.col("first_ord") > last["first_ord"]) | (F.col("first_ord") == last["first_ord"]) & (F.col("name") > F.lit(last["name"])))
         matched = f"{folder}/matched/turn={turn}"
         _assign(rest, leaders, threshold, next_id).write.parquet(matched)
         decided = spark.read.schema(_SETTLED).parquet(matched)

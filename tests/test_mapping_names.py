@@ -146,3 +146,12 @@ def test_known_vendors_and_missing_names(spark):
     assert got[None] is None and got[" "] is None
     absent = entities.resolve_names(df, "supplier", F.col(ORD)).first()
     assert absent["vendor_canonical"] is None
+
+
+def test_names_with_tied_positions_all_get_a_cluster(spark):
+    from keyfold.operators.entities import cluster_names
+
+    names = spark.createDataFrame([(f"{c * 6}{i}", 1, 5) for i, c in enumerate("qwertzu")], "name string, n bigint, first_ord bigint")
+    got = cluster_names(names, block=3).collect()
+    assert sorted(r["name"] for r in got) == sorted(r["name"] for r in names.collect())
+    assert all(r["cluster_id"] is not None for r in got)

@@ -25,11 +25,14 @@ from .common import slices
 from .shingles import joined
 
 #: Bits of a feature's number; rated documents the model is fitted on at most; least documents of a feature.
-DIM_BITS, SAMPLE, RARE = 18, 6000, 15
+DIM_BITS, SAMPLE, RARE = 18, 6000, 5
 #: Words whose features a worker keeps.
 KEPT = 300_000
-#: Rounds, L1 penalty and step of the two passes.
-PASSES = ((300, 2e-3, 0.1), (600, 2e-4, 0.3))
+#: Penalties that may choose the features; the weak one that then fits them; ratings that judge the strong ones.
+STRONG, WEAK, JUDGES = (1.6e-2, 8e-3, 4e-3, 2e-3), 2e-4, 2000
+#: Rounds and step of the choice and of the fit at most; ratings of one in FOLDS documents judge the penalties;
+#: times that features left out are tried again.
+CHOICE, FIT, FOLDS, CHECKS = (300, 0.1), (600, 0.3), 4, 2
 _LEVELS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75])
 _RATIOS = ("capitals", "marks", "separators", "repeats", "runs")
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -87,45 +90,102 @@ class Model:
         return np.diff(below, axis=1, prepend=0, append=1)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int) -> Model:
-    """Maximum likelihood by proximal gradient steps scaled per weight, in two passes: a strong L1
-    penalty chooses the features, a weak one then fits those. Rarer grades weigh more."""
-    counts = np.bincount([g for _, g in rows], minlength=grades) + 0.5
-    share = np.cumsum(counts)[:-1] / counts.sum()
-    thresholds = np.log(share / (1 - share))
-    weights = np.zeros(1 << DIM_BITS)
-    if len({g for _, g in rows}) < 2:
-        return Model(weights, thresholds)
-    number, at = len(rows), np.arange(len(rows))
-    grade, own = np.array([g for _, g in rows]), np.repeat(at, [len(f) for f, _ in rows])
-    used, index = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    live = np.bincount(index) >= min(RARE, number // 10)
-    weight = counts[grade] ** -0.5
-    weight /= weight.sum()
-    w = np.zeros(len(used))
-    for rounds, penalty, rate in PASSES:
+class _Ratings:
+    """Rated documents as one sparse 0/1 matrix of the features that occur often enough."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]], grades: int):
+        self.grades, self.number = grades, len(rows)
+        self.grade = np.array([g for _, g in rows])
+        self.counts = np.bincount(self.grade, minlength=grades) + 0.5
+        weight = self.counts[self.grade] ** -0.5  # rarer grades weigh more
+        self.weight = weight / weight.sum()
+        own = np.repeat(np.arange(self.number), [len(f) for f, _ in rows])
+        used, index = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
+        live = np.bincount(index) >= min(RARE, max(self.number // 10, 1))
         stays = live[index]
-        index, own = (np.cumsum(live) - 1)[index[stays]], own[stays]
-        used, w = used[live], w[live]
-        seen, seen_t = np.full(len(used), 1e-12), np.full(grades - 1, 1e-8)
-        for _ in range(rounds):
-            score = np.bincount(own, weights=w[index], minlength=number)
-            below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -500, 500)))
-            full = np.c_[np.zeros(number), below, np.ones(number)]
-            slope = full * (1 - full)
-            p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
-            up = weight * (slope[at, grade + 1] - slope[at, grade]) / p  # of the loss, by the score
-            step = np.bincount(index, weights=up[own], minlength=len(used))
+        self.used, self.index, self.own = used[live], (np.cumsum(live) - 1)[index[stays]], own[stays]
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        share = np.cumsum(self.counts)[:-1] / self.counts.sum()
+        return np.zeros(len(self.used)), np.log(share / (1 - share))
+
+    def slopes(self, score: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per document: chance of its grade, slope of the loss by its score; slopes by the thresholds."""
+        at, grade = np.arange(self.number), self.grade
+        below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -500, 500)))
+        full = np.c_[np.zeros(self.number), below, np.ones(self.number)]
+        slope = full * (1 - full)
+        p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
+        up = self.weight * (slope[at, grade + 1] - slope[at, grade]) / p
+        move = np.array([(self.weight / p * (np.where(grade == k + 1, slope[:, k + 1], 0) - np.where(grade == k, slope[:, k + 1], 0))).sum() for k in range(self.grades - 1)])
+        return p, up, move
+
+    def gradient(self, w: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+        _, up, _ = self.slopes(np.bincount(self.own, weights=w[self.index], minlength=self.number), thresholds)
+        return np.bincount(self.index, weights=up[self.own], minlength=len(w))
+
+    def train(self, w: np.ndarray, thresholds: np.ndarray, live: np.ndarray, penalty: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Proximal gradient steps scaled per weight, on the `live` features; ends early once the loss stands still."""
+        stays = live[self.index]
+        index, own = (np.cumsum(live) - 1)[self.index[stays]], self.own[stays]
+        x, seen, seen_t, last = w[live], np.full(int(live.sum()), 1e-12), np.full(self.grades - 1, 1e-8), np.inf
+        for turn in range(rounds):
+            p, up, move = self.slopes(np.bincount(own, weights=x[index], minlength=self.number), thresholds)
+            if turn % 25 == 24:
+                loss = -(self.weight * np.log(p)).sum() + penalty * np.abs(x).sum()
+                if last - loss < 1e-5 * max(loss, 1e-3) and turn > 100:
+                    break
+                last = loss
+            step = np.bincount(index, weights=up[own], minlength=len(x))
             seen += step * step
             pace = rate / np.sqrt(seen)
-            w = w - pace * step
-            w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
-            move = np.array([(weight / p * (np.where(grade == k + 1, slope[:, k + 1], 0) - np.where(grade == k, slope[:, k + 1], 0))).sum() for k in range(grades - 1)])
+            x = x - pace * step
+            x = np.sign(x) * np.maximum(np.abs(x) - pace * penalty, 0)
             seen_t += move * move
             thresholds = np.maximum.accumulate(thresholds - 0.3 / np.sqrt(seen_t) * move)
-        live = w != 0
-    weights[used] = w
-    return Model(weights, thresholds)
+        out = np.zeros(len(w))
+        out[live] = x
+        return out, thresholds
+
+    def model(self, penalty: float) -> Model:
+        """Features are tried whose slope can overcome the penalty, first from zero weights, then from
+        those found; then the weak penalty fits the chosen ones."""
+        w, thresholds = self.start()
+        live = np.zeros(len(w), bool)
+        for _ in range(CHECKS):
+            more = np.abs(self.gradient(w, thresholds)) > penalty * (1 if live.any() else 0.5)
+            if not (more & ~live).any():
+                break
+            live |= more
+            w, thresholds = self.train(w, thresholds, live, penalty, *CHOICE)
+        if w.any():
+            w, thresholds = self.train(w, thresholds, w != 0, WEAK, *FIT)
+        weights = np.zeros(1 << DIM_BITS)
+        weights[self.used] = w
+        return Model(weights, thresholds)
+
+
+def fit(rows: list[tuple[np.ndarray, int]], grades: int) -> Model:
+    """Maximum likelihood in two passes: a strong L1 penalty chooses the features, a weak one then
+    fits those. The strong penalty is the one of STRONG whose model, fitted to the first JUDGES
+    ratings without every FOLDS-th, makes those likeliest; the larger of equals. As chance slopes fall
+    with the root of the number of ratings, so does the penalty for all of them."""
+    if len({g for _, g in rows}) < 2:
+        counts = np.bincount([g for _, g in rows], minlength=grades) + 0.5
+        share = np.cumsum(counts)[:-1] / counts.sum()
+        return Model(np.zeros(1 << DIM_BITS), np.log(share / (1 - share)))
+    judges = rows[:JUDGES]
+    rest, held = [r for i, r in enumerate(judges) if i % FOLDS], judges[::FOLDS]
+    best, penalty = -np.inf, STRONG[0]
+    if len({g for _, g in rest}) > 1:
+        ratings, grade = _Ratings(rest, grades), np.array([g for _, g in held])
+        for p in STRONG:
+            model = ratings.model(p)
+            chance = model.grades(np.array([model.weights[f].sum() for f, _ in held]))[np.arange(len(held)), grade]
+            likely = np.log(np.maximum(chance, 1e-6)).sum()
+            if likely > best:
+                best, penalty = likely, p
+    return _Ratings(rows, grades).model(penalty * (max(len(rest), 1) / len(rows)) ** 0.5)
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
@@ -168,9 +228,9 @@ def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             scores = np.array([weights.value[features(t)].sum(dtype=np.float64) for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(model.grades(scores)[:, -1] >= least)) if len(scores) else batch
+            yield batch.filter(pa.array(model.grades(scores)[:, -1] >= least))
 
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     model = Model(np.zeros(0), model.thresholds)

@@ -25,21 +25,14 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keyfold import fixed
-from keyfold.functions.cells import round_exact, strip
+from keyfold.functions.cells import round_exact
 from keyfold.model import ORD
+from keyfold.operators.conflicts import ConflictError, find_conflicts, refuse_conflicts
 
-
-class ConflictError(ValueError):
-    """Overlapping columns hold different values for one key."""
-
-    def __init__(self, rows: list):
-        self.rows = rows
-        lines = [f"Column '{r['column']}' has {r['n_conflicts']} conflicting value(s) from {r['source']}"
-                 for r in rows if r["example_no"] == 1]
-        super().__init__("Column value conflicts detected during merge:\n" + "\n".join(lines))
+__all__ = ["ConflictError", "find_conflicts"]
 
 
 def require_keys(df: DataFrame, keys: Sequence[str], label: str) -> None:
@@ -96,32 +89,41 @@ def key_facts(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int =
 
 
 def _salted(side: DataFrame, keys: Sequence[str], number: int, hot: DataFrame) -> DataFrame:
-    """Add a salt: rows of the spread sheet of a hot key take one each in turn, rows of
-    the other sheets are repeated for all; every other row has salt 0."""
+    """Add a salt and a number of copies. Rows of the spread sheet of a hot key are dealt
+    over its salts, rows of the other sheets are repeated for all; every other row has
+    salt 0 and one copy.
+
+    Equal rows of the spread sheet become one row with their number before they are dealt,
+    so they are dealt as evenly as different ones, and a task that runs again deals as
+    before. The copies come back after the join."""
     marks = _prefixed(hot, "__h")
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col("__h" + k)) for k in keys])
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__h{k}`")) for k in keys])
+    names = [f"`{c}`" for c in side.columns]
     salts, spread = F.col("__h__salts"), F.col("__h__spread")
-    # by the row itself: a task that runs again must deal its rows as before
-    turn = F.pmod(F.xxhash64(*side.columns), F.coalesce(salts, F.lit(1))).cast("int")
-    choice = F.when(salts.isNull(), F.array(F.lit(0))).when(spread == number, F.array(F.col("__turn"))) \
-        .otherwise(F.sequence(F.lit(0), salts - 1))
     # the hot-key table was bounded when it was collected
-    return (side.join(F.broadcast(marks), same, "left").withColumn("__turn", turn)
-            .withColumn("__salt", F.explode(choice)).drop("__turn", *marks.columns))
+    marked = side.join(F.broadcast(marks), same, "left")
+    every = F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt")
+    cold = marked.where(salts.isNull()).select(*names, F.lit(0).alias("__salt"), F.lit(1).cast("bigint").alias("__copies"))
+    repeated = marked.where(spread != number).select(*names, every, F.lit(1).cast("bigint").alias("__copies"))
+    counted = marked.where(spread == number).groupBy(*names, "__h__salts").agg(F.count(F.lit(1)).alias("__n"))
+    turn = F.pmod(F.col("__salt") + F.xxhash64(*names), salts)
+    share = F.floor(F.col("__n") / salts) + (turn < F.col("__n") % salts).cast("bigint")
+    dealt = counted.select("*", every).withColumn("__copies", share).where("__copies > 0").select(*names, "__salt", "__copies")
+    return cold.unionByName(repeated).unionByName(dealt)
 
 
 def _pad_join(frames: Sequence[DataFrame], keys: Sequence[str], pad: Sequence[bool],
               hot: DataFrame | None = None) -> DataFrame:
     """Inner join of the frames on null-safe keys after giving each frame with `pad` an
     empty row for every key it lacks. Columns of frame i are prefixed with '__i_'."""
-    tagged = [f.select(*keys, F.lit(1 << i).cast("bigint").alias("__have")) for i, f in enumerate(frames)]
-    presence = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.bit_or("__have").alias("__have"))
+    tagged = [f.select(*keys, F.lit(i).alias("__have")) for i, f in enumerate(frames)]
+    presence = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.collect_set("__have").alias("__have"))
     sides = []
     for i, f in enumerate(frames):
         side = f
         if pad[i]:
             # every branch reads the same aggregate, so its shuffle runs once
-            absent = presence.where(F.col("__have").bitwiseAND(F.lit(1 << i)) == 0).select(*keys)
+            absent = presence.where(~F.array_contains("__have", i)).select(*keys)
             side = side.unionByName(absent, allowMissingColumns=True)
         if hot is not None:
             side = _salted(side, keys, i, hot)
@@ -132,23 +134,17 @@ def _pad_join(frames: Sequence[DataFrame], keys: Sequence[str], pad: Sequence[bo
         if hot is not None:
             on = on & (F.col("__0___salt") == F.col(f"__{i}___salt"))
         out = out.join(side, on, "inner")
+    if hot is not None:
+        copies = reduce(lambda a, b: a * b, [F.col(f"__{i}___copies") for i in range(len(sides))])
+        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
     return out
 
 
-_MAX_FRAMES = 60  # one bit per sheet in the presence mask
-
-
 def pad_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
               hot: DataFrame | None = None) -> DataFrame:
     """Outer merge of sheets with any keys; overlapping columns take the first non-null
     value in sheet order."""
     sheets = [s.drop(ORD) for s in sheets]
-    if len(sheets) > _MAX_FRAMES:
-        # the first sheets become one, which stands for each of them as the spread sheet
-        spread = F.col("__spread")
-        inner = hot.where(spread < _MAX_FRAMES) if hot is not None else None
-        outer = hot.withColumn("__spread", F.greatest(spread - (_MAX_FRAMES - 1), F.lit(0))) if hot is not None else None
-        return pad_merge([pad_merge(sheets[:_MAX_FRAMES], keys, inner), *sheets[_MAX_FRAMES:]], keys, outer)
     joined = _pad_join(sheets, keys, [True] * len(sheets), hot)
     columns = list(dict.fromkeys(c for s in sheets for c in s.columns))
     picks = []
@@ -158,14 +154,18 @@ def pad_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS,
     return joined.select(*picks)
 
 
+_BITS = 60  # sheets that one number keeps a bit of
+
+
 def stack_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS) -> DataFrame:
     """Merge of sheets whose keys are unique: union, then first non-null value per column
-    in sheet order. One shuffle, with partial aggregation before it."""
+    in sheet order. One shuffle, with partial aggregation before it. A key that a sheet
+    has twice stops the query: the same aggregate counts rows and sheets of each key."""
     sheets = [s.drop(ORD) for s in sheets]
     columns = list(dict.fromkeys(c for s in sheets for c in s.columns))
     owners = {c: sum(c in s.columns for s in sheets) for c in columns}
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                     [s.withColumn("__sheet", F.lit(i)) for i, s in enumerate(sheets)])
+                     [s.withColumns({"__sheet": F.lit(i), "__bit": F.lit(1 << i % _BITS).cast("bigint")}) for i, s in enumerate(sheets)])
     aggs = []
     for c in columns:
         if c in keys:
@@ -174,80 +174,18 @@ def stack_merge(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COL
             aggs.append(F.any_value(c, ignoreNulls=True).alias(c))
         else:
             aggs.append(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__sheet"))).alias(c))
-    if not aggs:
-        return stacked.select(*keys).distinct()
-    return stacked.groupBy(*keys).agg(*aggs).select(*columns)
-
-
-def _wide(count: Column) -> Column:
-    """A count whose products with another count do not overflow."""
-    return count.cast("decimal(19,0)")
-
-
-def find_conflicts(left: DataFrame, right: DataFrame, keys: Sequence[str] = fixed.KEY_COLS,
-                   source: str = "new data", examples: int = 3) -> DataFrame:
-    """Conflicting values of overlapping columns, compared as stripped text where both
-    sides have one: (column, n_conflicts, source, example_no, key, existing, new).
-
-    The count equals the number of joined row pairs that differ, but no pair is formed:
-    per key and column it is rows-left x rows-right minus the pairs with equal values,
-    so a key with many rows on both sides costs no more than its rows. Examples are the
-    first keys in key order."""
-    overlap = [c for c in left.columns if c in right.columns and c not in keys and c != ORD]
-    schema = "column string, n_conflicts bigint, source string, example_no int, key string, existing string, new string"
-    if not overlap:
-        return left.sparkSession.createDataFrame([], schema)
-
-    def cells(df: DataFrame, side: str) -> DataFrame:
-        long = df.select(*keys, *[strip(c).alias(c) for c in overlap]).unpivot(
-            list(keys), overlap, "column", "value").where("value is not null")
-        return long.select(*keys, "column", "value",
-                           F.lit(int(side == "l")).cast("bigint").alias("l"),
-                           F.lit(int(side == "r")).cast("bigint").alias("r"))
-
-    per_value = (
-        cells(left, "l").unionByName(cells(right, "r"))
-        .groupBy(*keys, "column", "value").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    )
-    on_left, on_right = F.when(F.col("l") > 0, F.col("value")), F.when(F.col("r") > 0, F.col("value"))
-    per_key = (
-        per_value.groupBy(*keys, "column")
-        .agg((_wide(F.sum("l")) * _wide(F.sum("r")) - F.sum(_wide(F.col("l")) * _wide(F.col("r")))).alias("n"),
-             F.min(on_left).alias("lo_l"), F.max(on_left).alias("hi_l"),
-             F.min(on_right).alias("lo_r"), F.max(on_right).alias("hi_r"))
-        .where("n > 0")
-        .select(
-            "column", "n",
-            F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys]).alias("key"),
-            F.when((F.col("lo_l") == F.col("lo_r")) & (F.col("hi_r") == F.col("lo_l")), F.col("hi_l"))
-            .otherwise(F.col("lo_l")).alias("existing"),
-            F.when((F.col("lo_l") == F.col("lo_r")), F.when(F.col("hi_r") == F.col("lo_l"), F.col("lo_r")).otherwise(F.col("hi_r")))
-            .otherwise(F.col("lo_r")).alias("new"))
-    )
-    totals = per_key.groupBy("column").agg(F.sum("n").cast("bigint").alias("n_conflicts"))
-    first = Window.partitionBy("column").orderBy("key")
-    top = per_key.withColumn("example_no", F.row_number().over(first)).where(F.col("example_no") <= examples)
-    return top.join(totals, "column").select(
-        "column", "n_conflicts", F.lit(source).alias("source"), "example_no", "key", "existing", "new")
-
-
-def _guard(left, right, keys, source, on_conflict) -> None:
-    if on_conflict == "error":
-        if not set(left.columns) & set(right.columns) - set(keys) - {ORD}:
-            return
-        rows = find_conflicts(left, right, keys, source).collect()  # columns x examples rows
-        if rows:
-            raise ConflictError(rows)
-    elif on_conflict != "keep_left":
-        raise ValueError("on_conflict is 'error' or 'keep_left'")
+    words = [F.coalesce(F.bit_count(F.bit_or(F.when(F.floor(F.col("__sheet") / _BITS) == w, F.col("__bit")))), F.lit(0))
+             for w in range((len(sheets) + _BITS - 1) // _BITS)]
+    once = F.count(F.lit(1)) == reduce(lambda a, b: a + b, words)
+    grouped = stacked.groupBy(*keys).agg(*aggs, once.alias("__once"))
+    refusal = F.raise_error(F.lit("plan 'stack' needs keys that occur once per sheet")).cast("boolean")
+    return grouped.where(F.when(F.col("__once"), F.lit(True)).otherwise(refusal)).select(*columns)
 
 
 def _merge(sheets: Sequence[DataFrame], keys: Sequence[str], plan: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     hot = None
-    if plan in ("auto", "stack"):
+    if plan == "auto":
         facts = key_facts(sheets, keys, hot_rows)
-        if plan == "stack" and not facts.unique:
-            raise ValueError("plan 'stack' needs keys that occur once per sheet")
         plan, hot = ("stack" if facts.unique else "pad"), facts.hot
     if plan == "stack":
         return stack_merge(sheets, keys)
@@ -262,7 +200,8 @@ def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_CO
 
     Keys of more than `hot_rows` rows, and of more than a ten-thousandth of all, are salted;
     that decides how rows are dealt, not which rows come out. plan="stack" asks for keys
-    that occur once per sheet, plan="pad" merges any keys without counting them.
+    that occur once per sheet and stops with an error where the result is computed if one
+    does not; plan="pad" merges any keys without counting them.
 
     Keyless rows are dropped before the merge: they could only pair with each other and
     all such pairs would be dropped afterwards."""
@@ -273,12 +212,7 @@ def merge_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_CO
     sheets = [drop_keyless(s.drop(ORD), keys) for s in sheets]
     if len(sheets) == 1:
         return sheets[0]
-    for i in range(1, len(sheets)):
-        before = sheets[0] if i == 1 else None
-        if on_conflict == "error" and before is None:
-            shared = {c for s in sheets[:i] for c in s.columns} & set(sheets[i].columns) - set(keys)
-            before = _merge(sheets[:i], keys, plan, hot_rows) if shared else sheets[i].select(*keys)
-        _guard(before if before is not None else sheets[0], sheets[i], keys, f"Sheet {i + 1}", on_conflict)
+    refuse_conflicts(sheets, keys, on_conflict, [f"Sheet {i}" for i in range(1, len(sheets) + 1)])
     return _merge(sheets, keys, plan, hot_rows)
 
 
@@ -299,7 +233,7 @@ def append_to_master(master: DataFrame, new: DataFrame | Sequence[DataFrame],
     if not isinstance(new, DataFrame):
         new = merge_sheets(list(new), keys, on_conflict)
     require_keys(new, keys, "New data")
-    _guard(master, new, keys, "Appended file", on_conflict)
+    refuse_conflicts([master, new], keys, on_conflict, ["Master", "Appended file"])
     return outer_merge(master, new, keys, plan)
 
 

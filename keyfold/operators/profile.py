@@ -29,7 +29,7 @@ def long_text(df: DataFrame, columns: Sequence[str], *ids: Column) -> DataFrame:
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, v): every cell that is a number, text cells parsed."""
+    """(column, v): every cell that is a number, text cells parsed; NaN is a missing value."""
     kinds = {f.name: f.dataType for f in df.schema}
     text = [c for c in columns if isinstance(kinds[c], T.StringType)]
     numbers = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
@@ -41,7 +41,7 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             [], [f"`{c}`" for c in numbers], "column", "v"))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, v double")
-    return reduce(DataFrame.unionByName, parts).where("v is not null")
+    return reduce(DataFrame.unionByName, parts).where("v is not null and not isnan(v)")
 
 
 def _every_column(df: DataFrame, columns: Sequence[str], found: DataFrame) -> DataFrame:
@@ -113,48 +113,84 @@ def random_sample(df: DataFrame, column: str, n: int = 50, seed: int = 42, order
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, median) without holding a column in one task.
-
-    Equal values are counted first. The two middle ranks are then located in buckets of
-    a fixed relative width (sign, power of two, 1/1024 of it), and only the buckets that
-    contain them are ordered by value."""
-    columns = list(columns)
-    counts = long_numbers(df, columns).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    size = F.abs("v")
+# Parts of an interval in one round of the median search; rows of an interval that are ordered by value.
+SPLITS, SMALL = 4096, 100_000
+
+
+def _binade(v: Column) -> Column:
+    """A number that grows with v: sign, power of two and 1/1024 of it."""
+    size = F.abs(v)
     infinite = size == float("inf")
     power = F.when(infinite, F.lit(1024)).when(size > 0, F.floor(F.log2(size)))
     step = F.when(infinite, F.lit(0)).otherwise(F.floor((size / F.pow(F.lit(2.0), power) - 1) * 1024))
-    bucket = F.when(F.col("v") == 0, F.lit(0)).otherwise(F.signum("v") * ((power + 1100) * 1024 + step + 1)).cast("bigint")
-    counts = counts.withColumn("bucket", bucket)
-    running = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("column")
-    buckets = (
-        counts.groupBy("column", "bucket").agg(F.sum("n").alias("b"))
-        .select("column", "bucket", "b", F.sum("b").over(running).alias("upto"), F.sum("b").over(whole).alias("total"))
-        .withColumn("lo", F.floor((F.col("total") + 1) / 2)).withColumn("hi", F.floor((F.col("total") + 2) / 2))
-        .where("(upto - b < lo and lo <= upto) or (upto - b < hi and hi <= upto)")
-        .select("column", "bucket", "lo", "hi", (F.col("upto") - F.col("b")).alias("before"))
-    )
-    # at most two bucket rows per column
-    inside = counts.join(F.broadcast(buckets), ["column", "bucket"])
-    by_value = Window.partitionBy("column", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(by_value))
-    low = (F.col("upto") - F.col("n") < F.col("lo")) & (F.col("lo") <= F.col("upto"))
-    high = (F.col("upto") - F.col("n") < F.col("hi")) & (F.col("hi") <= F.col("upto"))
-    return ranked.groupBy("column").agg(
-        ((F.max(F.when(low, F.col("v"))) + F.max(F.when(high, F.col("v")))) / 2).alias("median"))
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * ((power + 1100) * 1024 + step + 1)).cast("bigint")
+
+
+def medians_of(numbers: DataFrame) -> DataFrame:
+    """(column, median) of (column, v) or (column, v, n), with n equal values a row.
+
+    The two middle ranks are searched for in rounds, all columns at once. The first round
+    counts values by sign and power of two; each later one splits what holds a middle rank,
+    between its smallest and largest value, into equal parts and counts those. A column
+    is done when one value or at most SMALL rows are left; as doubles of one power of two are
+    equally spaced, five rounds are the most. A round shuffles one row per part and task, and
+    the driver holds two intervals per column."""
+    spark = numbers.sparkSession
+    if "n" not in numbers.columns:
+        numbers = numbers.withColumn("n", F.lit(1).cast("bigint"))
+
+    def chosen(parts: DataFrame) -> list:
+        """Per column and rank the part that holds it, from (column, which, rank, part, n, lo, hi)."""
+        same = Window.partitionBy("column", "which").orderBy("part")
+        upto = parts.withColumn("upto", F.sum("n").over(same))
+        return upto.where("upto - n < rank and rank <= upto").select(
+            "column", "which", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n", "lo", "hi").collect()
+
+    found = [F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    first = numbers.groupBy("column", _binade(F.col("v")).alias("part")).agg(*found)
+    total = F.sum("n").over(Window.partitionBy("column"))
+    middle = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("total") + 1) / 2).alias("rank")),
+                               F.struct(F.lit(1).alias("which"), F.floor((F.col("total") + 2) / 2).alias("rank"))))
+    state = chosen(first.withColumn("total", total).select("*", middle.alias("m")).select("column", "m.*", "part", "n", "lo", "hi"))
+    done = {(r["column"], r["which"]): r["lo"] for r in state if r["lo"] == r["hi"]}
+
+    def inside(rows: list) -> DataFrame:
+        table = spark.createDataFrame([(r["column"], r["which"], r["rank"], r["lo"], r["hi"]) for r in rows],
+                                      "column string, which int, rank bigint, a double, b double")
+        # two rows per column at most
+        return numbers.join(F.broadcast(table), "column").where("v >= a and v <= b")
+
+    left = [r for r in state if r["lo"] < r["hi"]]
+    while wide := [r for r in left if r["n"] > SMALL]:
+        half = lambda x: F.col(x) / 2  # the width of two doubles can be more than a double holds
+        width = half("b") - half("a")
+        part = F.when(width > 0, F.floor((half("v") - half("a")) / F.nullif(width, F.lit(0.0)) * SPLITS)).otherwise((F.col("v") > F.col("a")).cast("bigint"))
+        split = inside(wide).groupBy("column", "which", "rank", part.alias("part")).agg(*found)
+        narrow = chosen(split)
+        done |= {(r["column"], r["which"]): r["lo"] for r in narrow if r["lo"] == r["hi"]}
+        left = [r for r in left if r["n"] <= SMALL] + [r for r in narrow if r["lo"] < r["hi"]]
+    if left:
+        values = inside(left).groupBy("column", "which", "rank", F.col("v").alias("part")).agg(*found)
+        done |= {(r["column"], r["which"]): r["lo"] for r in chosen(values)}
+    medians = [(c, (v + done[c, 1]) / 2) for (c, which), v in done.items() if which == 0]
+    return spark.createDataFrame(medians, "column string, median double")
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, median) of the numeric cells of columns that have any."""
+    return medians_of(long_numbers(df, list(columns)))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n, min, max, mean, median, std) of the numeric cells, for columns that
     have any; two decimals, sample deviation, 0 for a single value."""
     columns = list(columns or data_columns(df))
-    rows = long_numbers(df, columns).groupBy("column").agg(
+    numbers = long_numbers(df, columns)
+    rows = numbers.groupBy("column").agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     std = F.when(F.col("n") > 1, cells.round_exact("std", 2)).otherwise(0.0)
-    return rows.join(exact_medians(df, columns), "column").select(
+    return rows.join(medians_of(numbers), "column").select(
         "column", "n", "min", "max", cells.round_exact("mean", 2).alias("mean"),
         cells.round_exact("median", 2).alias("median"), std.alias("std"))
 

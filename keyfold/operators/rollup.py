@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keyfold import fixed
 from keyfold.functions.cells import round_exact, strip
 from keyfold.model import ORD
-from keyfold.operators.merge import split_keyed
 
 GRAINS = ("contract_level", "line_item_level", "mixed")
 
@@ -49,51 +49,68 @@ def default_method(df: DataFrame, c: str, flags: Sequence[str] | None = None) ->
     return "sum" if c in flags or isinstance(df.schema[c].dataType, T.NumericType) else "first"
 
 
-def _reattach(grouped: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Add rows without a key below the grouped ones, in the grouped columns' types (a
-    summed boolean counts 0 or 1, a joined column is text)."""
-    types = {f.name: f.dataType for f in grouped.schema}
-    fix = {f.name: F.col(f.name).cast(types[f.name]) for f in orphans.schema
-           if f.name in types and f.dataType != types[f.name]}
-    return grouped.unionByName(orphans.withColumns(fix), allowMissingColumns=True)
-
-
-def _unique_joined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Column,
-                   keep_blank: bool) -> DataFrame:
-    """Distinct values per key and column in first-seen order, joined with ' | '.
-
-    Values are made distinct by a first groupBy, so only distinct values are ever
-    collected for one key: exactly the content of the result cell."""
-    long = df.select(*keys, order.alias("__ord"), *[F.col(c).cast("string").alias(c) for c in columns]) \
-        .unpivot([*keys, "__ord"], list(columns), "__column", "__value").where("__value is not null")
-    if not keep_blank:
-        long = long.where(strip("__value") != "")
-    distinct = long.groupBy(*keys, "__column", "__value").agg(F.min("__ord").alias("__ord"))
-    entry = F.struct("__ord", "__value")
-    return distinct.groupBy(*keys).agg(*[
-        F.concat_ws(" | ", F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("__column") == c, entry))),
-            lambda x: x["__value"])).alias(c)
-        for c in columns
-    ])
-
-
 def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str], order: Column,
-                    count_col: str | None = None, keep_blank: bool = False) -> DataFrame:
-    """Group by keys (none of them null) with one method per column."""
+                    count_col: str | None = None, keep_blank: bool = False, orphans: bool = False,
+                    orphan_cols: Sequence[str] = ()) -> DataFrame:
+    """Group by keys with one method per column, reading `df` once.
+
+    Columns whose distinct values are joined (`collect_unique`) are unfolded to rows of
+    (key, column, value) beside the row that carries all other columns. A first aggregate
+    makes values distinct and sums up the rest, a second one puts the rows of a key
+    together; only distinct values are ever collected for one key, which is exactly the content
+    of the result cell.
+
+    With `orphans` rows without a complete key go through the same aggregates, each under
+    its own order and content, and come out as they were in the types of the grouped
+    columns (a summed boolean counts 0 or 1, a joined column is text); `orphan_cols` are
+    kept for them only. Without it the keys must not be null."""
     unique = [c for c, m in methods.items() if m == "collect_unique"]
     simple = [c for c in methods if c not in unique]
     booleans = {f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)}
-    aggs = [_simple_agg(c, methods[c], order, c in booleans).alias(c) for c in simple]
-    if count_col:
-        aggs.append(F.count(F.lit(1)).alias(count_col))
-    if not aggs:
-        aggs.append(F.count(F.lit(1)).alias("__n"))
-    out = df.groupBy(*keys).agg(*aggs)
+    alone = F.lit(None).cast("string")
+    if orphans:
+        incomplete = reduce(or_, [F.col(k).isNull() for k in keys])
+        content = F.xxhash64(*[F.col(c) for c in dict.fromkeys([*keys, *methods, *orphan_cols])])
+        alone = F.when(incomplete, F.concat_ws(":", order.cast("string"), content.cast("string")))
+    by = [*keys, "__alone"] if orphans else list(keys)
+    lone = F.col("__alone").isNotNull()
+    rows = df.select(*keys, *dict.fromkeys([*simple, *unique, *orphan_cols]), order.alias("__ord"), alone.alias("__alone"))
+
+    def value(c: str, method: str) -> Column:
+        whole = _simple_agg(c, method, F.col("__ord"), c in booleans)
+        if orphans and method in ("sum", "count"):  # a lone row keeps its cell, also a missing one
+            cell = F.col(c).cast("bigint") if c in booleans and method == "sum" else F.col(c)
+            return F.when(lone, F.any_value(cell.try_cast("bigint") if method == "count" else cell, ignoreNulls=True)).otherwise(whole)
+        return whole
+
+    aggs = [value(c, methods[c]).alias(c) for c in simple]
+    aggs += [F.any_value(F.when(lone, F.col(c)), ignoreNulls=True).alias(c) for c in orphan_cols]
+    aggs.append(F.count(F.lit(1)).alias("__n"))
     if unique:
-        joined = _unique_joined(df, keys, unique, order, keep_blank)
-        out = out.join(joined, list(keys), "left").na.fill("", subset=unique)
-    return out.select(*keys, *methods, *([count_col] if count_col else []))
+        cell = lambda i, c: F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("value"))
+        tagged = rows.select("*", F.explode(F.array(F.struct(F.lit(0).alias("tag"), F.lit(None).cast("string").alias("value")),
+                                                    *[cell(i, c) for i, c in enumerate(unique, 1)])).alias("__cell"))
+        told = F.col("__cell.value").isNotNull() if keep_blank else (strip("__cell.value") != "") | (lone & F.col("__cell.value").isNotNull())
+        tagged = tagged.where((F.col("__cell.tag") == 0) | told)
+        own = F.col("__cell.tag") == 0
+        tagged = tagged.select(*by, "__ord", own.alias("__own"), F.col("__cell.tag").alias("__tag"), F.col("__cell.value").alias("__value"),
+                               *([] if orphans else ["__alone"]), *[F.when(own, F.col(c)).alias(c) for c in dict.fromkeys([*simple, *orphan_cols])])
+        partial = tagged.groupBy(*by, "__tag", "__value").agg(F.min("__ord").alias("__ord"), *aggs)
+        entry = F.struct("__ord", "__value")
+        only = lambda c: F.any_value(F.when(F.col("__tag") == 0, F.col(c)), ignoreNulls=True).alias(c)
+        joined = lambda i, c: F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.when(F.col("__tag") == i, entry))), lambda x: x["__value"])).alias(c)
+        out = partial.groupBy(*by).agg(*[only(c) for c in [*simple, *orphan_cols, "__n"]], *[joined(i, c) for i, c in enumerate(unique, 1)],
+                                       *[F.count_if(F.col("__tag") == i).alias(f"__some{i}") for i in range(1, len(unique) + 1)])
+        if orphans:
+            out = out.withColumns({c: F.when(~lone | (F.col(f"__some{i}") > 0), F.col(c)) for i, c in enumerate(unique, 1)})
+    else:
+        out = rows.groupBy(*by).agg(*aggs)
+    if orphans:  # equal rows of one order are one group; they come out as often as they came in
+        copies = F.when(lone, F.col("__n")).otherwise(F.lit(1).cast("bigint"))
+        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        out = out.withColumn("__n", F.when(lone, F.lit(1).cast("bigint")).otherwise(F.col("__n")))
+    counted = [F.col("__n").alias(count_col)] if count_col else []
+    return out.select(*keys, *methods, *counted, *orphan_cols)
 
 
 def rollup(df: DataFrame, keys: Sequence[str] = fixed.GROUP_BY, rules: dict[str, str] = fixed.ROLLUP_RULES,
@@ -104,12 +121,10 @@ def rollup(df: DataFrame, keys: Sequence[str] = fixed.GROUP_BY, rules: dict[str,
     order = order if order is not None else F.col(ORD)
     if not keys:
         return df.withColumn(count_col, F.lit(1).cast("bigint"))
-    keyed, orphans = split_keyed(df, keys)
+    lineage = [c for c in df.columns if c in fixed.LINEAGE_COLS and c not in keys]
     skip = {*keys, *fixed.LINEAGE_COLS, ORD}
     methods = {c: rules.get(c) or default_method(df, c) for c in df.columns if c not in skip}
-    grouped = group_aggregate(keyed, keys, methods, order, count_col)
-    rest = orphans.drop(ORD).withColumn(count_col, F.lit(1).cast("bigint"))
-    return _reattach(grouped, rest)
+    return group_aggregate(df, keys, methods, order, count_col, orphans=True, orphan_cols=lineage)
 
 
 def classify_grain(df: DataFrame, id_col: str = "contract_id") -> DataFrame:
@@ -168,14 +183,12 @@ def merge_quote_lines(df: DataFrame, id_col: str = "Contract_ID", date_col: str
         return df
     date_found = find_column(df.columns, date_col, fixed.CLOSE_DATE_HEADER_KEYWORDS)
     keys = [id_found] + ([date_found] if date_found else [])
-    keyed, orphans = split_keyed(df, keys)
     methods = {}
     for c in df.columns:
         if c in keys or c == ORD:
             continue
         methods[c] = "collect_unique" if c in fixed.PROVENANCE_COLS else default_method(df, c, flags)
-    grouped = group_aggregate(keyed, keys, methods, order, keep_blank=True)
-    return _reattach(grouped, orphans.drop(ORD)).select(
+    return group_aggregate(df, keys, methods, order, keep_blank=True, orphans=True).select(
         *[c for c in df.columns if c != ORD])
 
 

@@ -50,6 +50,19 @@ def test_exact_median(spark, values):
     assert profile.exact_medians(df, ["v"]).first()["median"] == statistics.median(values)
 
 
+def test_medians_of_one_binade_are_refined(spark, monkeypatch):
+    """Epoch numbers share their power of two; intervals are split until few rows are left."""
+    monkeypatch.setattr(profile, "SMALL", 3)
+    monkeypatch.setattr(profile, "SPLITS", 8)
+    rng = random.Random(2)
+    columns = {"epoch": [1.6e9 + rng.randrange(10**7) for _ in range(600)], "odd": [1e300, -1e300, 5e-324, 0.0, 1e-310, 2.0, float("inf")] * 3,
+               "same": [7.25] * 50, "ties": [1.0 + i % 2 * 2**-52 for i in range(41)], "far": [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(99)]}
+    df = spark.createDataFrame([(c, float(v)) for c, vs in columns.items() for v in vs], "column string, v double").repartition(4)
+    assert {r["column"]: r["median"] for r in profile.medians_of(df).collect()} == {c: statistics.median(vs) for c, vs in columns.items()}
+    counted = df.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    assert {r["column"]: r["median"] for r in profile.medians_of(counted).collect()} == {c: statistics.median(vs) for c, vs in columns.items()}
+
+
 def test_numeric_stats_read_text_and_skip_words(spark):
     df = spark.createDataFrame([("1", "a"), ("2.5", "b"), ("1d", "c"), ("x", "d"), (" 4 ", "e")], "n string, t string")
     got = profile.numeric_stats(df).collect()

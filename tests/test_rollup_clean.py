@@ -38,6 +38,25 @@ def test_rollup_is_independent_of_partitioning(lines, rows):
     assert rows(rollup.rollup(lines.repartition(5))) == rows(rollup.rollup(lines.coalesce(1)))
 
 
+def test_rows_without_a_key_come_out_as_they_were(spark, rows):
+    """Also equal rows of one order, blanks of joined columns, missing numbers and lineage columns."""
+    df = spark.createDataFrame([
+        (1, None, "v", None, " ", "p1", 4), (1, None, "v", None, " ", "p1", 4), (2, None, None, 2.0, None, "p2", None), (3, "C1", "v", 1.0, " ", "p3", 1),
+        (3, "C1", None, None, "b", "p4", 2), (5, "C1", "w", 2.0, "b", "p5", 3), (6, "C1", "w", 2.0, "a\t", "p5", 3), (7, "C2", None, None, None, "p6", None)],
+        f"{ORD} long, contract_id string, vendor string, total_value double, product string, row_lineage_id string, other int")
+    got = rollup.rollup(df)
+    assert got.columns == ["contract_id", "vendor", "total_value", "product", "other", "line_item_count", "row_lineage_id"]
+    assert rows(got) == sorted([
+        (None, "v", None, " ", 4, 1, "p1"), (None, "v", None, " ", 4, 1, "p1"), (None, None, 2.0, None, None, 1, "p2"),
+        ("C1", "v", 5.0, "b | a\t", 9, 4, None), ("C2", None, 0.0, "", 0, 1, None)], key=repr)
+
+
+def test_rollup_reads_its_source_once(spark, lines, tmp_path):
+    lines.write.parquet(str(tmp_path / "lines"))
+    plan = rollup.rollup(spark.read.parquet(str(tmp_path / "lines")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_grain(spark, lines):
     assert rollup.classify_grain(lines).first()["level"] == "mixed"
     unique = spark.range(20).select(F.col("id").cast("string").alias("contract_id"))

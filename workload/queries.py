@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keyfold import fixed
 from keyfold.functions import cells
 from keyfold.model import ORD, Sheet
-from keyfold.operators import checks, clean, derive, entities, mapping, merge, mlready, profile, rollup, suggest
+from keyfold.operators import checks, clean, conflicts, derive, entities, mapping, merge, mlready, profile, rollup, suggest
 from keyfold.plans import audit, consolidate
 from keyfold.schema import CanonicalSchema
 from keyfold.session import tune, work_folder
-from keyfold.sources import catalog, sinks, tables
+from keyfold.sources import catalog, master, sinks, tables
 from workload.fixtures import ctes, sheet, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,56 @@ def merge_salted(spark, sf):
                               on_conflict="keep_left", hot_rows=10)
 
 
+_SIX = {"crm": ["deal_value", "stage"], "billing": ["priority", "stage"], "shipments": ["shipped", "stage"], "crm_unique": ["deal_value", "stage"],
+        "billing_unique": ["priority", "stage"], "usage": ["usage"]}
+
+
+def _chain(sheets: dict[str, list[str]]) -> tuple[list[str], list[str], list[str]]:
+    """CTEs of a merge sheet by sheet (m1, m2, ...), its columns, and a query of each sheet's differing row pairs."""
+    (first, columns), *rest = sheets.items()
+    columns, ctes_, pairs = list(columns), [f"m1 AS {_KEYED.format(first)}"], []
+    on = "l.account_id IS NOT DISTINCT FROM r.account_id AND l.close_date IS NOT DISTINCT FROM r.close_date"
+    for i, (name, own) in enumerate(rest, 2):
+        right = _KEYED.format(name)
+        for c in (c for c in own if c in columns):
+            pairs.append(f"""SELECT {i} AS sheet, '{c}' AS "column", l.account_id, l.close_date FROM m{i - 1} l JOIN {right} r ON {on}
+                WHERE l.{c} IS NOT NULL AND r.{c} IS NOT NULL AND trim(CAST(l.{c} AS STRING)) <> trim(CAST(r.{c} AS STRING))""")
+        picked = [f"coalesce(l.{c}, r.{c}) AS {c}" if c in columns and c in own else f"l.{c}" if c in columns else f"r.{c}" for c in dict.fromkeys([*columns, *own])]
+        ctes_.append(f"m{i} AS ({_full(f'm{i - 1}', right, ', '.join(picked))})")
+        columns = list(dict.fromkeys([*columns, *own]))
+    return ctes_, columns, pairs
+
+
+_SIX_CTES, _SIX_COLS, _SIX_PAIRS = _chain(_SIX)
+
+
+@query("merge_six_sheets", ctes(*_SIX) + ", " + ", ".join(_SIX_CTES) + f" SELECT account_id, close_date, {', '.join(_SIX_COLS)} FROM m6")
+def merge_six_sheets(spark, sf):
+    """Six sheets, keys that repeat in some, with the plan the library chooses."""
+    return merge.merge_sheets([sheet(spark, sf, n) for n in _SIX], on_conflict="keep_left")
+
+
+@query("conflicts_six_sheets", ctes(*_SIX) + ", " + ", ".join(_SIX_CTES) + ", p AS (" + " UNION ALL ".join(_SIX_PAIRS) + """),
+    k AS (SELECT sheet, "column", 'account_id=' || coalesce(account_id, 'null') || ', close_date=' || coalesce(close_date, 'null') AS key, count(*) AS n FROM p GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sheet, "column" ORDER BY key) AS example_no, sum(n) OVER (PARTITION BY sheet, "column") AS total FROM k)
+    SELECT sheet, "column", CAST(total AS BIGINT) AS n_conflicts, CAST(example_no AS INTEGER) AS example_no, key FROM r WHERE example_no <= 3""")
+def conflicts_six_sheets(spark, sf):
+    """Each sheet against the merge of all before it, in one query."""
+    sheets = [merge.drop_keyless(sheet(spark, sf, n), KEYS) for n in _SIX]
+    return conflicts.sheet_conflicts(sheets).select("sheet", "column", "n_conflicts", "example_no", "key")
+
+
+@query("append_parts", ctes("crm", "usage", "shipments") + ", m AS (" + _full("crm", "usage", "l.deal_value, l.stage, r.usage") + ")"
+       + _full("m", "shipments", "l.deal_value, coalesce(l.stage, r.stage) AS stage, l.usage, r.shipped"))
+def append_parts(spark, sf):
+    """Two appends to a stored master, each of which replaces only the parts of its keys."""
+    path = work_folder(spark, "parts")
+    master.create_master(sheet(spark, sf, "crm"), path, parts=32)
+    master.append_rows(spark, path, sheet(spark, sf, "usage"), 1, "keep_left")
+    master.append_rows(spark, path, sheet(spark, sf, "shipments"), 2, "keep_left")
+    return master.read_master(spark, path)
+
+
 @query("base_choice", ctes("order_text", "customer_text") + """
     SELECT order_id, o.customer_id, status, amount, order_date, name, segment
     FROM order_text o LEFT JOIN (SELECT customer_id, name, segment FROM customer_text) c ON o.customer_id = c.customer_id""")

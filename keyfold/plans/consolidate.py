@@ -86,7 +86,7 @@ def store_layers(result: LayeredResult, root: str, dataset_id: str = "default",
         "severity = 'error'").isEmpty() else "passed"
     sinks.append_run_log(spark, f"{root}/run_log", run_id or uuid.uuid4().hex, dataset_id, result.versions,
                          ",".join(sorted(set(result.levels.values()))),
-                         counts["line_item_count"] or counts["contract_count"], counts["contract_count"], status)
+                         counts["line_item_count"] or counts["contract_count"], counts["contract_count"], status, counts["content_hash"])
     return metadata
 
 

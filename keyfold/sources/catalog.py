@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keyfold.model import Sheet, data_columns
 
-_LANES, _LANE_HEX = 4, 15  # 4 x 60 bits of each row's SHA-256
-_CHUNKS, _CHUNK_BITS = 3, 20
+_LANE_HEX, _CHUNK_BITS, _CHUNKS = 15, 20, 3
+#: 4 lanes of 60 bits of each row's SHA-256, each in pieces of 20 bits with their places.
+LANES = {i: [_CHUNK_BITS * k for k in range(_CHUNKS)] for i in range(4)}
 
 
 def row_text(df: DataFrame) -> Column:
@@ -18,21 +19,28 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in data_columns(df)])
 
 
+def hash_lanes(df: DataFrame) -> DataFrame:
+    """Add the lanes of each row's hash."""
+    hashed = df.withColumn("__hash", F.sha2(row_text(df), 256))
+    return hashed.withColumns({f"__lane{i}": F.conv(F.substring("__hash", 1 + _LANE_HEX * i, _LANE_HEX), 16, 10).cast("bigint") for i in LANES})
+
+
+def lane_sums() -> list[Column]:
+    """Sums of the lanes, 20 bits at a time: a plain long holds the sum of 2^43 rows."""
+    mask = F.lit((1 << _CHUNK_BITS) - 1)
+    return [F.coalesce(F.sum(F.shiftright(f"__lane{i}", bits).bitwiseAND(mask)), F.lit(0)).alias(f"s{i}_{k}")
+            for i, shifts in LANES.items() for k, bits in enumerate(shifts)]
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """(n_rows, content_hash): the same for the same rows in any order and partitioning.
 
     Sums of four slices of each row's SHA-256 are combined, so it is one aggregate; the
     multiset of rows decides, a doubled row included."""
-    digest = df.select(F.sha2(row_text(df), 256).alias("h"))
-    lanes = digest.select(*[
-        F.conv(F.substring("h", 1 + _LANE_HEX * i, _LANE_HEX), 16, 10).cast("bigint").alias(f"l{i}") for i in range(_LANES)])
-    # 20 bits at a time: a plain long holds the sum of 2^43 rows
-    mask = F.lit((1 << _CHUNK_BITS) - 1)
-    sums = lanes.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.coalesce(F.sum(F.shiftright(f"l{i}", _CHUNK_BITS * k).bitwiseAND(mask)), F.lit(0)).alias(f"s{i}_{k}")
-        for i in range(_LANES) for k in range(_CHUNKS)])
-    whole = [sum((F.col(f"s{i}_{k}").cast("decimal(38,0)") * F.lit(1 << (_CHUNK_BITS * k)).cast("decimal(20,0)")
-                  for k in range(1, _CHUNKS)), F.col(f"s{i}_0").cast("decimal(38,0)")).cast("decimal(38,0)") for i in range(_LANES)]
+    sums = hash_lanes(df).agg(F.count(F.lit(1)).alias("n_rows"), *lane_sums())
+    piece = lambda i, k, bits: F.col(f"s{i}_{k}").cast("decimal(38,0)") * F.lit(1 << bits).cast("decimal(20,0)")
+    whole = [sum((piece(i, k, bits) for k, bits in list(enumerate(shifts))[1:]), F.col(f"s{i}_0").cast("decimal(38,0)")).cast("decimal(38,0)")
+             for i, shifts in LANES.items()]
     return sums.select("n_rows", F.sha2(F.concat_ws("-", F.col("n_rows").cast("string"),
                                                     *[w.cast("string") for w in whole]), 256).alias("content_hash"))
 

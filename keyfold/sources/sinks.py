@@ -14,12 +14,13 @@ from keyfold.model import ORD, Sheet
 from keyfold.operators.mapping import canonical_order, drop_internal
 from keyfold.operators.merge import key_ordered
 from keyfold.sources.catalog import catalog
+from keyfold.sources.states import Observed, State
 from keyfold import fixed
 
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 RUN_LOG_SCHEMA = (
     "run_id string, dataset_id string, logged_at timestamp, versions map<string,string>, level string, "
-    "rows_before bigint, rows_after bigint, validation_status string"
+    "rows_before bigint, rows_after bigint, validation_status string, content_hash string"
 )
 
 
@@ -50,11 +51,12 @@ def export_csv(df: DataFrame, path: str, keys: Sequence[str] = fixed.KEY_COLS, o
 
 def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: str, dataset_id: str,
                     versions: dict[str, str]) -> DataFrame:
-    """Contracts as Parquet and CSV, line items as Parquet, and one metadata row. Row
-    counts are observed while writing, without another pass."""
+    """Contracts as Parquet and CSV, line items as Parquet, and one metadata row. Row counts
+    and the contracts' fingerprint are observed while writing, without another pass."""
     contracts = canonical_order(contracts)
-    seen = Observation("contracts")
-    contracts.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/contracts")
+    seen = Observed(contracts, "contracts")
+    seen.rows.write.mode("overwrite").parquet(f"{root}/contracts")
+    state = seen.state
     spark = contracts.sparkSession
     spark.read.schema(contracts.schema).parquet(f"{root}/contracts").write.mode("overwrite").options(
         **CSV_OPTIONS).csv(f"{root}/contracts_csv")
@@ -64,9 +66,9 @@ def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: st
         seen_items = Observation("line_items")
         items.observe(seen_items, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/line_items")
         n_items, item_columns = seen_items.get["n"], items.columns
-    row = [(dataset_id, versions, seen.get["n"], contracts.columns, n_items, item_columns)]
-    metadata = spark.createDataFrame(row, "dataset_id string, versions map<string,string>, contract_count bigint, "
-                                     "contract_columns array<string>, line_item_count bigint, line_item_columns array<string>")
+    row = [(dataset_id, versions, state.n_rows, contracts.columns, n_items, item_columns, state.content_hash)]
+    metadata = spark.createDataFrame(row, "dataset_id string, versions map<string,string>, contract_count bigint, contract_columns array<string>, "
+                                     "line_item_count bigint, line_item_columns array<string>, content_hash string")
     metadata.write.mode("overwrite").json(f"{root}/output_metadata")
     return metadata
 
@@ -77,27 +79,52 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_run_log(spark: SparkSession, path: str, run_id: str, dataset_id: str, versions: dict[str, str],
-                   level: str, rows_before: int, rows_after: int, status: str = "pending") -> None:
-    """Add one run to the append-only log."""
+                   level: str, rows_before: int, rows_after: int, status: str = "pending",
+                   content_hash: str | None = None) -> None:
+    """Add one run to the append-only log, with the fingerprint its write observed."""
     row = spark.createDataFrame(
-        [(run_id, dataset_id, versions, level, rows_before, rows_after, status)],
+        [(run_id, dataset_id, versions, level, rows_before, rows_after, status, content_hash)],
         "run_id string, dataset_id string, versions map<string,string>, level string, rows_before bigint, "
-        "rows_after bigint, validation_status string")
+        "rows_after bigint, validation_status string, content_hash string")
     row.withColumn("logged_at", F.current_timestamp()).select(
-        "run_id", "dataset_id", "logged_at", "versions", "level", "rows_before", "rows_after", "validation_status"
+        "run_id", "dataset_id", "logged_at", "versions", "level", "rows_before", "rows_after", "validation_status", "content_hash"
     ).write.mode("append").parquet(path)
 
 
+def write_run(df: DataFrame, root: str, run_id: str, dataset_id: str, versions: dict[str, str], level: str = "mixed",
+              rows_before: int | None = None, status: str = "pending") -> State:
+    """Write a run's output and log it; rows and fingerprint are observed by the write itself."""
+    seen = Observed(df, "run")
+    seen.rows.write.mode("overwrite").parquet(f"{root}/runs/{run_id}")
+    state = seen.state
+    append_run_log(df.sparkSession, f"{root}/run_log", run_id, dataset_id, versions, level, rows_before, state.n_rows, status, state.content_hash)
+    return state
+
+
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
 
 
+def _versions_text(log: DataFrame) -> DataFrame:
+    return log.withColumn("versions", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("versions")))))
+
+
 def reproducible_runs(log: DataFrame) -> DataFrame:
-    """(dataset_id, versions, runs): runs of one data set with equal versions, which must
-    give equal output. Only the log is read; it has one row per run."""
-    versions = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("versions"))))
-    return log.groupBy("dataset_id", versions.alias("versions")).agg(
-        F.array_sort(F.collect_list("run_id")).alias("runs")).where(F.size("runs") > 1)
+    """(dataset_id, versions, runs, equal): runs of one data set with equal versions, which must
+    give equal output; `equal` says whether their fingerprints are, null where one has none.
+    Only the log is read; it has one row per run."""
+    return _versions_text(log).groupBy("dataset_id", "versions").agg(
+        F.array_sort(F.collect_list("run_id")).alias("runs"),
+        F.when(F.count("content_hash") == F.count(F.lit(1)), F.min("content_hash") == F.max("content_hash")).alias("equal")).where(F.size("runs") > 1)
+
+
+def differing_runs(log: DataFrame) -> DataFrame:
+    """(dataset_id, versions, run_id, first_run): runs whose output differs from that of the first
+    run with the same versions."""
+    runs = _versions_text(log).where("content_hash is not null").select("dataset_id", "versions", "run_id", "logged_at", "content_hash")
+    first = runs.groupBy("dataset_id", "versions").agg(F.min_by(F.struct("run_id", "content_hash"), F.struct("logged_at", "run_id")).alias("first"))
+    return runs.join(first, ["dataset_id", "versions"]).where(F.col("content_hash") != F.col("first.content_hash")).select(
+        "dataset_id", "versions", "run_id", F.col("first.run_id").alias("first_run"))
 
 
 def same_versions(log: DataFrame, run_a: str, run_b: str) -> bool:

@@ -15,7 +15,7 @@ from keyfold.operators import checks, clean, conflicts, derive, entities, mappin
 from keyfold.plans import audit, consolidate
 from keyfold.schema import CanonicalSchema
 from keyfold.session import tune, work_folder
-from keyfold.sources import catalog, master, sinks, tables
+from keyfold.sources import catalog, master, sinks, states, tables
 from workload.fixtures import ctes, sheet, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,20 +689,48 @@ def resolve_names(spark, sf):
     return entities.resolve_names(sheet(spark, sf, "names"), "vendor", F.col(ORD))
 
 
-@query("fingerprint", ctes("line_codes") + """, h AS (SELECT sha256(concat_ws(chr(31), coalesce(order_id, chr(0)), coalesce(part_number, chr(0)),
-        coalesce(flag, chr(0)), coalesce(CAST(ship_date AS STRING), chr(0)), coalesce(CAST(quantity AS STRING), chr(0)))) AS x FROM line_codes)
-    SELECT count(*) AS n_rows, sha256(concat_ws('-', CAST(count(*) AS STRING), """ + ", ".join(
-    f"CAST(sum(CAST('0x' || substr(x, {1 + 15 * i}, 15) AS BIGINT)) AS STRING)" for i in range(4)) + ")) AS content_hash FROM h")
+def _hash_sql(name: str, columns: list[str]) -> str:
+    """(n_rows, content_hash) of a CTE."""
+    cells_ = ", ".join(f"coalesce(CAST({c} AS STRING), chr(0))" for c in columns)
+    lanes = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(x, {1 + 15 * i}, 15) AS BIGINT)), 0) AS STRING)" for i in range(4))
+    return f"(SELECT count(*) AS n_rows, sha256(concat_ws('-', CAST(count(*) AS STRING), {lanes})) AS content_hash FROM (SELECT sha256(concat_ws(chr(31), {cells_})) AS x FROM {name}))"
+
+
+_CODES = ["order_id", "part_number", "flag", "ship_date", "quantity"]
+_CHANGED = ", changed AS (SELECT order_id, part_number, CASE WHEN order_id = (SELECT max(order_id) FROM line_codes) THEN 'changed' ELSE flag END AS flag, ship_date, quantity FROM line_codes)"
+
+
+@query("fingerprint", ctes("line_codes") + "SELECT * FROM " + _hash_sql("line_codes", _CODES))
 def fingerprint(spark, sf):
     return catalog.fingerprint(sheet(spark, sf, "line_codes"))
 
 
-@query("reproducible", ctes("line_codes") + "SELECT count(*) AS n_rows, true AS equal FROM line_codes")
+@query("reproducible", ctes("line_codes") + _CHANGED + f""",
+    a AS (SELECT content_hash AS h FROM {_hash_sql("line_codes", _CODES)}), b AS (SELECT content_hash AS h FROM {_hash_sql("changed", _CODES)})
+    SELECT 'codes' AS dataset_id, 'r1 r2' AS runs, true AS equal, a.h AS first_hash FROM a
+    UNION ALL SELECT 'changed', 'r3 r4', a.h = b.h, a.h FROM a, b""")
 def reproducible(spark, sf):
-    codes = sheet(spark, sf, "line_codes")
-    a, b = catalog.fingerprint(codes), catalog.fingerprint(codes.repartition("part_number"))
-    return a.join(b.withColumnsRenamed({"content_hash": "again"}), "n_rows").select(
-        "n_rows", (F.col("content_hash") == F.col("again")).alias("equal"))
+    """Runs with equal versions, from the log that their writes left: two equal ones, and two that differ in an order's flag."""
+    root, codes = work_folder(spark, "runs"), sheet(spark, sf, "line_codes")
+    last = codes.agg(F.max("order_id")).first()[0]
+    changed = codes.withColumn("flag", F.when(F.col("order_id") == last, "changed").otherwise(F.col("flag")))
+    for run, name, rows in (("r1", "codes", codes), ("r2", "codes", codes.repartition("part_number")), ("r3", "changed", codes), ("r4", "changed", changed)):
+        sinks.write_run(rows, root, run, name, {"schema": "1", "mapping": "a"})
+    log = sinks.read_run_log(spark, f"{root}/run_log")
+    hashes = log.groupBy("dataset_id").agg(F.min_by("content_hash", "run_id").alias("first_hash"))
+    return sinks.reproducible_runs(log).join(hashes, "dataset_id").select("dataset_id", F.array_join("runs", " ").alias("runs"), "equal", "first_hash")
+
+
+@query("stored_catalog", ctes("order_text") + f""", h AS {_hash_sql("order_text", ["order_id", "customer_id", "status", "amount", "order_date"])}
+    SELECT 'orders' AS sheet, h.n_rows AS row_count, 5 AS column_count, content_hash, c.column, c.non_null, {round_exact('c.non_null / h.n_rows * 100', 1)} AS pct
+    FROM h, (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM order_text" for c in ("order_id", "customer_id", "status", "amount", "order_date")) + ") c")
+def stored_catalog(spark, sf):
+    """Catalog, fingerprint and completeness of a sheet stored by three appends, from the states those left."""
+    root, orders = work_folder(spark, "states"), sheet(spark, sf, "order_text").select(*_ORDER_COLS)
+    for n, part in enumerate((F.col("status") == "F", F.col("status") == "O", F.coalesce(~F.col("status").isin("F", "O"), F.lit(True)))):
+        states.append_sheet(Sheet("orders", orders.where(part)), root, n)
+    known = states.stored_catalog(spark, root).select("sheet", "row_count", "column_count", "content_hash")
+    return known.join(states.stored_completeness(spark, root).select("sheet", "column", "non_null", "pct"), "sheet")
 
 
 @query("sheet_catalog", """

@@ -29,8 +29,8 @@ from .shingles import mixed
 
 #: The end of a text, also the context of its first word; no word holds a line end.
 END = b"\n"
-#: Bytes of text in a chunk, pairs of a hash range.
-CHUNK, RANGE = 16 << 20, 400_000
+#: Bytes of text after which a chunk ends, pairs of a hash range.
+CHUNK, RANGE = 6 << 20, 400_000
 #: Tokens of a chunk looked at together.
 BLOCK = 1 << 18
 #: Bins per doubling in the histogram of estimates, and rounds of expectation-maximisation.
@@ -83,10 +83,10 @@ def chunks(docs: DataFrame) -> DataFrame:
                 put = index.setdefault
                 parts.append(np.fromiter((put(w, len(index)) for w in tokens), np.int32, len(tokens)))
                 ids.append(doc_id)
-                held += len(text or "")
-            if held > CHUNK:
-                yield flush(ids, parts, index)
-                ids, parts, index, held, number = [], [], {}, 0, number + 1
+                held += len((text or "").encode("utf-8", "surrogatepass"))
+                if held > CHUNK:
+                    yield flush(ids, parts, index)
+                    ids, parts, index, held, number = [], [], {}, 0, number + 1
         if ids:
             yield flush(ids, parts, index)
 

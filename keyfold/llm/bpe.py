@@ -39,8 +39,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-#: Parts a worker keeps encoded, and characters of the longest such part.
-SEEN, SHORT = 400_000, 48
+#: Parts a worker keeps encoded until its partition ends, and characters of the longest such part.
+SEEN, SHORT = 150_000, 48
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _UNEVEN = [" " + c for c in _BLANKS] + [c + " " for c in _BLANKS if c != " "]
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -102,6 +102,11 @@ class ByteBPE:
             self.inner.pop(part, None)
         return out
 
+    def forget(self) -> None:
+        """Drop the kept parts: a worker goes on with other work."""
+        self.whole.clear()
+        self.inner.clear()
+
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         return [np.frombuffer(x, "<u4").tolist() for x in self.packed(texts)]
 
@@ -124,7 +129,7 @@ class ByteBPE:
         return [reader.decode(self.pieces[i]) for i in ids]
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _loaded(data: bytes) -> ByteBPE:
     return ByteBPE(parse_ranks(data))
 
@@ -149,6 +154,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 spans = [bpe.offsets(x) for x in ids]
                 columns |= {n: pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k, n in enumerate(("begins", "ends"))}
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
         run, f"id {kind}, n_tokens long, ids array<int>{extra}").withColumnRenamed("id", id_col)
@@ -184,6 +190,7 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             if whole:
                 columns["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()
 
     extra = ", ids array<int>" if ids else ""
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(

@@ -26,8 +26,8 @@ from .shingles import joined
 
 #: Bits of a feature's number; rated documents the model is fitted on at most; least documents of a feature.
 DIM_BITS, SAMPLE, RARE = 18, 6000, 5
-#: Words whose features a worker keeps.
-KEPT = 300_000
+#: Words whose features a worker keeps until its partition ends.
+KEPT = 150_000
 #: Penalties that may choose the features; the weak one that then fits them; ratings that judge the strong ones.
 STRONG, WEAK, JUDGES = (1.6e-2, 8e-3, 4e-3, 2e-3), 2e-4, 2000
 #: Rounds and step of the choice and of the fit at most; ratings of one in FOLDS documents judge the penalties;
@@ -200,6 +200,7 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tupl
         for batch in slices(batches, "text"):
             found = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "features": pa.array(found, pa.list_(pa.int32()))})
+        WORDS.clear()
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `sample` rows
     rows = texts.mapInArrow(run, "doc_id long, grade int, features array<int>").orderBy("doc_id").toArrow()
@@ -217,6 +218,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             scores = np.array([weights.value[features(t)].sum(dtype=np.float64) for t in batch.column("text").to_pylist()])
             p = model.grades(scores)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "expected_grade": p @ np.arange(p.shape[1]), "tail": p[:, -1]})
+        WORDS.clear()
 
     model = Model(np.zeros(0), model.thresholds)
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
@@ -231,6 +233,7 @@ def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text")
         for batch in slices(batches, text_col):
             scores = np.array([weights.value[features(t)].sum(dtype=np.float64) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(model.grades(scores)[:, -1] >= least))
+        WORDS.clear()
 
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     model = Model(np.zeros(0), model.thresholds)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from keyfold import fixed
 from keyfold.functions import cells
 from keyfold.model import ORD, Sheet, data_columns
+from keyfold.session import staged
 
 
 def _text(df: DataFrame, c: str) -> Column:
@@ -216,17 +217,56 @@ def profile_sheet(sheet: Sheet) -> DataFrame:
                       "duplicate_row_count", pct.alias("duplicate_row_pct"))
 
 
+def value_table(df: DataFrame, columns: Sequence[str] | None = None, order: Column | None = None) -> DataFrame:
+    """Staged (column, value, v, n, first_ord): every distinct cell as text, null cells included,
+    with its number if it is one, its frequency and first position. One read of `df`; a task
+    sends a row per column and distinct value."""
+    columns = list(columns or data_columns(df))
+    order = order if order is not None else (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id())
+    kinds = {f.name: f.dataType for f in df.schema}
+    own = lambda c: F.col(f"`{c}`").cast("double") if isinstance(kinds[c], (T.NumericType, T.BooleanType)) else F.lit(None).cast("double")
+    cell = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text(df, c).alias("value"), own(c).alias("v")) for c in columns]))
+    counted = df.select(order.alias("ord"), cell).groupBy("column", "value").agg(
+        F.min("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
+    text = [c for c in columns if isinstance(kinds[c], T.StringType)]
+    number = F.when(F.col("column").isin(text), cells.to_number("value")).otherwise(F.col("v"))
+    return staged(counted.withColumn("v", F.when(~F.isnan(number), number)), "values")
+
+
 def full_profile(sheet: Sheet) -> DataFrame:
-    """Everything known per column of one sheet, one row each, for the profile sink."""
-    tops = top_values(sheet.df).groupBy("column").agg(
+    """Everything known per column of one sheet, one row each, for the profile sink.
+
+    The sheet is read once, into a table of its distinct cells; null counts, top values,
+    number statistics, medians and date ranges all come from that, and patterns and dates are
+    tested once per distinct cell."""
+    df, columns = sheet.df, sheet.data_columns
+    values = value_table(df, columns)
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    type_of = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(types[c]))])
+    n, v, there = F.col("n"), F.col("v"), F.col("value").isNotNull()
+    day = F.when(there, cells.parse_date("value"))
+    seen = values.withColumn("day", day).groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(~there | (cells.strip("value") == ""), n)), F.lit(0)).alias("null_count"),
+        F.count_if(there).alias("unique_count"), F.coalesce(F.sum(F.when(there, n)), F.lit(0)).alias("filled"),
+        F.sum(F.when(v.isNotNull(), n)).alias("numeric_count"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum(v * n).alias("sum"),
+        F.coalesce(F.sum(F.when(F.col("day").isNotNull(), n)), F.lit(0)).alias("days"), F.min("day").alias("min_date"), F.max("day").alias("max_date"))
+    means = seen.select("column", (F.col("sum") / F.col("numeric_count")).alias("mean"), (F.col("numeric_count") - 1).alias("free")).where("mean is not null")
+    spread = values.where("v is not null").join(means, "column").groupBy("column", "mean", "free").agg(
+        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("squares"))
+    std = F.when(F.col("free") > 0, cells.round_exact(F.sqrt(F.col("squares") / F.nullif(F.col("free"), F.lit(0))), 2)).otherwise(0.0)
+    numbers = spread.join(medians_of(values.where("v is not null").select("column", "v", "n")), "column").select(
+        "column", cells.round_exact("mean", 2).alias("mean"), cells.round_exact("median", 2).alias("median"), std.alias("std"))
+    best = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("first_ord"))
+    tops = values.where(there).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 5).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                     lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
-    return (
-        profile_columns(sheet.df)
-        .join(numeric_stats(sheet.df).withColumnRenamed("n", "numeric_count"), "column", "left")
-        .join(date_ranges(sheet.df), "column", "left").join(tops, "column", "left")
-        .select(F.lit(sheet.name).alias("sheet"), "*")
-    )
+    share = lambda a, digits, scale: F.when(F.col("n_rows") > 0, cells.round_exact(F.col(a) / F.col("n_rows") * scale, digits)).otherwise(0.0)
+    dated = (F.col("days") > 0) & (F.col("days") >= 0.5 * F.col("filled"))
+    return _every_column(df, columns, seen).na.fill(0, ["n_rows", "null_count", "unique_count"]).join(numbers, "column", "left").join(tops, "column", "left").select(
+        F.lit(sheet.name).alias("sheet"), "column", F.element_at(type_of, F.col("column")).alias("inferred_type"), "n_rows", "null_count",
+        share("null_count", 2, 100).alias("null_pct"), "unique_count", share("unique_count", 4, 1).alias("uniqueness_ratio"),
+        "numeric_count", "min", "max", "mean", "median", "std",
+        F.when(dated, F.col("min_date")).alias("min_date"), F.when(dated, F.col("max_date")).alias("max_date"), "top_values")
 
 
 # --- relations between columns and sheets ------------------------------------------

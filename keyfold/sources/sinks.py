@@ -1,11 +1,13 @@
 """Writing snapshots, outputs and the run log.
 
-Tables are written whole into a new place and then named as current, so a reader or a
-repeated attempt never meets a half-written one.
+Tables are written whole into a new place beside the old one, and only a finished one takes its
+name. A write that stops leaves the old table readable; between two names there is a
+short moment without a table where the file system has no exchange of names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -24,17 +26,31 @@ RUN_LOG_SCHEMA = (
 )
 
 
+def replace_table(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    """Write a table under another name, then give it the name of the old one."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}__new_{uuid.uuid4().hex[:12]}"
+    df.write.format(kind).options(**options).save(new)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target, source = jvm.Path(path), jvm.Path(new)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not name {new} as {path}")
+    spark.catalog.refreshByPath(path)
+
+
 def write_raw(sheets: Sequence[Sheet], root: str) -> None:
     """Parquet per sheet plus the catalog."""
     for s in sheets:
-        s.df.drop(ORD).write.mode("overwrite").parquet(f"{root}/raw/{s.name}")
-    catalog(sheets, with_hash=True).write.mode("overwrite").parquet(f"{root}/catalog")
+        replace_table(s.df.drop(ORD), f"{root}/raw/{s.name}")
+    replace_table(catalog(sheets, with_hash=True), f"{root}/catalog")
 
 
 def write_master(df: DataFrame, root: str, version: int) -> str:
     """One Parquet snapshot per append; the previous ones stay readable."""
     path = f"{root}/master/version={version}"
-    df.write.mode("overwrite").parquet(path)
+    replace_table(df, path)
     return path
 
 
@@ -46,7 +62,7 @@ def export_csv(df: DataFrame, path: str, keys: Sequence[str] = fixed.KEY_COLS, o
     """CSV with a header; key order is a range-partitioned sort."""
     keys = [k for k in keys if k in df.columns]
     out = key_ordered(df, keys) if ordered and keys else df
-    out.drop(ORD).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    replace_table(out.drop(ORD), path, "csv", **CSV_OPTIONS)
 
 
 def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: str, dataset_id: str,
@@ -55,27 +71,26 @@ def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: st
     and the contracts' fingerprint are observed while writing, without another pass."""
     contracts = canonical_order(contracts)
     seen = Observed(contracts, "contracts")
-    seen.rows.write.mode("overwrite").parquet(f"{root}/contracts")
+    replace_table(seen.rows, f"{root}/contracts")
     state = seen.state
     spark = contracts.sparkSession
-    spark.read.schema(contracts.schema).parquet(f"{root}/contracts").write.mode("overwrite").options(
-        **CSV_OPTIONS).csv(f"{root}/contracts_csv")
+    replace_table(spark.read.schema(contracts.schema).parquet(f"{root}/contracts"), f"{root}/contracts_csv", "csv", **CSV_OPTIONS)
     n_items, item_columns = None, None
     if line_items is not None:
         items = drop_internal(line_items)
         seen_items = Observation("line_items")
-        items.observe(seen_items, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/line_items")
+        replace_table(items.observe(seen_items, F.count(F.lit(1)).alias("n")), f"{root}/line_items")
         n_items, item_columns = seen_items.get["n"], items.columns
     row = [(dataset_id, versions, state.n_rows, contracts.columns, n_items, item_columns, state.content_hash)]
     metadata = spark.createDataFrame(row, "dataset_id string, versions map<string,string>, contract_count bigint, contract_columns array<string>, "
                                      "line_item_count bigint, line_item_columns array<string>, content_hash string")
-    metadata.write.mode("overwrite").json(f"{root}/output_metadata")
+    replace_table(metadata, f"{root}/output_metadata", "json")
     return metadata
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """A profile, relation or issue table as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    replace_table(df, path, "json")
 
 
 def append_run_log(spark: SparkSession, path: str, run_id: str, dataset_id: str, versions: dict[str, str],

@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyfold.functions.cells import na_to_null
 from keyfold.model import ORD, Sheet, data_columns
@@ -14,6 +14,7 @@ from keyfold.operators.mapping import split_composite_headers
 
 _UNNAMED = re.compile(r"^(unnamed.*|_c\d+)$", re.IGNORECASE)
 PROVENANCE_FILE, PROVENANCE_TAB = "meta_source_file", "meta_source_tab"
+FILE_ROWS = 42  # bits of a row's number in its file
 
 
 def named_columns(df: DataFrame) -> list[str]:
@@ -67,16 +68,34 @@ def keep_data_sheets(sheets: Sequence[Sheet]) -> list[Sheet]:
     return [s.with_df(drop_empty_rows(tidy_headers(s.df))) for s in sheets if sheet_verdict(s.df)[0]]
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = True,
-             provenance: bool = False) -> DataFrame:
-    """CSV file(s) of one layout: header line, all text, quoted line breaks allowed.
-
-    A file with quoted line breaks cannot be split; pass multiline=False for large files
-    without them. Row order within a file is kept in the ordinal."""
+def _with_file_order(rows: DataFrame) -> DataFrame:
+    """Add the ordinal: number of the file (by path) and of the row in it, the same for any
+    split size. Rows count on within a block of a file; the rows of the blocks before it are
+    counted by a read without columns."""
+    here = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                       F.monotonically_increasing_id().alias("__row"))
+    of_file = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = here.groupBy("__file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    files = blocks.groupBy("__file").agg(F.lit(1)).select("__file", F.row_number().over(Window.orderBy("__file")).alias("__number"))  # a row per file
+    starts = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(of_file), F.lit(0))).join(files, "__file").select(
+        "__file", "__block", (F.lit(1 << FILE_ROWS) * F.col("__number") + F.col("__before") - F.col("__first")).alias("__start"))
+    found = here.join(starts, ["__file", "__block"], "left")
+    missing = F.raise_error(F.lit("a file changed while it was read")).cast("bigint")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col("__start") + F.col("__row"), missing).alias(ORD))
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = False,
+             provenance: bool = False, ordinal: bool = True) -> DataFrame:
+    """CSV file(s) of one layout: header line, all text.
+
+    Files are split and read in parallel; multiline=True allows quoted line breaks, at one
+    task per file. The ordinal is the row's place in its file and the file's place among
+    the paths, whatever the split size; ordinal=False leaves it and its count out."""
     raw = spark.read.options(header=True, multiLine=multiline, escape='"', encoding="UTF-8").csv(path)
     cells = [na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns]
     extra = [F.lit("csv").alias(PROVENANCE_TAB), F.col("_metadata.file_name").alias(PROVENANCE_FILE)] if provenance else []
-    return drop_empty_rows(tidy_headers(raw.select(*cells, *extra, F.monotonically_increasing_id().alias(ORD))))
+    rows = _with_file_order(raw) if ordinal else raw
+    return drop_empty_rows(tidy_headers(rows.select(*cells, *extra, *([F.col(ORD)] if ordinal else []))))
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
@@ -85,20 +104,27 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(r["path"] for r in found.collect())
 
 
-def read_folder(spark: SparkSession, folder: str, multiline: bool = True) -> list[Sheet]:
-    """Every .csv file and every data sheet of the workbooks of a folder, in file order."""
+def scan_folder(spark: SparkSession, folder: str, multiline: bool = False) -> list[Sheet]:
+    """Every .csv file and every sheet of the workbooks of a folder, in file order."""
     from keyfold.sources.workbooks import read_workbooks
 
     sheets = []
     for path in list_files(spark, folder, ".csv"):
         name = os.path.basename(path)
-        sheets.append(Sheet(os.path.splitext(name)[0], read_csv(spark, path, multiline), name))
+        raw = spark.read.options(header=True, multiLine=multiline, escape='"', encoding="UTF-8").csv(path)
+        rows = _with_file_order(raw).select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns], ORD)
+        sheets.append(Sheet(os.path.splitext(name)[0], rows, name))
     if list_files(spark, folder, ".xlsx"):
-        sheets += keep_data_sheets(read_workbooks(spark, folder))
+        sheets += read_workbooks(spark, folder)
     return sheets
 
 
-def read_any(spark: SparkSession, path: str, multiline: bool = True) -> list[Sheet]:
+def read_folder(spark: SparkSession, folder: str, multiline: bool = False) -> list[Sheet]:
+    """The data sheets of a folder's files; `sheet_report(scan_folder(...))` names the skipped ones."""
+    return keep_data_sheets(scan_folder(spark, folder, multiline))
+
+
+def read_any(spark: SparkSession, path: str, multiline: bool = False) -> list[Sheet]:
     """Sheets of one file, by extension."""
     from keyfold.sources.workbooks import read_workbooks
 

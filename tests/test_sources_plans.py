@@ -14,11 +14,55 @@ from keyfold.streaming.append import append_stream
 def test_csv_reading(spark, tmp_path, rows):
     (tmp_path / "a.csv").write_bytes(
         '﻿ id ,name,,note\n1,"two\nlines",x,NA\n2,"say ""hi""",,n/a\n,,,\n3,null,,"plain, comma"\n'.encode())
-    df = tables.read_csv(spark, str(tmp_path / "a.csv"))
+    df = tables.read_csv(spark, str(tmp_path / "a.csv"), multiline=True)
     assert [c for c in df.columns if c != ORD] == ["id", "name", "note"]
     assert rows(df.drop(ORD)) == sorted([("1", "two\nlines", None), ("2", 'say "hi"', None), ("3", None, "plain, comma")], key=repr)
 
 
+def test_ordinals_do_not_depend_on_the_split_size(spark, tmp_path, rows):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name in ("b", "a", "c"):
+        (folder / f"{name}.csv").write_text("k,v\n" + "".join(f"{name}{i},{'x' * (i % 50)}\n" for i in range(400)))
+    found = {}
+    for size in ("1k", "7k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        df = tables.read_csv(spark, str(folder))
+        found[size] = rows(df.select(ORD, "k")), df.rdd.getNumPartitions()
+    for key in ("maxPartitionBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+    assert found["1k"][0] == found["7k"][0] == found["128m"][0] and found["1k"][1] > found["128m"][1]
+    in_order = [k for _, k in sorted(found["1k"][0])]
+    assert in_order == [f"{n}{i}" for n in "abc" for i in range(400)]
+
+
+def test_folders_skip_junk_files(spark, tmp_path):
+    (tmp_path / "deals.csv").write_text("id,value\n1,2\nNA,\n")
+    (tmp_path / "pivot.csv").write_text("total,,,\n1,2,3,4\n")
+    (tmp_path / "none.csv").write_text("id,value\nNA,n/a\n")
+    report = {r["sheet"]: (r["kept"], r["reason"]) for r in tables.sheet_report(tables.scan_folder(spark, str(tmp_path))).collect()}
+    assert report == {"deals": (True, ""), "none": (False, "empty"), "pivot": (False, "looks like a pivot table")}
+    kept = tables.read_folder(spark, str(tmp_path))
+    assert [(s.name, s.df.count()) for s in kept] == [("deals", 1)]
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    old = spark.range(5).toDF("a")
+    sinks.write_raw([Sheet("s", old)], str(tmp_path))
+    broken = spark.range(8).select(F.when(F.col("id") == 7, F.raise_error(F.lit("stop")).cast("bigint")).otherwise(F.col("id")).alias("a"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_raw([Sheet("s", broken)], str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/raw/s").count() == 5
+    sinks.write_raw([Sheet("s", spark.range(9).toDF("a"))], str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/raw/s").count() == 9
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_report(broken, f"{tmp_path}/report")
+    sinks.write_report(old, f"{tmp_path}/report")
+    sinks.write_report(old.limit(2), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").count() == 2
+
+
 def test_folder_of_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
     (tmp_path / "a.csv").write_text("x,z\n1,2\n3,4\n")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyfold import fixed
 from keyfold.functions import cells
@@ -441,6 +441,32 @@ def date_ranges(spark, sf):
     return profile.date_ranges(sheet(spark, sf, "raw_text"), ["Deal No", "Annual Cost", "Signed Date", "Notes"])
 
 
+@query("median_epochs", """
+    SELECT 'epoch' AS "column", count(*) AS n, min(e) AS min, max(e) AS max, """ + f"""{round_exact("avg(e)", 2)} AS mean, {round_exact("median(e)", 2)} AS median, {round_exact("stddev_samp(e)", 2)} AS std
+    FROM (SELECT CAST(1500000000 + l_orderkey * 7 + l_linenumber AS DOUBLE) AS e FROM lineitem)""")
+def median_epochs(spark, sf):
+    """Epoch numbers all share their power of two, so a value bucket of fixed width would hold them all."""
+    epochs = table(spark, sf, "lineitem").select((F.lit(1500000000) + F.col("l_orderkey") * 7 + F.col("l_linenumber")).cast("double").alias("epoch"))
+    return profile.numeric_stats(epochs)
+
+
+@query("full_profile", ctes("order_text") + f", cells AS ({_COLUMNS})" + f""",
+    t AS (SELECT "column", string_agg(v || ' x' || n, '; ' ORDER BY rn) AS top_values FROM (
+        SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, o) AS rn FROM
+            (SELECT "column", v, count(*) AS n, min(_ord) AS o FROM cells WHERE v IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1),
+    x AS (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]+([.][0-9]+)?$') THEN CAST(v AS DOUBLE) END AS x, TRY_CAST(CASE WHEN v LIKE '____-__-__' THEN v END AS DATE) AS d FROM cells)
+    SELECT 'orders' AS sheet, "column", 'string' AS inferred_type, count(*) AS n_rows, CAST(count_if(v IS NULL OR trim(v) = '') AS BIGINT) AS null_count,
+           {round_exact("count_if(v IS NULL OR trim(v) = '') / count(*) * 100", 2)} AS null_pct,
+           count(DISTINCT v) AS unique_count, {round_exact("count(DISTINCT v) / count(*)", 4)} AS uniqueness_ratio,
+           nullif(count(x), 0) AS numeric_count, min(x) AS min, max(x) AS max, {round_exact("avg(x)", 2)} AS mean, {round_exact("median(x)", 2)} AS median,
+           {round_exact("stddev_samp(x)", 2)} AS std, min(d) AS min_date, max(d) AS max_date, any_value(top_values) AS top_values
+    FROM x JOIN t USING ("column") GROUP BY "column" """)
+def full_profile(spark, sf):
+    """All facts of a sheet's columns from one read of it."""
+    tops = F.array_join(F.transform("top_values", lambda x: F.concat(x["value"], F.lit(" x"), x["n"].cast("string"))), "; ")
+    return profile.full_profile(Sheet("orders", sheet(spark, sf, "order_text"))).withColumn("top_values", tops)
+
+
 @query("duplicate_rows", ctes("line_codes") + f"""
     , c AS (SELECT order_id, part_number, flag, ship_date, quantity, count(*) AS n FROM line_codes GROUP BY ALL)
     , d AS (SELECT order_id, flag, quantity, count(*) AS n FROM line_codes GROUP BY ALL)
@@ -751,6 +777,144 @@ def csv_roundtrip(spark, sf):
     return tables.read_csv(spark, path).drop(ORD)
 
 
+def _folder(spark, sf) -> str:
+    """CSV files of one table each: two data sheets, one with empty rows, and a pivot-like and an empty one."""
+    root = work_folder(spark, "folder")
+    orders = sheet(spark, sf, "order_text").select(*_ORDER_COLS)
+    files = {"orders": orders, "gaps": sheet(spark, sf, "gaps").drop(ORD).select("Contract_ID", F.col("ACV").cast("string").alias("ACV")),
+             "pivot": orders.select(F.col("order_id").alias("total"), *[F.col("status").alias(f"_c{i}") for i in (1, 2, 3)]),
+             "nothing": orders.select(F.lit("N/A").alias("a"), F.lit("null").alias("b"))}
+    for name, df in files.items():
+        df.write.options(**sinks.CSV_OPTIONS).csv(f"{root}/{name}.csv")
+    return root
+
+
+@query("folder_report", """SELECT 'gaps' AS sheet, true AS kept, '' AS reason UNION ALL SELECT 'orders', true, ''
+    UNION ALL SELECT 'pivot', false, 'looks like a pivot table' UNION ALL SELECT 'nothing', false, 'empty'""")
+def folder_report(spark, sf):
+    """Which sheets of a folder are data, and why the others are not."""
+    root = _folder(spark, sf)
+    return tables.sheet_report([Sheet(n, tables.read_csv(spark, f"{root}/{n}.csv")) for n in ("orders", "gaps", "pivot", "nothing")])
+
+
+@query("folder_rows", ctes("order_text", "gaps") + """
+    SELECT 'orders' AS sheet, order_id AS id, nullif(status, '') AS value FROM order_text
+    UNION ALL SELECT 'gaps', "Contract_ID", CAST("ACV" AS STRING) FROM gaps WHERE "Contract_ID" IS NOT NULL OR "ACV" IS NOT NULL""".replace('CAST("ACV" AS STRING)', 'NULL'))
+def folder_rows(spark, sf):
+    """Rows of a folder's data sheets, without empty ones."""
+    root = _folder(spark, sf)
+    kept = tables.keep_data_sheets([Sheet(n, tables.read_csv(spark, f"{root}/{n}.csv")) for n in ("orders", "gaps", "pivot", "nothing")])
+    frames = {s.name: s.df for s in kept}
+    orders = frames["orders"].select(F.lit("orders").alias("sheet"), F.col("order_id").alias("id"), F.col("status").alias("value"))
+    return orders.unionByName(frames["gaps"].select(F.lit("gaps").alias("sheet"), F.col("Contract_ID").alias("id"), F.lit(None).cast("string").alias("value")))
+
+
+@query("csv_ordered", ctes("crm_unique") + """
+    SELECT row_number() OVER (ORDER BY account_id NULLS LAST, close_date NULLS LAST) AS position, account_id, close_date, nullif(stage, '') AS stage FROM crm_unique""")
+def csv_ordered(spark, sf):
+    """The exported master in key order, read back with the rows' places in its files."""
+    path = work_folder(spark, "ordered")
+    sinks.export_csv(sheet(spark, sf, "crm_unique").select("account_id", "close_date", "stage"), path)
+    back = tables.read_csv(spark, path)
+    return back.select(F.row_number().over(Window.orderBy(ORD)).cast("bigint").alias("position"), "account_id", "close_date", "stage")
+
+
+@query("raw_snapshot", ctes("order_text", "customer_text") + f""", a AS {_hash_sql("order_text", _ORDER_COLS)}, b AS {_hash_sql("customer_text", ["customer_id", "name", "nation_id", "segment"])}
+    SELECT 'orders' AS sheet, n_rows AS stored, n_rows AS row_count, content_hash FROM a UNION ALL SELECT 'customers', n_rows, n_rows, content_hash FROM b""")
+def raw_snapshot(spark, sf):
+    """Sheets and catalog as stored, the rows counted again from the files."""
+    root = work_folder(spark, "raw")
+    sheets = [s for s in _text_sheets(spark, sf) if s.name in ("orders", "customers")]
+    sinks.write_raw(sheets, root)
+    counts = merge.concat_sheets([spark.read.parquet(f"{root}/raw/{s.name}").agg(F.count(F.lit(1)).alias("stored")).withColumn("sheet", F.lit(s.name)) for s in sheets])
+    return spark.read.parquet(f"{root}/catalog").join(counts, "sheet").select("sheet", "stored", "row_count", "content_hash")
+
+
+@query("canonical_sink", ctes("lines") + "," + _ROLLUP_SQL + f"""
+    SELECT contract_id, {half_even("total_value", 2)} AS total_value, line_item_count, (SELECT count(*) FROM records) AS contract_count,
+           (SELECT count(*) FROM lines) AS line_items FROM records""")
+def canonical_sink(spark, sf):
+    """Contracts and line items as stored, with the counts of the metadata."""
+    root = work_folder(spark, "canonical")
+    lines = sheet(spark, sf, "lines")
+    rolled, items = rollup.rollup_sheets({"lines": lines}, levels={"lines": "line_item_level"})
+    sinks.write_canonical(rolled["lines"], items, root, "deals", {"schema": "1"})
+    meta = spark.read.json(f"{root}/output_metadata").first()
+    return _rounded(spark.read.parquet(f"{root}/contracts"), total_value=2).select(
+        "contract_id", "total_value", "line_item_count", F.lit(meta["contract_count"]).cast("bigint").alias("contract_count"),
+        F.lit(spark.read.parquet(f"{root}/line_items").count()).cast("bigint").alias("line_items"))
+
+
+@query("issue_sink", ORACLE["validate_rules"])
+def issue_sink(spark, sf):
+    """Validation issues as stored."""
+    path = work_folder(spark, "issues")
+    sinks.write_report(checks.validate(sheet(spark, sf, "faulty"), as_of=as_of()), path)
+    return spark.read.schema(checks.ISSUE_SCHEMA).json(path).drop("message")
+
+
+@query("profile_sink", ORACLE["profile_columns"])
+def profile_sink(spark, sf):
+    """The column profile as stored."""
+    path, found = work_folder(spark, "profile"), profile.profile_columns(sheet(spark, sf, "order_text"))
+    sinks.write_report(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
+@query("chosen_sheets", ctes("crm", "usage") + """
+    SELECT account_id, close_date, 'crm' AS sheet FROM crm UNION ALL SELECT account_id, close_date, 'usage' FROM usage""")
+def chosen_sheets(spark, sf):
+    """Two of three sheets by name, their key columns found by their headers; a sheet without a key is skipped."""
+    raw = [Sheet("crm", sheet(spark, sf, "crm").withColumnsRenamed({"account_id": "Account ID", "close_date": "Date of close"})),
+           Sheet("usage", sheet(spark, sf, "usage").withColumnsRenamed({"account_id": "Account ID", "close_date": "Date of close"})),
+           Sheet("nations", sheet(spark, sf, "nation_text")), Sheet("billing", sheet(spark, sf, "billing"))]
+    chosen = mapping.select_sheets(raw, ["crm", "usage", "nations"])
+    found = {c: t for s in chosen for c, t in mapping.detect_key_columns(s.data_columns).items()}
+    mapped = mapping.map_sheets(chosen, found)
+    return merge.concat_sheets([s.df.select(*KEYS, F.lit(s.name).alias("sheet")) for s in mapped])
+
+
+@query("header_repair", """
+    SELECT CAST(o_orderkey AS STRING) AS "Vendor", o_orderpriority AS "Vendor_1", o_orderstatus AS "Vendor_2", CAST(o_custkey AS STRING) AS "Client" FROM orders""")
+def header_repair(spark, sf):
+    """Composite headers cut to their last part, and columns of one target told apart by suffixes."""
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Supplier"), F.col("o_orderpriority").alias("Vendor Name"), F.col("o_orderstatus").alias("Seller"),
+        F.col("o_custkey").cast("string").alias("Account : Name : Client"))
+    df = mapping.split_composite_headers(raw)
+    names = mapping.suffix_duplicates({"Supplier": "Vendor", "Vendor Name": "Vendor", "Seller": "Vendor", "Client": "Client"})
+    return df.withColumnsRenamed(names)
+
+
+@query("stacked_without_key", ctes("order_text", "region_text") + """
+    SELECT order_id, customer_id, status, amount, order_date, NULL AS region_id, NULL AS name FROM order_text
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, region_id, name FROM region_text""")
+def stacked_without_key(spark, sf):
+    """Sheets that share no key are stacked under the base."""
+    return merge.join_entities({"orders": sheet(spark, sf, "order_text").select(*_ORDER_COLS), "regions": sheet(spark, sf, "region_text")}, primary="orders")
+
+
+@query("line_items", ctes("lines", "faulty") + """
+    SELECT 'lines' AS sheet, contract_id, total_value FROM lines UNION ALL SELECT 'faulty', contract_id, total_value FROM faulty""")
+def line_items(spark, sf):
+    """Rows of all rolled-up sheets before the rollup; a record-level sheet adds none."""
+    frames = {n: sheet(spark, sf, n).withColumn("sheet", F.lit(n)) for n in ("lines", "faulty")}
+    frames["records"] = sheet(spark, sf, "order_text").select(F.col("order_id").alias("contract_id"))
+    _, items = rollup.rollup_sheets(frames, levels={"lines": "line_item_level", "faulty": "mixed", "records": "contract_level"})
+    return items.select("sheet", "contract_id", "total_value")
+
+
+@query("date_range_columns", """
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS "Effective_Date",
+           CASE WHEN o_orderkey % 5 > 1 THEN CAST(o_orderdate AS DATE) + 30 END AS "Expiry_Date" FROM orders""")
+def date_range_columns(spark, sf):
+    """A column of date ranges becomes two date columns; a single date has no end, 'N/A' neither."""
+    day = F.col("o_orderdate").cast("date")
+    text = F.when(F.col("o_orderkey") % 5 == 0, "N/A").when(F.col("o_orderkey") % 5 == 1, day.cast("string")).otherwise(
+        F.concat(day.cast("string"), F.lit(" to "), F.date_add(day, 30).cast("string")))
+    return clean.split_date_range_columns(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.alias("Contract Date Range")))
+
+
 @query("master_snapshots", ctes("crm", "usage") + _full("crm", "usage", "l.deal_value, l.stage, r.usage"))
 def master_snapshots(spark, sf):
     root = work_folder(spark, "master")

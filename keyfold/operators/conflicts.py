@@ -51,25 +51,29 @@ def _greatest(columns: list[Column]) -> Column:
     return F.greatest(*columns) if len(columns) > 1 else columns[0]
 
 
-def shared_columns(sheets: Sequence[DataFrame], keys: Sequence[str]) -> dict[str, list[int]]:
-    """Columns of two sheets or more, with the numbers of those sheets."""
+_SCHEMA = "sheet int, column string, n_conflicts bigint, example_no int, key string, existing string, new string"
+
+
+def _owners(columns: Sequence[Sequence[str]], keys: Sequence[str]) -> dict[str, list[int]]:
     owners: dict[str, list[int]] = {}
-    for i, s in enumerate(sheets):
-        for c in s.columns:
+    for i, own in enumerate(columns):
+        for c in own:
             if c not in keys and c != ORD:
                 owners.setdefault(c, []).append(i)
     return {c: o for c, o in owners.items() if len(o) > 1}
 
 
-def _counted(sheets: Sequence[DataFrame], keys: Sequence[str], overlap: Sequence[str]) -> DataFrame:
+def shared_columns(sheets: Sequence[DataFrame], keys: Sequence[str]) -> dict[str, list[int]]:
+    """Columns of two sheets or more, with the numbers of those sheets."""
+    return _owners([s.columns for s in sheets], keys)
+
+
+def _counted(stacked: DataFrame, keys: Sequence[str], overlap: Sequence[str], n: int) -> DataFrame:
     """(keys, __column, __value, c0, c1, ...): cells of each sheet per stripped value. A
     sheet without the column has an empty cell in every row, as it has in the merge."""
-    parts = [s.select(*keys, *[strip(F.col(f"`{c}`")).alias(c) for c in overlap if c in s.columns], F.lit(i).alias("__sheet"))
-             for i, s in enumerate(sheets)]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    long = stacked.unpivot([*keys, "__sheet"], [f"`{c}`" for c in overlap], "__column", "__value")
-    return long.groupBy(*keys, "__column", "__value").agg(
-        *[F.count_if(F.col("__sheet") == i).alias(f"c{i}") for i in range(len(sheets))])
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("__column"), F.col(f"`{c}`").alias("__value")) for c in overlap]))
+    long = stacked.select(*keys, "__sheet", cells)  # unlike unpivot, this keeps a distribution by the keys
+    return long.groupBy(*keys, "__column", "__value").agg(*[F.count_if(F.col("__sheet") == i).alias(f"c{i}") for i in range(n)])
 
 
 def sheet_conflicts(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS, examples: int = 3) -> DataFrame:
@@ -81,12 +85,28 @@ def sheet_conflicts(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY
     order. Keys compare null-safe."""
     owners = shared_columns(sheets, keys)
     if not owners:
-        return sheets[0].sparkSession.createDataFrame(
-            [], "sheet int, column string, n_conflicts bigint, example_no int, key string, existing string, new string")
-    n, c = len(sheets), [F.col(f"c{i}") for i in range(len(sheets))]
+        return sheets[0].sparkSession.createDataFrame([], _SCHEMA)
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null"))) for k in keys])
+    parts = [s.select(*keys, *[strip(F.col(f"`{c}`")).alias(c) for c in owners if c in s.columns], F.lit(i).alias("__sheet"))
+             for i, s in enumerate(sheets)]
+    return _conflicts(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), keys, owners, len(sheets), text, examples)
+
+
+def stacked_conflicts(stacked: DataFrame, by: Sequence[str], columns: Sequence[Sequence[str]], keys: Sequence[str], text: Column, examples: int = 3) -> DataFrame:
+    """The same of sheets that are stacked already, with their number from 0 in `__sheet`, grouped by
+    the columns `by`; `text` writes a key out."""
+    owners = _owners(columns, keys)
+    if not owners:
+        return stacked.sparkSession.createDataFrame([], _SCHEMA)
+    cells = stacked.select(*by, "__sheet", *[strip(F.col(f"`{c}`")).alias(c) for c in owners])
+    return _conflicts(cells, by, owners, len(columns), text, examples)
+
+
+def _conflicts(stacked: DataFrame, keys: Sequence[str], owners: dict[str, list[int]], n: int, text: Column, examples: int) -> DataFrame:
+    c = [F.col(f"c{i}") for i in range(n)]
     pairs = sorted({(j, i) for o in owners.values() for i in o for j in o if j < i})
     filled = F.col("__value").isNotNull()
-    per_key = _counted(sheets, keys, list(owners)).groupBy(*keys, "__column").agg(
+    per_key = _counted(stacked, keys, list(owners), n).groupBy(*keys, "__column").agg(
         *[F.sum(c[i]).alias(f"n{i}") for i in range(n)],
         *[F.coalesce(F.sum(F.when(~filled, c[i])), F.lit(0)).alias(f"z{i}") for i in range(n)],
         *[F.coalesce(F.sum(F.when(filled, _whole(c[j]) * _whole(c[i]))), F.lit(0)).alias(f"same{j}_{i}") for j, i in pairs],
@@ -99,7 +119,6 @@ def sheet_conflicts(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY
     rows = F.array(*[_whole(F.greatest(F.col(f"n{i}"), F.lit(1))) for i in range(n)])
     empty = F.array(*[_whole(F.when(F.col(f"n{i}") == 0, F.lit(1)).otherwise(F.col(f"z{i}"))) for i in range(n)])
     product = lambda a, begin, size: F.aggregate(F.slice(a, begin + 1, size), one, lambda x, y: _whole(x * y)) if size > 0 else one
-    text = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null"))) for k in keys])
     against = []
     for i in sorted({i for _, i in pairs}):
         earlier = [j for j, k in pairs if k == i]
@@ -145,7 +164,12 @@ def refuse_conflicts(sheets: Sequence[DataFrame], keys: Sequence[str], on_confli
         raise ValueError("on_conflict is 'error' or 'keep_left'")
     if not shared_columns(sheets, keys):
         return
-    rows = [r.asDict() | {"source": sources[r["sheet"] - 1]} for r in sheet_conflicts(sheets, keys).collect()]  # sheets x columns x examples
+    refuse(sheet_conflicts(sheets, keys), sources)
+
+
+def refuse(found: DataFrame, sources: Sequence[str]) -> None:
+    """Raise if there are conflicts, with those of the first sheet that has any."""
+    rows = [r.asDict() | {"source": sources[r["sheet"] - 1]} for r in found.collect()]  # sheets x columns x examples
     if rows:
         first = min(r["sheet"] for r in rows)
         raise ConflictError(sorted((r for r in rows if r["sheet"] == first), key=lambda r: (r["column"], r["example_no"])))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from keyfold import fixed
 from keyfold.functions import cells
 from keyfold.model import ORD, Sheet
-from keyfold.operators import checks, clean, conflicts, derive, entities, mapping, merge, mlready, profile, rollup, suggest
+from keyfold.operators import checks, clean, conflicts, derive, entities, layout, mapping, merge, mlready, profile, rollup, suggest
 from keyfold.plans import audit, consolidate
 from keyfold.schema import CanonicalSchema
 from keyfold.session import tune, work_folder
@@ -139,6 +139,19 @@ def conflicts_six_sheets(spark, sf):
     return conflicts.sheet_conflicts(sheets).select("sheet", "column", "n_conflicts", "example_no", "key")
 
 
+@query("merge_stored_layout", ORACLE["merge_six_sheets"])
+def merge_stored_layout(spark, sf):
+    """Six sheets stored once by their keys; the merge follows the stored buckets."""
+    return layout.merge_stored(layout.store_sheets([sheet(spark, sf, n) for n in _SIX], buckets=8), "keep_left")
+
+
+@query("conflicts_stored_layout", ORACLE["conflicts_six_sheets"])
+def conflicts_stored_layout(spark, sf):
+    """The conflict check over the same stored buckets."""
+    stored = layout.store_sheets([sheet(spark, sf, n) for n in _SIX], buckets=8)
+    return layout.stored_conflicts(stored).select("sheet", "column", "n_conflicts", "example_no", "key")
+
+
 @query("append_parts", ctes("crm", "usage", "shipments") + ", m AS (" + _full("crm", "usage", "l.deal_value, l.stage, r.usage") + ")"
        + _full("m", "shipments", "l.deal_value, coalesce(l.stage, r.stage) AS stage, l.usage, r.shipped"))
 def append_parts(spark, sf):

@@ -6,7 +6,10 @@ comments and the like never count, unless the class or id that marks them as suc
 own article or most of its text: then it only describes the layout. The ratio of characters to tags per block is smoothed by a
 Gaussian, and blocks above the threshold, or with a sentence to themselves, are content. They
 select the region: the smallest part of the page that holds all content, the whole of every
-article and main element with text, and the titles. All blocks of the region are the text, short ones included."""
+article and main element with text, and the titles. In a region that an article or main element
+marks, all blocks are the text. In any other the content cluster is: all from its first to its last block, short
+ones between them included, and headings, paragraphs, list items and cells from the title on and after it;
+a bar before or after it has no sentence of its own and goes."""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Elements whose text never counts.
-DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object embed svg canvas math audio video dialog menu menuitem datalist map".split())
+DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea input label fieldset iframe embed svg dialog menu menuitem datalist".split())
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promos promotion promoted nav navbar navigation menu menus breadcrumb "
@@ -45,6 +48,10 @@ OTHERS = COMMENTS | frozenset("ad ads adbox advert adverts advertisement adverti
 #: Words that make a class or id with a mark a remark on the layout; shares of the page's sentences that show the same.
 LAYOUT = frozenset("has no with without not enabled disabled fixed sticky elementor".split())
 HALF, MOST = 0.5, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose short texts after the last sentence still belong to it.
+PROSE = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption".split())
+LEADS = HEADINGS | frozenset("p pre blockquote".split())
 #: Characters of a block, and characters per tag, that make it a sentence and not a list of links.
 LONG, WORDY = 50, 5
 
@@ -75,11 +82,14 @@ class Blocks(HTMLParser):
         self.named: dict[int, frozenset[str]] = {}  # marks of each article and main element
         self.blocks: list[tuple[list[tuple[str, frozenset[str]]], int, tuple[int, ...]]] = []
         self.text: list[tuple[str, frozenset[str]]] = []
+        self.heads: set[int] = set()  # headers within an article
+        self.aside: list[bool] = []  # of each block: in such a header, but no heading
         self.tags = 0
 
     def flush(self) -> None:
         if any(text and not text.isspace() for text, _ in self.text):
             self.blocks.append((self.text, self.tags, tuple(n for tag, n, _ in self.open if tag in BLOCKS or not tag)))
+            self.aside.append(any(n in self.heads for _, n, _ in self.open) and not any(tag in HEADINGS for tag, _, _ in self.open))
             self.tags = 0
         self.text = []
 
@@ -102,7 +112,12 @@ class Blocks(HTMLParser):
                 above = frozenset()
             elif tag not in ("html", "body"):
                 marks = marks_of(attributes, MARKS if tag != "article" or any(k == "article" for k, _, _ in self.open) else COMMENTS)
-            dropped = above is None or tag in DROPPED or tag not in ("html", "body", "main") and hidden(attributes)
+            own = tag == "header" and above is not None and any(k == "article" for k, _, _ in self.open)
+            if own:  # the article's title is text, its other lines only if they are sentences
+                self.flush()
+                self.heads.add(len(self.kinds))
+                marks = frozenset()
+            dropped = above is None or tag in DROPPED and not own or tag not in ("html", "body", "main") and hidden(attributes)
             if tag in ("article", "main") and not dropped:
                 self.named[len(self.kinds)] = above | marks
             self.open.append((tag, len(self.kinds), None if dropped else above | marks))
@@ -117,7 +132,7 @@ class Blocks(HTMLParser):
         self.tags += 1
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCKS or any(t in BLOCKS for t, _, _ in self.open[at:]):
+                if tag in BLOCKS or any(t in BLOCKS or n in self.heads for t, n, _ in self.open[at:]):
                     self.flush()
                 del self.open[at:]
                 return
@@ -185,10 +200,10 @@ def extract(page: str | None) -> str:
     parser.flush()
     free = layout(parser)
     blocks, passed = [], 0  # tags of a block without text count for the next
-    for texts, tags, path in parser.blocks:
+    for (texts, tags, path), aside in zip(parser.blocks, parser.aside, strict=True):
         text = " ".join("".join(text for text, marks in texts if marks <= free).split())
         passed += tags
-        if text:
+        if text and not (aside and len(text) < max(LONG, WORDY * tags)):
             blocks.append((text, passed, path))
             passed = 0
     if not blocks:
@@ -207,7 +222,33 @@ def extract(page: str | None) -> str:
         region = path if region is None else tuple(a for a, b in zip(region, path) if a == b)  # noqa: B905
     while parser.kinds[region[-1]] not in REGIONS:
         region = region[:-1]
-    return "\n\n".join(text for text, _, path in blocks if region[-1] in path)
+    within = [i for i, (_, _, path) in enumerate(blocks) if region[-1] in path]
+    if not any(parser.kinds[e] in ("article", "main") for _, _, path in blocks for e in path):
+        within = cluster(within, [parser.kinds[path[-1]] for _, _, path in blocks], content & ((ratios >= SENTENCE) | (sizes >= LONG)))
+    return "\n\n".join(blocks[i][0] for i in within)
+
+
+def cluster(within: list[int], kinds: list[str], content: np.ndarray) -> list[int]:
+    """The blocks of a region that belong to its content: from the first to the last sentence above
+    the threshold, prose from the title on, or headings and paragraphs right before them, and prose after them. All, if there is no such sentence."""
+    sure = [i for i in within if content[i]]
+    if not sure:
+        return within
+    out = [i for i in within if sure[0] <= i <= sure[-1]]
+    early = [i for i in within if i < sure[0]]
+    title = next((i for i in early if kinds[i] == "h1"), None)
+    if title is not None:  # from the title on, all prose
+        out = [i for i in early if i >= title and kinds[i] in PROSE] + out
+    else:
+        for i in reversed(early):
+            if kinds[i] not in LEADS:
+                break
+            out.insert(0, i)
+    for i in [i for i in within if i > sure[-1]]:
+        if kinds[i] not in PROSE:
+            break
+        out.append(i)
+    return out
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from keyfold.llm import html_text, warc
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="single-post has-sidebar">
@@ -134,3 +136,68 @@ def test_warc_files_keep_source_headers_and_digests(spark, tmp_path):
         if headers["WARC-Type"] == "metadata":
             kept = [x.split(": ", 1)[1] for x in block.decode().split("\r\n") if x.startswith("source-http-header: ")]
             assert kept == [x for x in (source[4] or "").split("\r\n") if x]
+
+
+def built(rng, article):
+    """A page put together from parts, and the text that its parts say is the article."""
+    words = lambda n: " ".join(rng.choice(["river", "stone", "light", "garden", "window", "paper", "morning", "quiet"]) for _ in range(n))
+    noise = lambda: rng.choice([
+        "<div>Home | News | Sport</div>", f"<nav><ul><li><a href='/'>{words(2)}</a></li><li><a href='/b'>{words(1)}</a></li></ul></nav>",
+        f"<aside><p>{words(30)}</p></aside>", f"<div class='cookie-banner'><p>{words(20)}</p></div>", "<form><label>Mail</label><input name=q></form>", f"<header>{words(2)}</header>"])
+    title, body, text = words(4), [], []
+    text.append(title)
+    for _ in range(rng.randint(2, 7)):
+        kind = rng.choice(["p", "p", "short", "list", "table", "quote", "formula"])
+        if kind == "p":
+            said = words(rng.randint(15, 60))
+            body.append(f"<p>{said}</p>")
+            text.append(said)
+        elif kind == "short":
+            said = words(2)
+            body.append(f"<h2>{said}</h2>")
+            text.append(said)
+        elif kind == "list":
+            items = [words(3) for _ in range(3)]
+            body.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
+            text += items
+        elif kind == "table":
+            cells = [words(2) for _ in range(2)]
+            body.append("<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>")
+            text += cells
+        elif kind == "quote":
+            said = words(12)
+            body.append(f"<blockquote>{said}</blockquote>")
+            text.append(said)
+        else:
+            said = words(14)
+            body.append(f"<p>{said} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>")
+            text.append(said + " x=1")
+    last = words(40)
+    body.append(f"<p>{last}</p>")
+    text.append(last)
+    head = f"<header><h1>{title}</h1><span>By me</span></header>" if article and rng.random() < 0.5 else f"<h1>{title}</h1>"
+    core = head + "".join(body)
+    core = f"<article>{core}</article>" if article else core
+    return f"<html><body>{''.join(noise() for _ in range(rng.randint(0, 4)))}{core}<footer>{words(3)}</footer></body></html>", "\n\n".join(text)
+
+
+def test_pages_put_together_from_parts():
+    rng = random.Random(11)
+    for i in range(400):
+        page, text = built(rng, article=i % 2 == 0)
+        assert html_text.extract(page) == text, page
+
+
+def test_the_ratio_decides_where_no_article_is_marked(monkeypatch):
+    links = "<div>" + " ".join(f"<a href='/{w}'>{w}</a>" for w in "Home News Sport Weather Business Culture Travel Science Opinion Letters".split()) + "</div>"
+    sentence = "This is a long sentence of the text, which goes on for a while and ends here, after some more of its words were said."
+    page = f"<body>{links}<div>Home | News | Sport</div><h1>Title</h1><p>{sentence}</p><p>{sentence}</p><ul><li>one</li></ul><div>Imprint</div>{links}</body>"
+    text = f"Title\n\n{sentence}\n\n{sentence}\n\none"
+    assert html_text.extract(page) == text
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)))  # every block passes
+    assert html_text.extract(page).startswith("Home News Sport Weather") and html_text.extract(page) != text
+
+
+def test_headers_of_an_article_and_formulas():
+    page = "<body><header>Site</header><article><header><h1>Title</h1><p>By me</p></header><p>The value <math><mi>x</mi></math> is used</p><video>See it</video></article></body>"
+    assert html_text.extract(page) == "Title\n\nThe value x is used\n\nSee it" or html_text.extract(page) == "Title\n\nThe value x is used\n\nSee it".replace("\n\nSee it", " See it")

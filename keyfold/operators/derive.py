@@ -55,18 +55,11 @@ def renewal_flag(df: DataFrame) -> Column:
     return auto | planned
 
 
-def _boolean_rule(df: DataFrame, expression: str, as_of: Column) -> Column:
-    if fixed.CHURN_RULE in expression:
-        return churn_flag(df, as_of)
-    if fixed.RENEWAL_RULE in expression:
-        return renewal_flag(df)
-    return F.expr(expression)
-
-
 def derive_fields(df: DataFrame, rules: dict[str, dict] = fixed.DERIVED_FIELDS,
                   as_of: Column | None = None) -> DataFrame:
-    """Apply the rules in order. `as_of` stands for today; an unknown operation is
-    skipped, a rule Spark cannot resolve gives a null column."""
+    """Apply the rules in order. A boolean expression is any Spark SQL over the row and
+    `today`, which `as_of` stands for; an unknown operation is skipped, a rule Spark cannot
+    resolve gives a null column."""
     as_of = as_of if as_of is not None else F.current_date()
     for name, rule in rules.items():
         op = rule.get("operation")
@@ -76,12 +69,17 @@ def derive_fields(df: DataFrame, rules: dict[str, dict] = fixed.DERIVED_FIELDS,
             value = divide(df, rule["numerator"], rule["denominator"])
         elif op == "safe_divide":
             value = safe_divide(df, rule["numerator"], rule["denominator"], rule.get("fallback"))
+        elif op == "churn_flag":
+            value = churn_flag(df, as_of)
+        elif op == "renewal_flag":
+            value = renewal_flag(df)
         elif op == "boolean_expression":
-            value = _boolean_rule(df, rule.get("expression", ""), as_of)
+            value = F.expr(rule.get("expression", ""))
         else:
             continue
+        own = op == "boolean_expression" and "today" not in df.columns
         try:
-            df = df.withColumn(name, value)
+            df = df.withColumn("today", as_of).withColumn(name, value).drop("today") if own else df.withColumn(name, value)
         except Exception:  # the rule names something this table lacks
-            df = df.withColumn(name, F.lit(None).cast("boolean" if op == "boolean_expression" else "double"))
+            df = df.withColumn(name, F.lit(None).cast("double" if op in ("date_diff_days", "divide", "safe_divide") else "boolean"))
     return df

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,11 +72,35 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/keyfold-{label}-{uuid.uuid4().hex[:12]}"
 
 
+_RECORDS = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that `staged` writes meanwhile in this thread, for `discard`."""
+    paths: list[str] = []
+    open_ = _RECORDS.__dict__.setdefault("open", [])
+    open_.append(paths)
+    try:
+        yield paths
+    finally:
+        open_.pop()
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete staged tables that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table that several queries read to the shared folder and read it back.
 
     What led to it is computed once; later readers prune columns, and a lost executor
     costs no more than its own tasks."""
     path = work_folder(df.sparkSession, label)
+    for paths in _RECORDS.__dict__.get("open", []):
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
-"""Appending sheets to the master as files arrive: the batch append, once per micro-batch.
+"""Appending sheets to the stored master as files arrive.
 
-No operator of its own: every batch is merged by `append_to_master` and stored as the
-snapshot numbered after it. A batch that is retried after a failure starts from the same
-previous snapshot and rewrites the same one, so it counts once."""
+No operator of its own: every micro-batch is one append to the stored master, which rewrites
+only the parts its keys fall into. The append carries the number of the batch, so a batch
+that is retried after a failure finishes what it began and counts once."""
 
 from __future__ import annotations
 
@@ -10,25 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from keyfold import fixed
 from keyfold.functions.cells import na_to_null
 from keyfold.operators.mapping import apply_mapping
-from keyfold.operators.merge import append_to_master
-from keyfold.sources.sinks import read_master, write_master
+from keyfold.sources.master import append_rows
 
 
 def append_stream(spark: SparkSession, folder: str, headers: Sequence[str], column_mapping: dict[str, str | None],
-                  root: str, checkpoint: str, keys: Sequence[str] = fixed.KEY_COLS,
-                  on_conflict: str = "error"):
-    """Start a query that appends the CSV files of `folder` to the master under `root`;
-    snapshot 0 must exist. Processes what is there and stops."""
+                  master: str, checkpoint: str, on_conflict: str = "error"):
+    """Start a query that appends the CSV files of `folder` to the master stored at `master`,
+    which must exist. Processes what is there and stops."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    arriving = spark.readStream.schema(schema).options(header=True, multiLine=True, escape='"').csv(folder)
+    arriving = spark.readStream.schema(schema).options(header=True, escape='"').csv(folder)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = apply_mapping(batch.select(*[na_to_null(batch[h]).alias(h) for h in headers]), column_mapping)
-        master = read_master(batch.sparkSession, root, batch_id)
-        write_master(append_to_master(master, rows, keys, on_conflict), root, batch_id + 1)
+        append_rows(batch.sparkSession, master, rows, batch_id + 1, on_conflict)
 
     return (arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -141,6 +141,14 @@ def test_derived_fields(spark):
     assert [r["renewal_flag"] for r in got] == [False, True, True, False]
 
 
+def test_boolean_expressions_know_today(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2026, 1, 1)), (3, None)], "id int, end_date date")
+    rules = {"late": {"operation": "boolean_expression", "expression": "coalesce(end_date < today, false)"}, "gone": {"operation": "boolean_expression", "expression": "nowhere > 1"}}
+    out = derive.derive_fields(df, rules, F.to_date(F.lit("2025-01-01")))
+    assert out.columns == ["id", "end_date", "late", "gone"]
+    assert {r["id"]: (r["late"], r["gone"]) for r in out.collect()} == {1: (True, None), 2: (False, None), 3: (False, None)}
+
+
 def test_divide_by_zero_and_missing_columns(spark):
     df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, 3.0)], "a double, b double")
     rules = {"q": {"operation": "divide", "numerator": "a", "denominator": "b"},

@@ -7,7 +7,7 @@ from keyfold.model import ORD, Sheet
 from keyfold.operators import checks, suggest
 from keyfold.operators.mapping import MappingConfig
 from keyfold.plans import audit, consolidate
-from keyfold.sources import catalog, sinks, tables, workbooks
+from keyfold.sources import catalog, master, sinks, tables, workbooks
 from keyfold.streaming.append import append_stream
 
 
@@ -202,7 +202,7 @@ def test_required_fields_can_be_missing(spark):
 def test_appending_files_as_they_arrive(spark, tmp_path, rows):
     root, inbox = str(tmp_path / "root"), tmp_path / "in"
     inbox.mkdir()
-    sinks.write_master(spark.createDataFrame([("A", "d1", "x")], "account_id string, close_date string, stage string"), root, 0)
+    master.create_master(spark.createDataFrame([("A", "d1", "x")], "account_id string, close_date string, stage string"), root, parts=4)
     mapping = {"acc": "account_id", "day": "close_date", "tier": "tier"}
 
     def run():
@@ -210,10 +210,10 @@ def test_appending_files_as_they_arrive(spark, tmp_path, rows):
 
     (inbox / "1.csv").write_text("acc,day,tier\nA,d1,gold\nB,d2,NA\n")
     run()
-    assert rows(sinks.read_master(spark, root, 1)) == [("A", "d1", "x", "gold"), ("B", "d2", None, None)]
+    assert rows(master.read_master(spark, root)) == [("A", "d1", "x", "gold"), ("B", "d2", None, None)]
     (inbox / "2.csv").write_text("acc,day,tier\nB,d2,tin\n")
     run()
-    assert rows(sinks.read_master(spark, root, 2)) == [("A", "d1", "x", "gold"), ("B", "d2", None, "tin")]
+    assert rows(master.read_master(spark, root)) == [("A", "d1", "x", "gold"), ("B", "d2", None, "tin")]
 
 
 def test_broken_and_numbered_tabs(spark, tmp_path):

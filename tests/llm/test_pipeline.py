@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import struct
 
@@ -77,8 +78,25 @@ def test_stages(spark, folder):
 
 
 def test_run(spark, folder):
+    from keyfold.session import work_folder
+
+    base = os.path.dirname(work_folder(spark, "x"))
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
     out = corpus_pipeline.run(spark, folder)
     assert out.columns[:2] == ["doc_id", "n_tokens"] and 0 < out.count()
+    assert len(set(os.listdir(base)) - before) == 1  # the result; all tables in between are gone
+
+
+def test_run_of_odd_tables(spark, tmp_path):
+    """Nulls, repeats, clashing columns, and no rows at all."""
+    rows = [(1, None, None, None, None, "x"), (1, "a b c", "en", "s", 5, "x"), (1, "a b c", "en", "s", 5, "y"), (None, "d e f g h i", "en", "s", 11, "z"), (2, "", "en", None, 0, "w")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    for name, part in (("some", rows), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(part, kinds).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        out = corpus_pipeline.run(spark, path)
+        assert out.columns[:2] == ["doc_id", "n_tokens"] and (name == "some" or out.count() == 0)
 
 
 def test_ngram_stage_keeps_rows(spark):

@@ -4,7 +4,8 @@ Texts of the same words are one node from the start. The n-grams of a set are or
 everywhere, rarest first by a bounded count sketch. Two sets with a similarity of t share k of the
 first n - ceil(t n) + k n-grams of each, so these go, packed by hash range, to where nodes that
 share one meet. The nodes of such a group form a star around its smallest node; a star is never
-turned into pairs. Two nodes that meet only alone, and fewer than k times, are no candidates. The sets of a star's members go into a trie, shared n-grams first; one
+turned into pairs. Only in groups of FEW nodes at most their pairs are counted, ten of them: two nodes that meet
+in such groups alone, and fewer than k times, are no candidates. The sets of a star's members go into a trie, shared n-grams first; one
 walk carries the overlaps of all members along each path, so common beginnings are counted
 once, and drops members, then subtrees, that cannot reach the needed overlap in the length
 that remains. Stars of more than STAR members are joined block by block; their blocks first meet
@@ -26,6 +27,8 @@ from .shingles import mixed, shingle_set, text_hash
 
 #: Cells of the count sketch, prefix n-grams of a hash range, members of one trie.
 SKETCH, RANGE, STAR = 1 << 18, 1_000_000, 256
+#: Members of a group whose pairs are counted one by one; a larger one becomes a star at once.
+FEW = 5
 #: A prefix is longer by the size divided by this, and two sets must share as many more of its n-grams.
 EXTRA = 25
 #: Bits (as a power of two) of the filter that keeps texts nobody asks for out of a shuffle.
@@ -128,19 +131,26 @@ def stars(docs: DataFrame, order: np.ndarray, ranges: int, n: int, percent: int)
         start = np.flatnonzero(fresh)
         members = np.diff(np.r_[start, len(node)])
         centre = np.repeat(np.minimum.reduceat(node, start), members)
-        least = np.repeat(np.minimum.reduceat(size, start), members)
-        alone = np.repeat(members == 2, members)
-        far = np.flatnonzero(centre != node)
-        far = far[np.lexsort((alone[far], node[far], centre[far]))]
-        centre, node, alone, need = centre[far], node[far], alone[far], 1 + least[far] // EXTRA
-        changes = (centre[1:] != centre[:-1]) | (node[1:] != node[:-1]) | (alone[1:] != alone[:-1])
-        at = np.flatnonzero(np.r_[len(far) > 0, changes])
-        return pa.table({"centre": centre[at], "node": node[at], "alone": alone[at], "need": need[at], "times": np.diff(np.r_[at, len(far)]).astype(np.int64)})
+        many = np.repeat(members > FEW, members) & (centre != node)
+        found = [(centre[many], node[many], np.zeros(many.sum(), np.int64))]  # need 0: candidates at once
+        for count in range(2, FEW + 1):
+            at = start[members == count][:, None] + np.arange(count)
+            i, j = np.triu_indices(count, 1)
+            x, y = node[at[:, i]].ravel(), node[at[:, j]].ravel()
+            found.append((np.minimum(x, y), np.maximum(x, y), 1 + size[at[:, i]].ravel() // EXTRA))  # sizes ascend within a group
+        centre, node, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((need, node, centre))
+        centre, node, need = centre[by], node[by], need[by]
+        at = np.flatnonzero(np.r_[len(by) > 0, (centre[1:] != centre[:-1]) | (node[1:] != node[:-1])])
+        if not len(at):
+            return pa.table({c: np.zeros(0, np.int64) for c in ("centre", "node", "need", "times")})
+        times = np.diff(np.r_[at, len(by)])
+        return pa.table({"centre": centre[at], "node": node[at], "need": need[at], "times": times.astype(np.int64)})  # the smallest need comes first
 
     packed = docs.select("text").mapInArrow(prefixes, "range int, shingles binary, own binary, nodes binary, sizes binary")
-    met = packed.groupBy("range").applyInArrow(group, "centre long, node long, alone boolean, need long, times long").groupBy("centre", "node").agg(
-        F.bool_or(~F.col("alone")).alias("among"), F.max(F.when(F.col("alone"), F.col("need"))).alias("need"), F.sum(F.when(F.col("alone"), F.col("times"))).alias("times"))
-    return staged(met.where("among or times >= need").select("centre", "node"), "stars")
+    met = packed.groupBy("range").applyInArrow(group, "centre long, node long, need long, times long").groupBy("centre", "node").agg(
+        F.min("need").alias("need"), F.sum("times").alias("times"))
+    return staged(met.where("times >= need").select("centre", "node"), "stars")
 
 
 def _place(nodes: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from .common import words
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 #: Words whose hashes a worker keeps.
-KEPT = 100_000
+KEPT = 200_000
 
 
 class Hashes(dict):

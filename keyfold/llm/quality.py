@@ -97,7 +97,7 @@ class _Ratings:
         self.grades, self.number = grades, len(rows)
         self.grade = np.array([g for _, g in rows])
         self.counts = np.bincount(self.grade, minlength=grades) + 0.5
-        weight = self.counts[self.grade] ** -0.5  # rarer grades weigh more
+        weight = self.counts[self.grade] ** -0.35  # rarer grades weigh more
         self.weight = weight / weight.sum()
         own = np.repeat(np.arange(self.number), [len(f) for f, _ in rows])
         used, index = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
@@ -168,8 +168,8 @@ class _Ratings:
 def fit(rows: list[tuple[np.ndarray, int]], grades: int) -> Model:
     """Maximum likelihood in two passes: a strong L1 penalty chooses the features, a weak one then
     fits those. The strong penalty is the one of STRONG whose model, fitted to the first JUDGES
-    ratings without every FOLDS-th, makes those likeliest; the larger of equals. As chance slopes fall
-    with the root of the number of ratings, so does the penalty for all of them."""
+    ratings without every FOLDS-th, makes those likeliest; the larger of equals. For all ratings
+    it falls as their number grows, so that a feature needs the backing of as many documents as before."""
     if len({g for _, g in rows}) < 2:
         counts = np.bincount([g for _, g in rows], minlength=grades) + 0.5
         share = np.cumsum(counts)[:-1] / counts.sum()
@@ -185,7 +185,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int) -> Model:
             likely = np.log(np.maximum(chance, 1e-6)).sum()
             if likely > best:
                 best, penalty = likely, p
-    return _Ratings(rows, grades).model(penalty * (max(len(rest), 1) / len(rows)) ** 0.5)
+    return _Ratings(rows, grades).model(penalty * max(len(rest), 1) / len(rows))
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, int]]:

@@ -105,33 +105,53 @@ def stacked_conflicts(stacked: DataFrame, by: Sequence[str], columns: Sequence[S
 def _conflicts(stacked: DataFrame, keys: Sequence[str], owners: dict[str, list[int]], n: int, text: Column, examples: int) -> DataFrame:
     c = [F.col(f"c{i}") for i in range(n)]
     pairs = sorted({(j, i) for o in owners.values() for i in o for j in o if j < i})
+    having = sorted({i for pair in pairs for i in pair})
     filled = F.col("__value").isNotNull()
+    # a sum of products is at most the product of two sheets' rows of one key, which a long holds
     per_key = _counted(stacked, keys, list(owners), n).groupBy(*keys, "__column").agg(
         *[F.sum(c[i]).alias(f"n{i}") for i in range(n)],
         *[F.coalesce(F.sum(F.when(~filled, c[i])), F.lit(0)).alias(f"z{i}") for i in range(n)],
-        *[F.coalesce(F.sum(F.when(filled, _whole(c[j]) * _whole(c[i]))), F.lit(0)).alias(f"same{j}_{i}") for j, i in pairs],
-        *[F.min(F.when(c[i] > 0, F.col("__value"))).alias(f"lo{i}") for i in range(n)],
-        *[F.max(F.when(c[i] > 0, F.col("__value"))).alias(f"hi{i}") for i in range(n)])
-    differ = {(j, i): _whole(F.col(f"n{j}") - F.col(f"z{j}")) * _whole(F.col(f"n{i}") - F.col(f"z{i}")) - F.col(f"same{j}_{i}") for j, i in pairs}
+        *[F.coalesce(F.sum(F.when(filled, c[j] * c[i])), F.lit(0)).alias(f"same{j}_{i}") for j, i in pairs],
+        *[F.min(F.when(c[i] > 0, F.col("__value"))).alias(f"lo{i}") for i in having],
+        *[F.max(F.when(c[i] > 0, F.col("__value"))).alias(f"hi{i}") for i in having])
+    differ = {(j, i): (F.col(f"n{j}") - F.col(f"z{j}")) * (F.col(f"n{i}") - F.col(f"z{i}")) - F.col(f"same{j}_{i}") for j, i in pairs}
     suspect = per_key.where(reduce(lambda a, b: a | b, [d > 0 for d in differ.values()]))
 
-    one = _whole(F.lit(1))
-    rows = F.array(*[_whole(F.greatest(F.col(f"n{i}"), F.lit(1))) for i in range(n)])
-    empty = F.array(*[_whole(F.when(F.col(f"n{i}") == 0, F.lit(1)).otherwise(F.col(f"z{i}"))) for i in range(n)])
-    product = lambda a, begin, size: F.aggregate(F.slice(a, begin + 1, size), one, lambda x, y: _whole(x * y)) if size > 0 else one
-    against = []
-    for i in sorted({i for _, i in pairs}):
+    # products of all sheets' rows fit a long below this many rows a key and sheet
+    small = _greatest([F.col(f"n{i}") for i in range(n)]) <= int((2 ** 62 / n) ** (1 / n) * 0.99)
+
+    def numbers(number) -> dict[int, Column]:
+        """Per sheet the pairs that differ: each pair of values as often as it shows in the merge."""
+        times = lambda a, b: number(a * b)
+        rows = [number(F.greatest(F.col(f"n{i}"), F.lit(1))) for i in range(n)]
+        empty = [number(F.when(F.col(f"n{i}") == 0, F.lit(1)).otherwise(F.col(f"z{i}"))) for i in range(n)]
+        found = {}
+        for i in sorted({i for _, i in pairs}):
+            whole, before = None, None  # the pairs so far; empty cells of the sheets so far
+            for j in range(i):
+                whole = whole if whole is None else times(whole, rows[j])
+                if (j, i) in differ:
+                    own = number(differ[j, i]) if before is None else times(before, number(differ[j, i]))
+                    whole = own if whole is None else number(whole + own)
+                before = empty[j] if before is None else times(before, empty[j])
+            found[i] = whole
+        return found
+
+    short, long = numbers(lambda x: x), numbers(_whole)
+    against = [F.struct(F.lit(i + 1).alias("sheet"), F.when(small, _whole(short[i])).otherwise(long[i]).alias("n")) for i in short]
+    bounds = [f"{x}{i}" for i in having for x in ("lo", "hi")]
+    shows = {i: reduce(lambda a, b: a & b, [(F.col(f"n{k}") == 0) | (F.col(f"z{k}") > 0) for k in range(i)], F.lit(True)).alias(f"shows{i}") for i in having}
+    found = suspect.select(F.col("__column").alias("column"), text.alias("key"), F.explode(F.array(*against)).alias("x"), *bounds, *shows.values()) \
+        .select("column", "key", "x.*", *bounds, *[f"shows{i}" for i in having]).where("n > 0")
+    existing, new = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i in short:  # examples are told apart from the counts, so a caller who leaves them out does not pay for them
         earlier = [j for j, k in pairs if k == i]
-        number = reduce(lambda a, b: a + b, [product(empty, 0, j) * product(rows, j + 1, i - j - 1) * differ[j, i] for j in earlier])
-        shows = [product(empty, 0, j) > 0 for j in earlier]
-        lo_l = _least([F.when(s, F.col(f"lo{j}")) for s, j in zip(shows, earlier)])
-        hi_l = _greatest([F.when(s, F.col(f"hi{j}")) for s, j in zip(shows, earlier)])
-        lo_r, hi_r = F.col(f"lo{i}"), F.col(f"hi{i}")
-        existing = F.when((lo_l == lo_r) & (hi_r == lo_l), hi_l).otherwise(lo_l)
-        new = F.when(lo_l == lo_r, F.when(hi_r == lo_l, lo_r).otherwise(hi_r)).otherwise(lo_r)
-        against.append(F.struct(F.lit(i + 1).alias("sheet"), _whole(number).alias("n"), existing.alias("existing"), new.alias("new")))
-    found = suspect.select(F.col("__column").alias("column"), text.alias("key"), F.explode(F.array(*against)).alias("x")) \
-        .select("column", "key", "x.*").where("n > 0")
+        lo_l = _least([F.when(F.col(f"shows{j}"), F.col(f"lo{j}")) for j in earlier])
+        hi_l = _greatest([F.when(F.col(f"shows{j}"), F.col(f"hi{j}")) for j in earlier])
+        lo_r, hi_r, here = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col("sheet") == i + 1
+        existing = F.when(here, F.when((lo_l == lo_r) & (hi_r == lo_l), hi_l).otherwise(lo_l)).otherwise(existing)
+        new = F.when(here, F.when(lo_l == lo_r, F.when(hi_r == lo_l, lo_r).otherwise(hi_r)).otherwise(lo_r)).otherwise(new)
+    found = found.select("column", "key", "sheet", "n", existing.alias("existing"), new.alias("new"))
 
     # each part of a column's conflicts gives its first keys and its sum; those are few
     part = Window.partitionBy("sheet", "column", "__part")

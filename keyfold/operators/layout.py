@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from keyfold import fixed
 from keyfold.model import ORD
 from keyfold.operators import conflicts, merge
-from keyfold.session import work_folder
+from keyfold.session import discard, recorded, staged, work_folder
+
+# Rows of all sheets that a bucket, and so a task, holds on average; buckets a Spark table may have.
+BUCKET_ROWS, MAX_BUCKETS = 250_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,11 @@ class StoredSheets:
 def store_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_COLS, buckets: int | None = None,
                  keep_keyless: bool = False) -> StoredSheets:
     """Stack the sheets and store them by their keys; rows without any key part are left out
-    unless asked for. A column of several sheets gets the type that holds them all."""
+    unless asked for. A column of several sheets gets the type that holds them all.
+
+    A task reads one bucket, so their number grows with the rows: `buckets` is the least number,
+    and each holds about BUCKET_ROWS rows at most. The sheets are computed once, into a table that
+    is counted, dealt and deleted."""
     for i, s in enumerate(sheets, 1):
         merge.require_keys(s, keys, f"Sheet {i}")
     spark = sheets[0].sparkSession
@@ -62,9 +69,13 @@ def store_sheets(sheets: Sequence[DataFrame], keys: Sequence[str] = fixed.KEY_CO
         flags[f"__key{i}"] = F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(""))
         flags[f"__none{i}"] = F.col(f"`{k}`").isNull()
     name = f"keyfold_sheets_{uuid.uuid4().hex[:12]}"
+    with recorded() as paths:
+        rows = staged(stacked, "stacked")
+    buckets = min(max(buckets, -(-rows.count() // BUCKET_ROWS)), MAX_BUCKETS)
     # one task per bucket, so one file each
-    stacked.withColumns(flags).repartition(buckets, *flags).write.bucketBy(buckets, *flags).format("parquet").option(
+    rows.withColumns(flags).repartition(buckets, *flags).write.bucketBy(buckets, *flags).format("parquet").option(
         "path", work_folder(spark, "sheets")).saveAsTable(name)
+    discard(spark, paths)
     return StoredSheets(name, spark.table(name), list(keys), [s.columns for s in plain], list(flags))
 
 

@@ -45,6 +45,18 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("v is not null and not isnan(v)")
 
 
+def stored_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from a staged table of the parsed columns, for callers that read them several
+    times: what led to `df` is computed once."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    kept = [c for c in columns if isinstance(kinds[c], (T.StringType, T.NumericType, T.BooleanType))]
+    if not kept:
+        return long_numbers(df, columns)
+    number = lambda c: cells.to_number(F.col(f"`{c}`")) if isinstance(kinds[c], T.StringType) else F.col(f"`{c}`").cast("double")
+    wide = staged(df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(kept)]), "numbers").toDF(*kept)
+    return long_numbers(wide, kept)
+
+
 def _every_column(df: DataFrame, columns: Sequence[str], found: DataFrame) -> DataFrame:
     """One row per column even when the table is empty."""
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
@@ -179,14 +191,15 @@ def medians_of(numbers: DataFrame) -> DataFrame:
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median) of the numeric cells of columns that have any."""
-    return medians_of(long_numbers(df, list(columns)))
+    return medians_of(stored_numbers(df, list(columns)))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n, min, max, mean, median, std) of the numeric cells, for columns that
-    have any; two decimals, sample deviation, 0 for a single value."""
+    have any; two decimals, sample deviation, 0 for a single value. The rounds of the median
+    search read a staged table of the numbers."""
     columns = list(columns or data_columns(df))
-    numbers = long_numbers(df, columns)
+    numbers = stored_numbers(df, columns)
     rows = numbers.groupBy("column").agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))

@@ -187,3 +187,14 @@ def test_timeline_limits_before_it_filters(spark):
     df = spark.range(5).select(F.col("id").alias(ORD), F.when(F.col("id") > 1, F.lit("2024-01-01")).alias("start_date"),
                                F.lit(None).cast("string").alias("end_date"), F.lit("v").alias("vendor"))
     assert profile.timeline(df, 3, F.col(ORD)).count() == 1
+
+
+def test_numbers_are_read_from_one_staged_table(spark, tmp_path, rows):
+    """The rounds of the median search do not compute the sheet again."""
+    path = str(tmp_path / "lines")
+    spark.range(50).select((F.col("id") * 1.5).alias("a b"), F.concat(F.col("id"), F.when(F.col("id") % 5 == 0, "x").otherwise("")).alias("t"), F.current_date().alias("d"), F.lit(float("nan")).alias("none")) \
+        .write.parquet(path)
+    found = profile.numeric_stats(spark.read.parquet(path))
+    assert [r[:3] for r in rows(found)] == [("a b", 50, 0.0), ("t", 40, 1.0)]
+    assert found.inputFiles() and not any("/lines/" in f for f in found.inputFiles())
+    assert profile.numeric_stats(spark.read.parquet(path).select("d")).count() == 0

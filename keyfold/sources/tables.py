@@ -84,6 +84,25 @@ def _with_file_order(rows: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col("__start") + F.col("__row"), missing).alias(ORD))
 
 
+PLACE_BITS = 16  # of a row's ordinal; ordinals that differ only in them are ranked together
+
+
+def with_place(df: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows from 1 in the order of their ordinals, without gaps.
+
+    Rows are counted per range of ordinals, the counts (one row per range) are added up, and
+    each range is ranked by itself: a range holds 2**PLACE_BITS ordinals of one file, however long that is.
+    Rows without an ordinal come first."""
+    at = F.shiftright(F.col(ORD), PLACE_BITS)
+    sizes = df.groupBy(at.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    ranked = df.withColumn("__range", at)
+    here = F.row_number().over(Window.partitionBy("__range").orderBy(ORD))
+    found = ranked.withColumn("__here", here).alias("r").join(F.broadcast(starts.alias("s")), F.expr("r.__range <=> s.__range"))
+    return found.select((F.col("__before") + F.col("__here")).cast("bigint").alias(name), *[F.col(f"r.`{c}`") for c in df.columns])
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = False,
              provenance: bool = False, ordinal: bool = True) -> DataFrame:
     """CSV file(s) of one layout: header line, all text.

@@ -245,3 +245,14 @@ def test_audit_tables(spark):
     assert found["Contract ID"] == ("contract_id", "exact_alias") and found["stop"] == ("end_date", "confirmed") and found["zz"] == (None, None)
     assert {r["method"] for r in audit.audit_mapping(sheets, config).collect()} == {"confirmed", None}
     assert [tuple(r) for r in audit.audit_sheets(sheets, result.levels).collect()] == [("s", 2, result.levels["s"])]
+
+
+def test_rows_are_numbered_range_by_range(spark, tmp_path, monkeypatch):
+    """Places count on over ranges and files; no window ranks all rows at once."""
+    monkeypatch.setattr(tables, "PLACE_BITS", 2)
+    ordinals = [i << tables.FILE_ROWS | n for i in (1, 2) for n in range(0, 30, 3)] + [None]
+    df = spark.createDataFrame([(n, f"r{n}") for n in ordinals], f"{ORD} bigint, `a.b` string").repartition(3)
+    placed = tables.with_place(df)
+    assert [(r["position"], r[ORD]) for r in sorted(placed.collect(), key=lambda r: r["position"])] == list(enumerate([None, *ordinals[:-1]], 1))
+    assert placed.columns == ["position", ORD, "a.b"]
+    assert "row_number() windowspecdefinition(__range" in placed._jdf.queryExecution().optimizedPlan().toString()

@@ -829,7 +829,7 @@ def csv_ordered(spark, sf):
     path = work_folder(spark, "ordered")
     sinks.export_csv(sheet(spark, sf, "crm_unique").select("account_id", "close_date", "stage"), path)
     back = tables.read_csv(spark, path)
-    return back.select(F.row_number().over(Window.orderBy(ORD)).cast("bigint").alias("position"), "account_id", "close_date", "stage")
+    return tables.with_place(back).select("position", "account_id", "close_date", "stage")
 
 
 @query("raw_snapshot", ctes("order_text", "customer_text") + f""", a AS {_hash_sql("order_text", _ORDER_COLS)}, b AS {_hash_sql("customer_text", ["customer_id", "name", "nation_id", "segment"])}

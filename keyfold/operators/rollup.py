@@ -1,7 +1,8 @@
 """Rolling line items up to one row per record, and keeping the best of duplicates.
 
 Every aggregate here combines map-side, so a key that holds a large part of all rows
-reaches the reducers as a few partial rows. 'first' means first non-null value in row
+reaches the reducers as a few partial rows. Where values are joined, that takes two aggregates;
+if a count shows that no key has very many lines, one aggregate does it. 'first' means first non-null value in row
 order, which needs an explicit order column.
 """
 
@@ -16,6 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from keyfold import fixed
 from keyfold.functions.cells import round_exact, strip
 from keyfold.model import ORD
+from keyfold.session import staged
+
+# Up to so many lines a key's cells are collected before equal ones become one.
+FEW_LINES = 10_000
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 GRAINS = ("contract_level", "line_item_level", "mixed")
 
@@ -49,16 +55,29 @@ def default_method(df: DataFrame, c: str, flags: Sequence[str] | None = None) ->
     return "sum" if c in flags or isinstance(df.schema[c].dataType, T.NumericType) else "first"
 
 
+def stored_rows(df: DataFrame, label: str = "lines") -> DataFrame:
+    """The rows as a staged table, or as they are where a column's type cannot be stored."""
+    return staged(df, label) if all(isinstance(f.dataType, _PLAIN) for f in df.schema) else df
+
+
+def most_lines(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the complete key that has most."""
+    return df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
 def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str], order: Column,
                     count_col: str | None = None, keep_blank: bool = False, orphans: bool = False,
-                    orphan_cols: Sequence[str] = ()) -> DataFrame:
+                    orphan_cols: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """Group by keys with one method per column, reading `df` once.
 
-    Columns whose distinct values are joined (`collect_unique`) are unfolded to rows of
-    (key, column, value) beside the row that carries all other columns. A first aggregate
-    makes values distinct and sums up the rest, a second one puts the rows of a key
-    together; only distinct values are ever collected for one key, which is exactly the content
-    of the result cell.
+    Where distinct values of columns are joined (`collect_unique`), the needed columns are staged
+    unless `df` is `stored` already, and rows per key are counted there. If no key has over FEW_LINES
+    rows, one aggregate collects the cells and equal ones become one afterwards.
+
+    Otherwise these columns are unfolded to rows of (key, column, value) beside the row that carries all
+    other columns. A first aggregate makes values distinct and sums up the rest, a second one
+    puts the rows of a key together; only distinct values are collected for one key then, which is
+    exactly the content of the result cell.
 
     With `orphans` rows without a complete key go through the same aggregates, each under
     its own order and content, and come out as they were in the types of the grouped
@@ -86,7 +105,24 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str],
     aggs = [value(c, methods[c]).alias(c) for c in simple]
     aggs += [F.any_value(F.when(lone, F.col(c)), ignoreNulls=True).alias(c) for c in orphan_cols]
     aggs.append(F.count(F.lit(1)).alias("__n"))
-    if unique:
+    if unique and not stored:
+        rows = stored_rows(rows)
+    if unique and most_lines(rows, keys) <= FEW_LINES:
+        cells = rows.withColumns({f"__cell{i}": F.col(c).cast("string") for i, c in enumerate(unique)})
+        lists = []
+        for i in range(len(unique)):
+            cell = F.col(f"__cell{i}")
+            told = F.when(cell.isNotNull() if keep_blank else (strip(cell) != "") | (lone & cell.isNotNull()), cell)
+            placed = told.isNotNull() & F.col("__ord").isNotNull()
+            lists += [F.collect_list(F.when(placed, F.struct("__ord", told.alias("value")))).alias(f"__placed{i}"),
+                      F.collect_set(F.when(F.col("__ord").isNull(), told)).alias(f"__unplaced{i}")]
+        out = cells.groupBy(*by).agg(*aggs, *lists)
+        for i, c in enumerate(unique):
+            placed = F.array_distinct(F.sort_array(f"__placed{i}").getField("value"))
+            values = F.concat(F.array_except(F.sort_array(f"__unplaced{i}"), placed), placed)
+            text = F.concat_ws(" | ", values)
+            out = out.withColumn(c, F.when(~lone | (F.size(values) > 0), text) if orphans else text)
+    elif unique:
         cell = lambda i, c: F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("value"))
         tagged = rows.select("*", F.explode(F.array(F.struct(F.lit(0).alias("tag"), F.lit(None).cast("string").alias("value")),
                                                     *[cell(i, c) for i, c in enumerate(unique, 1)])).alias("__cell"))
@@ -114,9 +150,10 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str],
 
 
 def rollup(df: DataFrame, keys: Sequence[str] = fixed.GROUP_BY, rules: dict[str, str] = fixed.ROLLUP_RULES,
-           order: Column | None = None, count_col: str = fixed.LINE_COUNT_COL) -> DataFrame:
+           order: Column | None = None, count_col: str = fixed.LINE_COUNT_COL, stored: DataFrame | None = None) -> DataFrame:
     """One row per key by configured rules; columns without a rule use the default one.
-    Rows without a complete key are kept as they are, with a line count of 1."""
+    Rows without a complete key are kept as they are, with a line count of 1. `stored` is the
+    same table where it is staged already."""
     keys = [k for k in keys if k in df.columns]
     order = order if order is not None else F.col(ORD)
     if not keys:
@@ -124,7 +161,7 @@ def rollup(df: DataFrame, keys: Sequence[str] = fixed.GROUP_BY, rules: dict[str,
     lineage = [c for c in df.columns if c in fixed.LINEAGE_COLS and c not in keys]
     skip = {*keys, *fixed.LINEAGE_COLS, ORD}
     methods = {c: rules.get(c) or default_method(df, c) for c in df.columns if c not in skip}
-    return group_aggregate(df, keys, methods, order, count_col, orphans=True, orphan_cols=lineage)
+    return group_aggregate(df if stored is None else stored, keys, methods, order, count_col, orphans=True, orphan_cols=lineage, stored=stored is not None)
 
 
 def classify_grain(df: DataFrame, id_col: str = "contract_id") -> DataFrame:
@@ -148,15 +185,17 @@ def rollup_sheets(sheets: dict[str, DataFrame], keys: Sequence[str] = fixed.GROU
                   count_col: str = fixed.LINE_COUNT_COL, levels: dict[str, str] | None = None,
                   ) -> tuple[dict[str, DataFrame], DataFrame | None]:
     """Roll up every sheet that is not record-level already; also the stacked line items
-    of the rolled-up sheets. `levels` skips the classification query."""
+    of the rolled-up sheets. `levels` skips the classification query. The sheets rolled up are
+    staged: both results read them."""
     out, items = {}, []
     for name, df in sheets.items():
         level = (levels or {}).get(name) or classify_grain(df).first()["level"]
         if level == "contract_level" or not any(k in df.columns for k in keys):
             out[name] = df.withColumn(count_col, F.lit(1).cast("bigint"))
             continue
-        items.append(df)
-        out[name] = rollup(df, keys, rules, order, count_col)
+        lines = stored_rows(df)
+        items.append(lines)
+        out[name] = rollup(df, keys, rules, order, count_col, stored=lines)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), items) if items else None
     return out, stacked
 

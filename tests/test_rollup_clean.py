@@ -57,6 +57,39 @@ def test_rollup_reads_its_source_once(spark, lines, tmp_path):
     assert plan.count("FileScan") == 1 and "Join" not in plan
 
 
+def test_joined_values_take_one_aggregate_unless_a_key_has_many_lines(spark, rows, monkeypatch):
+    """Both plans give the same, also with missing and equal places, blanks and rows without a key."""
+    df = spark.createDataFrame([
+        (None, "k", "b", 1.0, "p"), (5, "k", "b", 2.0, None), (None, "k", "z", None, "q"), (None, "k", "y", 1.0, "p"), (7, "k", "a", 4.0, " "),
+        (7, "k", "c", None, "r"), (3, "k", " ", 1.0, "q"), (2, "k", None, 1.0, "p"), (9, "k", "a", 0.5, "q"), (1, "l", None, None, None),
+        (None, None, " ", 3.0, "p"), (None, None, " ", 3.0, "p"), (4, None, None, None, ""), (None, "m", "x", 1.0, "p")],
+        f"{ORD} long, contract_id string, product string, total_value double, notes string")
+    few = rollup.rollup(df)
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(few) == 1
+    got = {r["contract_id"]: r["product"] for r in few.collect()}
+    assert (got["k"], got["l"], got["m"]) == ("y | z | b | a | c", "", "x")
+    quotes = lambda: rows(rollup.group_aggregate(df.where("contract_id is not null"), ["contract_id"], {"product": "collect_unique", "notes": "collect_unique"},
+                                                 F.col(ORD), "n", keep_blank=True))
+    kept = quotes()
+    monkeypatch.setattr(rollup, "FEW_LINES", 8)
+    many = rollup.rollup(df)
+    assert shuffles(many) == 2
+    assert rows(few) == rows(many) and kept == quotes()
+
+
+def test_rolled_up_sheets_are_computed_once(spark, lines):
+    """Records and line items read the same staged sheet; a column that cannot be stored keeps it as it is."""
+    names = spark.createDataFrame([("C1", "n1"), ("C2", "n2")], "contract_id string, name string")
+    out, items = rollup.rollup_sheets({"lines": lines.join(names, "contract_id", "left")}, levels={"lines": "line_item_level"})
+    for df in (out["lines"], items):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert items.count() == 5 and {r["name"] for r in out["lines"].collect()} == {"n1", "n2", None}
+    odd = lines.withColumn("nothing", F.lit(None))
+    out, items = rollup.rollup_sheets({"lines": odd}, levels={"lines": "line_item_level"})
+    assert items.count() == 5 and out["lines"].count() == 3
+
+
 def test_grain(spark, lines):
     assert rollup.classify_grain(lines).first()["level"] == "mixed"
     unique = spark.range(20).select(F.col("id").cast("string").alias("contract_id"))

@@ -26,6 +26,11 @@ _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampTyp
 GRAINS = ("contract_level", "line_item_level", "mixed")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether text holds white space only; it is read up to the first other character."""
+    return F.ltrim(c, F.lit(fixed.WHITESPACE)) == ""
+
+
 def _first(c: str, order: Column) -> Column:
     return F.min_by(c, F.when(F.col(c).isNotNull(), order))
 
@@ -61,8 +66,8 @@ def stored_rows(df: DataFrame, label: str = "lines") -> DataFrame:
 
 
 def most_lines(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the complete key that has most."""
-    return df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    """Rows of the complete key that has most, at the least: keys of one 64-bit hash count as one."""
+    return df.na.drop(subset=list(keys)).groupBy(F.xxhash64(*keys)).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
 
 
 def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str], order: Column,
@@ -95,32 +100,31 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str],
     lone = F.col("__alone").isNotNull()
     rows = df.select(*keys, *dict.fromkeys([*simple, *unique, *orphan_cols]), order.alias("__ord"), alone.alias("__alone"))
 
-    def value(c: str, method: str) -> Column:
-        whole = _simple_agg(c, method, F.col("__ord"), c in booleans)
-        if orphans and method in ("sum", "count"):  # a lone row keeps its cell, also a missing one
-            cell = F.col(c).cast("bigint") if c in booleans and method == "sum" else F.col(c)
-            return F.when(lone, F.any_value(cell.try_cast("bigint") if method == "count" else cell, ignoreNulls=True)).otherwise(whole)
-        return whole
+    def cell(c: str) -> Column:  # what a lone row shows of a summed or counted column
+        if methods[c] == "count":
+            return F.col(c).try_cast("bigint")
+        return F.col(c).cast("bigint") if c in booleans else F.col(c)
 
-    aggs = [value(c, methods[c]).alias(c) for c in simple]
-    aggs += [F.any_value(F.when(lone, F.col(c)), ignoreNulls=True).alias(c) for c in orphan_cols]
+    kept = [c for c in simple if methods[c] in ("sum", "count")] if orphans else []
+    aggs = [_simple_agg(c, methods[c], F.col("__ord"), c in booleans).alias(c) for c in simple]
     aggs.append(F.count(F.lit(1)).alias("__n"))
+    if kept or orphan_cols:  # a lone row keeps its cells, also missing ones
+        aggs.append(F.any_value(F.when(lone, F.struct(*[cell(c).alias(c) for c in kept], *orphan_cols)), ignoreNulls=True).alias("__own_cells"))
     if unique and not stored:
         rows = stored_rows(rows)
     if unique and most_lines(rows, keys) <= FEW_LINES:
-        cells = rows.withColumns({f"__cell{i}": F.col(c).cast("string") for i, c in enumerate(unique)})
-        lists = []
-        for i in range(len(unique)):
-            cell = F.col(f"__cell{i}")
-            told = F.when(cell.isNotNull() if keep_blank else (strip(cell) != "") | (lone & cell.isNotNull()), cell)
-            placed = told.isNotNull() & F.col("__ord").isNotNull()
-            lists += [F.collect_list(F.when(placed, F.struct("__ord", told.alias("value")))).alias(f"__placed{i}"),
-                      F.collect_set(F.when(F.col("__ord").isNull(), told)).alias(f"__unplaced{i}")]
-        out = cells.groupBy(*by).agg(*aggs, *lists)
-        for i, c in enumerate(unique):
-            placed = F.array_distinct(F.sort_array(f"__placed{i}").getField("value"))
-            values = F.concat(F.array_except(F.sort_array(f"__unplaced{i}"), placed), placed)
-            text = F.concat_ws(" | ", values)
+        # cells are read and judged once per row, before the aggregate: its own expressions are not compiled
+        entries = {f"__entry{i}": F.struct("__ord", F.col(c).cast("string").alias("value")) for i, c in enumerate(unique)}
+        told = lambda e: e["value"].isNotNull() if keep_blank else ~is_blank(e["value"]) | (lone & e["value"].isNotNull())
+        cells = rows.select(*by, "__ord", *([] if orphans else ["__alone"]), *dict.fromkeys([*simple, *orphan_cols]),
+                            *[F.when(told(e), e).alias(i) for i, e in entries.items()])
+        out = cells.groupBy(*by).agg(*aggs, *[F.sort_array(F.collect_list(i)).alias(i) for i in entries])
+        for i, c in zip(entries, unique):
+            values = F.array_distinct(F.col(i)["value"])
+            # values without a place come first, and only if they have none elsewhere
+            placed = F.array_distinct(F.filter(i, lambda x: x["__ord"].isNotNull())["value"])
+            unplaced = F.filter(values, lambda x: ~F.array_contains(placed, x))
+            text = F.concat_ws(" | ", F.when(F.get(i, F.lit(0))["__ord"].isNull(), F.concat(unplaced, placed)).otherwise(values))
             out = out.withColumn(c, F.when(~lone | (F.size(values) > 0), text) if orphans else text)
     elif unique:
         cell = lambda i, c: F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("value"))
@@ -135,15 +139,18 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], methods: dict[str, str],
         entry = F.struct("__ord", "__value")
         only = lambda c: F.any_value(F.when(F.col("__tag") == 0, F.col(c)), ignoreNulls=True).alias(c)
         joined = lambda i, c: F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.when(F.col("__tag") == i, entry))), lambda x: x["__value"])).alias(c)
-        out = partial.groupBy(*by).agg(*[only(c) for c in [*simple, *orphan_cols, "__n"]], *[joined(i, c) for i, c in enumerate(unique, 1)],
+        own_cells = ["__own_cells"] if kept or orphan_cols else []
+        out = partial.groupBy(*by).agg(*[only(c) for c in [*simple, *own_cells, "__n"]], *[joined(i, c) for i, c in enumerate(unique, 1)],
                                        *[F.count_if(F.col("__tag") == i).alias(f"__some{i}") for i in range(1, len(unique) + 1)])
         if orphans:
             out = out.withColumns({c: F.when(~lone | (F.col(f"__some{i}") > 0), F.col(c)) for i, c in enumerate(unique, 1)})
     else:
         out = rows.groupBy(*by).agg(*aggs)
+    own_cell = lambda c: F.col("__own_cells")[c]
+    out = out.withColumns({**{c: F.when(lone, own_cell(c)).otherwise(F.col(c)) for c in kept}, **{c: own_cell(c) for c in orphan_cols}})
     if orphans:  # equal rows of one order are one group; they come out as often as they came in
-        copies = F.when(lone, F.col("__n")).otherwise(F.lit(1).cast("bigint"))
-        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+        copies = F.when(lone, F.sequence(F.lit(1).cast("bigint"), F.col("__n"))).otherwise(F.array(F.lit(1).cast("bigint")))
+        out = out.withColumn("__copy", F.explode(copies))
         out = out.withColumn("__n", F.when(lone, F.lit(1).cast("bigint")).otherwise(F.col("__n")))
     counted = [F.col("__n").alias(count_col)] if count_col else []
     return out.select(*keys, *methods, *counted, *orphan_cols)

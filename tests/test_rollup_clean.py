@@ -78,6 +78,19 @@ def test_joined_values_take_one_aggregate_unless_a_key_has_many_lines(spark, row
     assert rows(few) == rows(many) and kept == quotes()
 
 
+def test_joined_cells_are_judged_before_the_aggregate(lines):
+    """Blanks are told apart once per row, each joined column is collected once, and a row
+    without a key carries its own cells in one value."""
+    plan = rollup.rollup(lines)._jdf.queryExecution().optimizedPlan().toString()
+    whole = " ".join(line for line in plan.splitlines() if "Aggregate" in line)
+    assert whole.count("collect_") == 1 and "trim" not in whole and whole.count("first(") == 1
+
+
+def test_blank_text(spark):
+    df = spark.createDataFrame([("",), (" \t\u00a0\n",), (" a ",), ("\u3000x",), (None,)], "t string")
+    assert [r[0] for r in df.select(rollup.is_blank(F.col("t"))).collect()] == [True, True, False, False, None]
+
+
 def test_rolled_up_sheets_are_computed_once(spark, lines):
     """Records and line items read the same staged sheet; a column that cannot be stored keeps it as it is."""
     names = spark.createDataFrame([("C1", "n1"), ("C2", "n2")], "contract_id string, name string")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from keyfold.model import ORD, Sheet
@@ -68,19 +70,24 @@ def export_csv(df: DataFrame, path: str, keys: Sequence[str] = fixed.KEY_COLS, o
 def write_canonical(contracts: DataFrame, line_items: DataFrame | None, root: str, dataset_id: str,
                     versions: dict[str, str]) -> DataFrame:
     """Contracts as Parquet and CSV, line items as Parquet, and one metadata row. Row counts
-    and the contracts' fingerprint are observed while writing, without another pass."""
+    and the contracts' fingerprint are observed while writing, without another pass. The line items
+    are written beside the contracts, so their tasks fill cores that the other's stages leave idle."""
     contracts = canonical_order(contracts)
     seen = Observed(contracts, "contracts")
-    replace_table(seen.rows, f"{root}/contracts")
-    state = seen.state
     spark = contracts.sparkSession
-    replace_table(spark.read.schema(contracts.schema).parquet(f"{root}/contracts"), f"{root}/contracts_csv", "csv", **CSV_OPTIONS)
-    n_items, item_columns = None, None
-    if line_items is not None:
-        items = drop_internal(line_items)
+    items = drop_internal(line_items) if line_items is not None else None
+
+    def write_items() -> int:
         seen_items = Observation("line_items")
         replace_table(items.observe(seen_items, F.count(F.lit(1)).alias("n")), f"{root}/line_items")
-        n_items, item_columns = seen_items.get["n"], items.columns
+        return seen_items.get["n"]
+
+    with ThreadPoolExecutor(1) as beside:
+        written = beside.submit(inheritable_thread_target(spark)(write_items)) if items is not None else None
+        replace_table(seen.rows, f"{root}/contracts")
+        state = seen.state
+        replace_table(spark.read.schema(contracts.schema).parquet(f"{root}/contracts"), f"{root}/contracts_csv", "csv", **CSV_OPTIONS)
+        n_items, item_columns = (written.result(), items.columns) if written else (None, None)
     row = [(dataset_id, versions, state.n_rows, contracts.columns, n_items, item_columns, state.content_hash)]
     metadata = spark.createDataFrame(row, "dataset_id string, versions map<string,string>, contract_count bigint, contract_columns array<string>, "
                                      "line_item_count bigint, line_item_columns array<string>, content_hash string")

@@ -256,3 +256,22 @@ def test_rows_are_numbered_range_by_range(spark, tmp_path, monkeypatch):
     assert [(r["position"], r[ORD]) for r in sorted(placed.collect(), key=lambda r: r["position"])] == list(enumerate([None, *ordinals[:-1]], 1))
     assert placed.columns == ["position", ORD, "a.b"]
     assert "row_number() windowspecdefinition(__range" in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_items_are_written_beside_the_contracts(spark, tmp_path, monkeypatch):
+    """Both writes run at a time, and one that fails is not passed over."""
+    import threading
+
+    both, write = threading.Barrier(2, timeout=60), sinks.replace_table
+
+    def meet(df, path, *args, **options):
+        if path.endswith(("/contracts", "/line_items")):
+            both.wait()
+        write(df, path, *args, **options)
+
+    monkeypatch.setattr(sinks, "replace_table", meet)
+    contracts, items = spark.range(3).select("id"), spark.range(5).select("id", F.lit(1).alias("_ord"))
+    meta = sinks.write_canonical(contracts, items, str(tmp_path / "a"), "d", {}).first()
+    assert (meta["contract_count"], meta["line_item_count"], meta["line_item_columns"]) == (3, 5, ["id"])
+    with pytest.raises(Exception, match="no such line"):
+        sinks.write_canonical(contracts, items.select(F.raise_error(F.concat(F.lit("no such line "), "id")).cast("string").alias("id")), str(tmp_path / "b"), "d", {})

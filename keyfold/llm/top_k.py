@@ -4,11 +4,13 @@ Vectors are dealt into blocks of their pivot cells; each block becomes a cover t
 the queries. A pair of nodes is dropped when no inner product between them can reach the worst
 kth score of the node's queries: q.p <= cq.cp + rq|cp| + rp|cq| + rq rp for centres c and
 covering radii r. Every query block first meets one block of its own cell, which gives the
-scores to beat; then only cells that may beat them are visited, block by block, each in a
-task of its own size. Partial results are k rows per query and run, merged by a window."""
+scores to beat; then only cells that may beat them are visited, block by block. Tasks read the
+blocks they compare from the staged tables; no tree is shuffled or sent by the driver. Partial
+results are at most k rows per query and run, merged by a window."""
 
 from __future__ import annotations
 
+import copy
 import math
 import pickle
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import in_cells, matrix, usable, with_block
+from .vectors import FILE_BLOCKS, in_cells, matrix, meetings, usable, with_block
 
 #: Points of a leaf, queries of a block.
 LEAF, QUERIES = 32, 512
@@ -57,11 +59,21 @@ class CoverTree:
                     spans.append((begin, begin + len(group)))
                     begin += len(group)
             at += 1
-        self.ids, self.points = ids[order], points[order]
-        self.spans, self.kids, self.radii = np.array(spans), np.array(kids), np.array(radii)
-        self.centres = points[np.array(centres, np.int64)]
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        self.__setstate__((ids[order], points[order], np.array(spans), np.array(kids), np.array(radii), place[np.array(centres, np.int64)]))
+
+    def __getstate__(self):
+        """Centres as places among the points, whole numbers in as few bytes as hold them."""
+        small = [kind for kind in (np.int16, np.int32) if np.abs(self.points).max(initial=0) <= np.iinfo(kind).max]
+        return self.ids, self.points.astype(small[0]) if small else self.points, self.spans.astype(np.int32), self.kids.astype(np.int32), self.radii, self.at.astype(np.int32)
+
+    def __setstate__(self, state):
+        self.ids, points, self.spans, self.kids, self.radii, self.at = state
+        self.points = points.astype(np.float64)
+        self.centres = self.points[self.at]
         self.norms = np.linalg.norm(self.centres, axis=1)
-        self.longest = np.linalg.norm(points, axis=1).max()
+        self.longest = np.linalg.norm(self.points, axis=1).max()
 
     def leaf(self, node: int) -> bool:
         return self.kids[node][0] == self.kids[node][1]
@@ -99,7 +111,10 @@ def search(q: CoverTree, p: CoverTree, best: Best) -> None:
 
     def compare(node: int, spans: np.ndarray) -> None:
         begin, end = q.spans[node]
-        at = np.concatenate([np.arange(a, b) for a, b in spans])
+        sizes = spans[:, 1] - spans[:, 0]
+        at = np.repeat(spans[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        if at[-1] - at[0] == len(at) - 1:  # spans come in order
+            at = slice(at[0], at[-1] + 1)
         scores = inner_products(q.points[begin:end], p.points[at], exact)
         scores[q.ids[begin:end, None] == p.ids[at][None, :]] = _NONE
         best.offer(slice(begin, end), scores, p.ids[at])
@@ -155,63 +170,68 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     rows, cells = in_cells(usable(df, id_col, vector_col), quantised)
     counts = cells.blocks
     schema = "cell int, block int, tree binary"
-    trees = staged(with_block(rows, counts).select("id", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(_tree, schema), "trees")
+    trees = staged(with_block(rows, counts).select("id", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(_tree, schema), "trees", FILE_BLOCKS)
     asked = rows.where(F.col("id") % every == 0)
     per_cell = {r["cell"]: math.ceil(r["count"] / QUERIES) for r in asked.groupBy("cell").count().collect()}
-    queries = with_block(asked, per_cell).select("id", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(_tree, schema)
-    state = "qcell int, qblock int, tree binary, best binary, cell int, block int"
+    queries = staged(with_block(asked, per_cell).select("id", "vec", "cell", "block").groupBy("cell", "block").applyInArrow(_tree, schema), "queries", FILE_BLOCKS)
+    state = "qcell int, qblock int, tree binary, best binary, to array<int>"
 
-    def run(batches):
-        """Search each query block in the trees it meets; one answer per run of rows of a query block."""
-        held, at = None, None
+    def searched(batches):
+        """Search each query block in the trees it meets; (block, queries, best before, best) per run of rows of a query block."""
+        at, held = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if at != (r["qcell"], r["qblock"]):
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                if at != (r["qcell"].as_py(), r["qblock"].as_py()):
                     if held:
-                        yield answer(at, *held)
-                    at, q = (r["qcell"], r["qblock"]), pickle.loads(r["tree"])
-                    held = q, pickle.loads(r["best"]) if r["best"] else Best(len(q.ids), k), r["cell"], r["block"]
-                p = pickle.loads(r["other"])
-                _same_width(held[0], p)
-                search(held[0], p, held[1])
+                        yield held
+                    at, q = (r["qcell"].as_py(), r["qblock"].as_py()), pickle.loads(r["tree"].as_buffer())
+                    before = pickle.loads(r["best"].as_buffer()) if "best" in r else None
+                    held = at, q, before, copy.deepcopy(before) if before else Best(len(q.ids), k)
+                p = pickle.loads(r["other"].as_buffer())
+                _same_width(held[1], p)
+                search(held[1], p, held[3])
         if held:
-            yield answer(at, *held)
-
-    def answer(at, q, best, cell, block):
-        return pa.RecordBatch.from_pydict({"qcell": pa.array([at[0]], pa.int32()), "qblock": pa.array([at[1]], pa.int32()), "tree": pa.array([pickle.dumps(q)], pa.binary()),
-                                           "best": pa.array([pickle.dumps(best)], pa.binary()), "cell": pa.array([cell], pa.int32()), "block": pa.array([block], pa.int32())})
-
-    def may_beat(batches):
-        """Send a query block to each cell that may hold better scores: no point lies further from the cell's pivot than its range says."""
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, best = pickle.loads(r["tree"]), pickle.loads(r["best"])
-                norms = np.linalg.norm(q.points, axis=1)
-                width = min(q.points.shape[1], cells.pivots.shape[1])
-                for cell, number in counts.items():
-                    pivot, reach = cells.pivots[cell][:width], cells.high[cell][cell]
-                    top = q.points[:, :width] @ pivot + norms * reach
-                    if (top + 1e-9 * norms * (np.linalg.norm(pivot) + reach) + 1 >= best.scores[:, -1]).any():
-                        yield pa.RecordBatch.from_pylist([{**r, "to": cell, "blocks": number}], pa.schema(
-                            [("qcell", pa.int32()), ("qblock", pa.int32()), ("tree", pa.binary()), ("best", pa.binary()), ("cell", pa.int32()), ("block", pa.int32()), ("to", pa.int32()), ("blocks", pa.int32())]))
+            yield held
+
+    def begin(batches):
+        """What a query block found in the first tree, and the cells that may hold better scores."""
+        for at, q, _, best in searched(batches):
+            yield pa.RecordBatch.from_pydict({"qcell": pa.array([at[0]], pa.int32()), "qblock": pa.array([at[1]], pa.int32()), "tree": pa.array([pickle.dumps(q)], pa.binary()),
+                                              "best": pa.array([pickle.dumps(best)], pa.binary()), "to": pa.array([may_beat(q, best)], pa.list_(pa.int32()))})
+
+    def may_beat(q: CoverTree, best: Best) -> list[int]:
+        """Cells that may hold better scores: no point lies further from the cell's pivot than its range says."""
+        norms, found = np.linalg.norm(q.points, axis=1), []
+        width = min(q.points.shape[1], cells.pivots.shape[1])
+        for cell in counts:
+            pivot, reach = cells.pivots[cell][:width], cells.high[cell][cell]
+            top = q.points[:, :width] @ pivot + norms * reach
+            if (top + 1e-9 * norms * (np.linalg.norm(pivot) + reach) + 1 >= best.scores[:, -1]).any():
+                found.append(cell)
+        return found
+
+    def go_on(batches):
+        """What a query block found in other trees and not before."""
+        for _, q, before, best in searched(batches):
+            yield answers(q, best, (best.scores > _NONE) & ~(best.ids[:, :, None] == before.ids[:, None, :]).any(2))
 
     def rows_of(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                q, best = pickle.loads(r["tree"]), pickle.loads(r["best"])
-                some = best.scores > _NONE
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q.ids, some.sum(1)), "id": best.ids[some], "score": best.scores[some]})
+                best = pickle.loads(r["best"])
+                yield answers(pickle.loads(r["tree"]), best, best.scores > _NONE)
+
+    def answers(q: CoverTree, best: Best, some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"query_id": np.repeat(q.ids, some.sum(1)), "id": best.ids[some], "score": best.scores[some]})
 
+    result = "query_id long, id long, score long"
     other = trees.select("cell", "block", F.col("tree").alias("other"))
-    number = F.element_at(F.create_map(*[F.lit(int(x)) for pair in sorted(counts.items()) for x in pair]), F.col("cell")) if counts else F.lit(1)
-    begun = queries.select(F.col("cell").alias("qcell"), F.col("block").alias("qblock"), "tree", F.lit(None).cast("binary").alias("best"), "cell", F.pmod(F.col("block"), number).alias("block"))
-    first = staged(begun.join(other, ["cell", "block"]).select("qcell", "qblock", "tree", "best", "cell", "block", "other").mapInArrow(run, state), "first")
-    sent = first.mapInArrow(may_beat, state + ", to int, blocks int").select(
-        "qcell", "qblock", "tree", "best", F.struct("cell", "block").alias("done"), F.col("to").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = sent.where(F.col("done") != F.struct("cell", "block")).join(other, ["cell", "block"])
-    tasks = max(1, 2 * sum(counts.values()))
-    second = pairs.repartition(tasks, "qcell", "qblock", "cell", F.expr("block div 16")).sortWithinPartitions("qcell", "qblock").select(
-        "qcell", "qblock", "tree", "best", "cell", "block", "other").mapInArrow(run, state)
-    found = first.unionByName(second).mapInArrow(rows_of, "query_id long, id long, score long").distinct()
+    number = F.element_at(F.create_map(*[F.lit(int(x)) for pair in sorted(counts.items()) for x in pair]), F.col("qcell")) if counts else F.lit(1)
+    begun = queries.select(F.col("cell").alias("qcell"), F.col("block").alias("qblock"), "tree")
+    own = (F.col("cell") == F.col("qcell")) & (F.col("block") == F.pmod(F.col("qblock"), number))
+    first = staged(meetings(begun, other, own).mapInArrow(begin, state), "first", FILE_BLOCKS)
+    second = meetings(first, other, F.array_contains("to", F.col("cell")) & ~own).mapInArrow(go_on, result)
+    found = first.mapInArrow(rows_of, result).unionByName(second)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -12,13 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 #: Vectors of a block, pivots, and rows of the sample the pivots are picked from.
 BLOCK, PIVOTS, SAMPLE = 4096, 16, 2048
+#: Blocks of a file, the least that a task reads of a staged table of blocks.
+FILE_BLOCKS = 8
 
 Place = Callable[[np.ndarray], np.ndarray]
 
@@ -106,3 +108,11 @@ def with_block(rows: DataFrame, blocks: dict[int, int]) -> DataFrame:
         return rows.withColumn("block", F.lit(0))
     count = F.element_at(F.create_map(*[F.lit(int(x)) for pair in sorted(blocks.items()) for x in pair]), F.col("cell"))
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+
+
+def meetings(blocks: DataFrame, others: DataFrame, where: Column) -> DataFrame:
+    """Pairs of rows of two staged tables of blocks, the pairs of a left row one after another.
+
+    Each task reads some files of both tables, so neither is shuffled, nor gathered and sent by
+    the driver, whatever number of pairs a block takes part in."""
+    return blocks.hint("shuffle_replicate_nl").join(others, where)

@@ -94,13 +94,13 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """Write a table that several queries read to the shared folder and read it back.
 
     What led to it is computed once; later readers prune columns, and a lost executor
-    costs no more than its own tasks."""
+    costs no more than its own tasks. `rows_per_file` bounds the files of a table of large rows."""
     path = work_folder(df.sparkSession, label)
     for paths in _RECORDS.__dict__.get("open", []):
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -64,6 +65,23 @@ def test_top_k(spark):
     assert sorted(map(tuple, two.collect())) == [(0, 1, 100, 1024 * 2048), (100, 1, 0, 1024 * 2048)]
 
 
+def test_top_k_sends_no_trees(spark):
+    found = top_k.top_k(table(spark, sample(2)), k=7, every=10)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("Broadcast" in line for line in plan)
+    assert all("(query_id" in line for line in plan if "Exchange" in line)
+
+
+@pytest.mark.parametrize("scale", [1, 1e3, 1e6, 1e30])
+def test_cover_tree_pickled(scale):
+    points = np.floor(np.random.default_rng(5).normal(size=(200, 5)) * scale)
+    tree = top_k.CoverTree(np.arange(200), points)
+    back = pickle.loads(pickle.dumps(tree))
+    for name in ("ids", "points", "spans", "kids", "radii", "centres", "norms", "longest"):
+        assert np.array_equal(getattr(tree, name), getattr(back, name)), name
+    assert back.points.dtype == np.float64 and len(pickle.dumps(tree)) < 200 * 5 * 8 + 200 * 64
+
+
 def test_cover_tree_covers():
     rng = np.random.default_rng(3)
     points = np.floor(rng.normal(size=(200, 5)) * 1000)

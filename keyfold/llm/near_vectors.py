@@ -1,10 +1,12 @@
 """Near-duplicate vectors by an exact metric range join.
 
-Pivots partition the unit vectors into cells. A vector may have a neighbour within the
-range in another cell only if, for every pivot, its distance lies within the cell's range of
-distances widened by the search range (triangle inequality); there a copy goes, packed with
-others of its block. Cells then join independently, block by block, and answer with counts
-and a spanning forest, never with pairs. Cosine c and distance d of unit vectors: d*d = 2-2c."""
+Pivots partition the unit vectors into cells, and cells into blocks. A vector may have a
+neighbour within the range in another block only if, for every pivot, its distance lies within
+the block's range of distances widened by the search range (triangle inequality). Blocks whose
+ranges are that close meet, vectors that lie that close are compared, and the answers are counts
+and a spanning forest, never pairs. Tasks read the blocks they compare from the staged table, so
+disk grows with the vectors, not with the pairs of blocks. Cosine c and distance d of unit
+vectors: d*d = 2-2c."""
 
 from __future__ import annotations
 
@@ -17,38 +19,47 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import Forest, components
-from .vectors import in_cells, matrix, unit, usable, with_block
+from .vectors import FILE_BLOCKS, distances, in_cells, matrix, meetings, unit, usable, with_block
 
 ROWS = 512  # rows of a block compared at a time
 
 
-def _forest(links: np.ndarray, forest: Forest, begin: int, shift: int) -> None:
-    """Join what a boolean matrix links: rows begin.. with columns shift.. of the forest."""
+def _forest(links: np.ndarray, forest: Forest, at: np.ndarray, shift: int) -> None:
+    """Join what a boolean matrix links: rows that stand at `at` with columns shift.. of the forest."""
     rows, cols = np.nonzero(links)
     if not len(rows):
         return
     first = np.r_[True, rows[1:] != rows[:-1]]
     chains = np.unique(np.c_[cols[:-1], cols[1:]][~first[1:]], axis=0)  # columns that one row links
-    for x, y in zip((rows[first] + begin).tolist(), (cols[first] + shift).tolist(), strict=True):
+    for x, y in zip(at[rows[first]].tolist(), (cols[first] + shift).tolist(), strict=True):
         forest.join(x, y)
     for x, y in (chains + shift).tolist():
         forest.join(x, y)
 
 
 def _joined(ids: np.ndarray, x: np.ndarray, more_ids: np.ndarray | None, y: np.ndarray | None, least: float):
-    """Ids with their number of links and the root of their tree, of one block or of two."""
+    """Ids with their number of links and the root of their tree, of one block or of two.
+
+    Rows are first compared in single precision, whose error is below the slack."""
     own = y is None
     all_ids = ids if own else np.r_[ids, more_ids]
     shift = 0 if own else len(ids)
     y = x if own else y
     forest, count = Forest(len(all_ids)), np.zeros(len(all_ids), np.int64)
+    rough, other, slack = x.astype(np.float32), y.astype(np.float32).T, (x.shape[1] + 8) * 2.0**-23
     for begin in range(0, len(ids), ROWS):
-        links = x[begin:begin + ROWS] @ y.T >= least
+        cosines = rough[begin:begin + ROWS] @ other
+        if own:
+            np.fill_diagonal(cosines[:, begin:], -2)
+        at = begin + np.flatnonzero(cosines.max(axis=1, initial=-2) >= least - slack)
+        if not len(at):
+            continue
+        links = x[at] @ y.T >= least
         if own:
-            links &= np.arange(len(y))[None, :] > np.arange(begin, begin + len(links))[:, None]
-        count[begin:begin + len(links)] += links.sum(1)
+            links &= np.arange(len(y))[None, :] > at[:, None]
+        count[at] += links.sum(1)
         count[shift:shift + len(y)] += links.sum(0)
-        _forest(links, forest, begin, shift)
+        _forest(links, forest, at, shift)
     at = np.flatnonzero(count)
     roots = np.array([forest.root(i) for i in at.tolist()], np.int64)
     return all_ids[at], count[at], all_ids[roots]
@@ -59,42 +70,56 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
     rows = usable(df, id_col, vector_col).where(F.exists("vec", lambda v: v != 0))
     rows, cells = in_cells(rows, unit)
     reach = math.sqrt(max(2 - 2 * cosine, 0)) * (1 + 1e-9) + 1e-7
-    low, high, counts = cells.low, cells.high, cells.blocks
-    fields = [("cell", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32()), ("own", pa.bool_()), ("ids", pa.binary()), ("vecs", pa.binary()), ("size", pa.int32())]
+    pivots, width = cells.pivots, cells.pivots.shape[1]
+    kind = "<f4" if rows.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
+    before = dict(zip(sorted(cells.blocks), np.cumsum([0, *(cells.blocks[c] for c in sorted(cells.blocks))]).tolist()))
+    fields = [("number", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]
+
+    def far(x: np.ndarray) -> np.ndarray:
+        return distances(np.pad(x, ((0, 0), (0, width - x.shape[1]))), pivots)
+
+    def near(d: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which vectors may have one of the others within reach."""
+        return ((d >= other.min(0) - reach) & (d <= other.max(0) + reach)).all(1)
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """A block for its own cell, and a copy for the first `blocks` blocks of each cell up to it."""
-        cell, block = (k.as_py() for k in key)
-        ids = table["id"].to_numpy().astype("<i8")
+        """A block's vectors of one length, which link with no others, and their ranges of pivot distances."""
+        ids, out = table["id"].to_numpy().astype("<i8"), []
         lengths = pa.compute.list_value_length(table["vec"]).to_numpy()
-        dist, out = matrix(table["dist"]), []
-        for size in np.unique(lengths):  # vectors of another length link with nothing here
+        for size in np.unique(lengths):
             same = np.flatnonzero(lengths == size)
-            x = unit(matrix(table["vec"].take(pa.array(same))))
-            out.append((cell, block, 0, True, ids[same].tobytes(), x.tobytes(), int(size)))
-            for other, number in counts.items():
-                near = ((dist[same] >= low[other] - reach) & (dist[same] <= high[other] + reach)).all(1)
-                number = number if other < cell else block
-                if other <= cell and number and near.any():
-                    out.append((other, 0, number, False, ids[same][near].tobytes(), x[near].tobytes(), int(size)))
+            own = matrix(table["vec"].take(pa.array(same)))
+            d = far(unit(own))
+            out.append((before[key[0].as_py()] + key[1].as_py(), int(size), ids[same].tobytes(), own.astype(kind).tobytes(), d.min(0).tolist(), d.max(0).tolist()))
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
 
+    def opened(size: int, ids: pa.Scalar, vecs: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = unit(np.frombuffer(vecs.as_buffer(), kind).reshape(-1, size).astype(np.float64))
+        return np.frombuffer(ids.as_py(), "<i8"), x, far(x)
+
     def compare(batches):
+        at = None
         for batch in batches:
-            for r in batch.to_pylist():
-                take = lambda i, v: (np.frombuffer(r[i], "<i8"), np.frombuffer(r[v], "<f8").reshape(-1, r["size"]))
-                more = take("more_ids", "more_vecs") if r["more_ids"] is not None else (None, None)
-                ids, count, root = _joined(*take("ids", "vecs"), *more, cosine)
-                yield pa.RecordBatch.from_pydict({"id": ids, "links": count, "root": root})
-
-    packed = staged(with_block(rows, counts).groupBy("cell", "block").applyInArrow(
-        pack, "cell int, block int, blocks int, own boolean, ids binary, vecs binary, size int"), "blocks")
-    blocks = packed.where("own").drop("own", "blocks")
-    copies = packed.where("not own").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "size", F.col("ids").alias("more_ids"), F.col("vecs").alias("more_vecs"))
-    none = F.lit(None).cast("binary")
-    pairs = blocks.join(copies, ["cell", "block", "size"]).unionByName(blocks.withColumns({"more_ids": none, "more_vecs": none}))
-    tasks = max(1, sum(counts.values()) * 2)
-    return staged(pairs.repartition(tasks).mapInArrow(compare, "id long, links long, root long"), "links")
+            for i in range(batch.num_rows):
+                number, size, ids, vecs, more, more_ids, more_vecs = (c[i] for c in batch.columns)
+                if at != (number.as_py(), size.as_py()):
+                    at = number.as_py(), size.as_py()
+                    own, x, d = opened(at[1], ids, vecs)
+                if more.as_py() == at[0]:
+                    found = _joined(own, x, None, None, cosine)
+                else:
+                    others, y, e = opened(at[1], more_ids, more_vecs)
+                    mine, theirs = near(d, e), near(e, d)
+                    found = _joined(own[mine], x[mine], others[theirs], y[theirs], cosine)
+                yield pa.RecordBatch.from_pydict(dict(zip(("id", "links", "root"), found, strict=True)))
+
+    blocks = staged(with_block(rows, cells.blocks).groupBy("cell", "block").applyInArrow(
+        pack, "number int, size int, ids binary, vecs binary, low array<double>, high array<double>"), "blocks", FILE_BLOCKS)
+    others = blocks.select(*[F.col(c).alias(f"more_{c}") for c in blocks.columns])
+    reached = [F.forall(F.zip_with(a, b, lambda x, y: x <= y + reach), lambda x: x) for a, b in (("low", "more_high"), ("more_low", "high"))]
+    pairs = meetings(blocks, others, (F.col("number") <= F.col("more_number")) & (F.col("size") == F.col("more_size")) & reached[0] & reached[1])
+    found = pairs.select("number", "size", "ids", "vecs", "more_number", "more_ids", "more_vecs").mapInArrow(compare, "id long, links long, root long")
+    return staged(found.groupBy("id", "root").agg(F.sum("links").alias("links")).select("id", "links", "root"), "links")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:

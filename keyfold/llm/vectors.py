@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.session import discard, recorded
+
 from .common import staged
 
 #: Vectors of a block, pivots, and rows of the sample the pivots are picked from.
@@ -81,25 +83,36 @@ def pick_pivots(df: DataFrame, place: Place, width: int) -> np.ndarray:
 
 
 def in_cells(df: DataFrame, place: Place) -> tuple[DataFrame, Cells]:
-    """Stage (id, vec, cell, dist) and describe the cells. `place` gives the points distances are taken of."""
-    width = df.agg(F.max(F.size("vec")).alias("w")).first()["w"] or 0
-    pivots = pick_pivots(df, place, width)
+    """Stage (id, vec, cell) and describe the cells. `place` gives the points distances are taken of."""
+    with recorded() as read:
+        points = staged(df.select("id", "vec"), "points")
+    width = points.agg(F.max(F.size("vec")).alias("w")).first()["w"] or 0
+    pivots = pick_pivots(points, place, width)
     kind = df.schema["vec"].dataType.simpleString()
+    at = range(len(pivots))
+
+    def far(column):
+        return distances(place(matrix(column, width)), pivots)
 
     def assign(batches):
         for batch in batches:
-            d = distances(place(matrix(batch.column("vec"), width)), pivots)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vec": batch.column("vec"), "cell": pa.array(d.argmin(1), pa.int32()),
-                                              "dist": pa.array(list(d), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vec": batch.column("vec"), "cell": pa.array(far(batch.column("vec")).argmin(1), pa.int32())})
+
+    def ranges(batches):
+        for batch in batches:
+            cell, d = batch.column("cell").to_numpy(), far(batch.column("vec"))
+            for c in np.unique(cell):
+                own = d[cell == c]
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "n": [len(own)], **{f"l{i}": own[:, i].min(keepdims=True) for i in at}, **{f"h{i}": own[:, i].max(keepdims=True) for i in at}})
 
     if not len(pivots):
-        empty = df.select("id", "vec", F.lit(0).alias("cell"), F.array(F.lit(0.0)).alias("dist")).where("false")
-        return empty, Cells(pivots, {}, {}, {})
-    rows = staged(df.select("id", "vec").mapInArrow(assign, f"id long, vec {kind}, cell int, dist array<double>"), "cells")
-    at = range(len(pivots))
-    found = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.min(F.col("dist")[i]).alias(f"l{i}") for i in at], *[F.max(F.col("dist")[i]).alias(f"h{i}") for i in at]).collect()
-    return rows, Cells(pivots, {r["cell"]: math.ceil(r["n"] / BLOCK) for r in found},
-                       {r["cell"]: np.array([r[f"l{i}"] for i in at]) for r in found}, {r["cell"]: np.array([r[f"h{i}"] for i in at]) for r in found})
+        return points.withColumn("cell", F.lit(0)).where("false"), Cells(pivots, {}, {}, {})
+    rows = staged(points.mapInArrow(assign, f"id long, vec {kind}, cell int"), "cells")
+    discard(df.sparkSession, read)
+    low, high = ([f"{x}{i}" for i in at] for x in "lh")
+    found = rows.select("vec", "cell").mapInArrow(ranges, "cell int, n long, " + ", ".join(f"{c} double" for c in [*low, *high])).groupBy("cell").agg(
+        F.sum("n").alias("n"), *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high]).collect()
+    return rows, Cells(pivots, {r["cell"]: math.ceil(r["n"] / BLOCK) for r in found}, *({r["cell"]: np.array([r[c] for c in names]) for r in found} for names in (low, high)))
 
 
 def with_block(rows: DataFrame, blocks: dict[int, int]) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from keyfold.llm import components, near_vectors, top_k, vectors
+from keyfold.session import staged
 
 
 @pytest.fixture(autouse=True)
@@ -48,6 +49,31 @@ def test_near_duplicates(spark):
     assert near_vectors.near_duplicates(table(spark, vecs).limit(0)).count() == 0
 
 
+def test_near_vectors_are_stored_once(spark, monkeypatch):
+    kept, plans = {}, {}
+
+    def keep(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        kept[label] = staged(df, label, *more)
+        return kept[label]
+
+    monkeypatch.setattr(near_vectors, "staged", keep)
+    vecs = sample(1)
+    near_vectors.links(table(spark, vecs))
+    used = {i for i, v in vecs if i is not None and good(v) and any(v)}
+    stored = [i for r in kept["blocks"].collect() for i in np.frombuffer(r["ids"], "<i8").tolist()]
+    assert kept["blocks"].count() > 4 and sorted(stored) == sorted(used)
+    assert all("(id" in line for line in plans["links"] if "Exchange" in line)
+
+
+def test_near_double_vectors(spark):
+    angles = np.arccos(0.95) + np.array([-1e-9, 1e-9]) * np.array([[1], [3], [10]])
+    vecs = [(0, [2.0, 0.0])] + [(i, [3 * float(np.cos(a)), 3 * float(np.sin(a))]) for i, a in enumerate(angles.ravel(), 1)]
+    frame = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(frame).collect()}
+    assert got == {0: 3, 1: 6, 2: 5, 3: 6, 4: 5, 5: 6, 6: 5}
+
+
 def test_top_k(spark):
     vecs = sample(2)
     got = {}
